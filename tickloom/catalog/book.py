@@ -1 +1,291 @@
+"""Book reconstruction queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickloom.catalog import query
+from tickloom.operators import book as b
+from tickloom.sources.fixtures import duck, view
+
+KEY = ["exchange", "symbol"]
+CHUNK = 100  # seq is a day number in the fixture
+
+MSG = """SELECT exchange, symbol, seq, max(ts_us) AS ts_us, max(update_id) AS update_id, bool_or(is_snapshot) AS is_snapshot
+  FROM fx_l2 GROUP BY exchange, symbol, seq"""
+EPOCHED = """SELECT *, max(CASE WHEN is_snapshot THEN seq END) OVER (PARTITION BY exchange, symbol ORDER BY seq) AS epoch,
+    min(CASE WHEN is_snapshot THEN seq END) OVER (PARTITION BY exchange, symbol ORDER BY seq
+      RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_epoch FROM fx_l2"""
+IVALS = """SELECT exchange, symbol, side, price_ticks, price, quantity, seq AS seq_from, next_epoch, least(
+    coalesce(lead(seq) OVER (PARTITION BY exchange, symbol, side, price_ticks ORDER BY seq), 1000000),
+    coalesce(next_epoch, 1000000)) AS seq_to FROM ep WHERE epoch IS NOT NULL"""
+LV = """SELECT m.exchange, m.symbol, m.seq, m.ts_us, i.side, i.price_ticks, i.price, i.quantity,
+    row_number() OVER (PARTITION BY m.exchange, m.symbol, m.seq, i.side
+      ORDER BY CASE i.side WHEN 'bid' THEN -i.price_ticks ELSE i.price_ticks END) AS rk
+  FROM msg m JOIN iv i ON m.exchange = i.exchange AND m.symbol = i.symbol
+   AND i.seq_from <= m.seq AND m.seq < i.seq_to AND i.quantity > 0"""
+L2 = duck("fx_l2", extra={"msg": MSG, "ep": EPOCHED, "iv": IVALS})
+BOOK = duck("fx_l2", extra={"msg": MSG, "ep": EPOCHED, "iv": IVALS, "lv": LV})
+
+# First days of each month of the ship-date range, as day numbers and as timestamps.
+MONTHS = "SELECT DISTINCT CAST(datediff('day', DATE '1995-01-01', date_trunc('month', l_shipdate)) AS BIGINT) AS at FROM lineitem"
+
+
+def levels(spark, d):
+    return view(spark, d, "fx_l2")
+
+
+def month_points(spark, d):
+    """(exchange, symbol, at) for the first day of each month and every key."""
+    first = F.trunc(F.col("l_shipdate").cast("date"), "month")
+    months = view(spark, d, "lineitem").select(
+        F.datediff(first, F.lit("1995-01-01")).cast("long").alias("at")
+    ).distinct()
+    keys = levels(spark, d).select(*KEY).distinct()
+    return keys.crossJoin(F.broadcast(months))  # one row per month of the calendar
+
+
+def _pick(at: str, extra: str = "") -> str:
+    return f"""
+SELECT p.exchange, p.symbol, p.at, i.side, i.price_ticks, i.price, i.quantity
+FROM (SELECT k.exchange, k.symbol, m.at FROM (SELECT DISTINCT exchange, symbol FROM fx_l2) k CROSS JOIN ({MONTHS}) m) p
+JOIN {at} i ON p.exchange = i.exchange AND p.symbol = i.symbol AND i.seq_from <= p.at AND p.at < i.seq_to
+ AND i.quantity > 0 {extra}"""
+
+
+LAST = "AND p.at <= (SELECT max(seq) FROM fx_l2 z WHERE z.exchange = p.exchange AND z.symbol = p.symbol)"
+
+
+@query("book_levels_at", L2 + _pick("iv", LAST))
+def _(spark, d):
+    return b.book_levels_at(levels(spark, d), month_points(spark, d), CHUNK, bucket=30)
+
+
+ACT = duck("fx_l2", extra={"ia": """SELECT exchange, symbol, side, price_ticks, price, quantity, seq AS seq_from,
+    coalesce(lead(seq) OVER (PARTITION BY exchange, symbol, side, price_ticks ORDER BY seq), 1000000) AS seq_to
+    FROM fx_l2"""})
+
+
+@query("book_levels_actions", ACT + _pick("ia", LAST))
+def _(spark, d):
+    actions = levels(spark, d).withColumn(
+        "action", F.when(F.col("quantity") == 0, "delete").otherwise("change")
+    ).withColumn("quantity", F.when(F.col("quantity") == 0, F.lit(1.0)).otherwise(F.col("quantity")))
+    return b.book_levels_actions(actions, month_points(spark, d), CHUNK, bucket=30)
+
+
+SUMMARY = """
+SELECT exchange, symbol, seq, count(*) FILTER (side = 'bid') AS bid_levels, count(*) FILTER (side = 'ask') AS ask_levels,
+       coalesce(sum(quantity) FILTER (side = 'bid'), 0) AS bid_qty, coalesce(sum(quantity) FILTER (side = 'ask'), 0) AS ask_qty
+"""
+
+
+def summary(df, *more):
+    def q(side):
+        return F.aggregate(side, F.lit(0.0), lambda acc, lv: acc + lv["quantity"])
+
+    return df.select(
+        "exchange", "symbol", "seq", F.size("bids").cast("long").alias("bid_levels"),
+        F.size("asks").cast("long").alias("ask_levels"), q("bids").alias("bid_qty"), q("asks").alias("ask_qty"), *more,
+    )
+
+
+@query("book_snapshots_series", BOOK + """, nth AS (
+  SELECT exchange, symbol, seq FROM (SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS n FROM msg)
+  WHERE n % 100 = 0)""" + SUMMARY + "FROM lv SEMI JOIN nth USING (exchange, symbol, seq) GROUP BY ALL")
+def _(spark, d):
+    return summary(b.book_snapshots_series(levels(spark, d), CHUNK, 100))
+
+
+@query("book_snapshots", BOOK + """, nth AS (
+  SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq DESC) AS back FROM (
+    SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS n FROM msg) WHERE n % 50 = 0)"""
+       + SUMMARY + """, max(n) AS nth FROM lv JOIN (SELECT exchange, symbol, seq, n FROM nth WHERE back <= 10)
+  USING (exchange, symbol, seq) GROUP BY ALL""")
+def _(spark, d):
+    return summary(b.book_snapshots(levels(spark, d), CHUNK, 50, 10), "nth")
+
+
+@query("seq_gaps", L2 + """
+SELECT exchange, symbol, seq, is_snapshot, last_id, has_gap, CASE WHEN has_gap THEN update_id - last_id - 1 ELSE 0 END AS missing
+FROM (SELECT *, coalesce(NOT is_snapshot AND update_id <> last_id + 1, false) AS has_gap FROM (
+  SELECT *, lag(update_id) OVER (PARTITION BY exchange, symbol ORDER BY seq) AS last_id FROM msg))""")
+def _(spark, d):
+    out = b.seq_gaps(b.messages(levels(spark, d)), CHUNK)
+    return out.select("exchange", "symbol", "seq", "is_snapshot", "last_id", "has_gap", "missing")
+
+
+CHAIN = """, c AS (SELECT *, CASE WHEN update_id % 13 = 0 THEN update_id - 2 ELSE
+    lag(update_id) OVER (PARTITION BY exchange, symbol ORDER BY seq) END AS pu FROM msg),
+k AS (SELECT *, max(CASE WHEN is_snapshot THEN seq END) OVER w AS epoch,
+    coalesce(NOT is_snapshot AND lag(update_id) OVER w <> pu, false) AS bad FROM c
+    WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq))"""
+
+
+def _chained(spark, d):
+    from tickloom.plans.ordered import chunk_of, prev, scan
+
+    rows = scan(b.messages(levels(spark, d)), KEY, ["seq"], chunk_of("seq", CHUNK), _p=prev(F.col("update_id")))
+    pu = F.when(F.col("update_id") % 13 == 0, F.col("update_id") - 2).otherwise(F.col("_p"))
+    return rows.withColumn("prev_update_id", pu).drop("_p")
+
+
+@query("pu_chain", L2 + CHAIN + """
+SELECT exchange, symbol, seq, epoch, NOT bad AS in_chain, epoch IS NOT NULL AND NOT coalesce(bool_or(bad) OVER (
+    PARTITION BY exchange, symbol, epoch ORDER BY seq), false) AS synchronised FROM k""")
+def _(spark, d):
+    out = b.pu_chain(_chained(spark, d), CHUNK)
+    return out.select("exchange", "symbol", "seq", "epoch", "in_chain", "synchronised")
+
+
+@query("builder_states", L2 + """, g AS (
+  SELECT *, coalesce(NOT is_snapshot AND update_id <> lag(update_id) OVER w + 1, false) AS has_gap,
+         max(CASE WHEN is_snapshot THEN seq END) OVER w AS epoch, min(ts_us) OVER w AS first_ts FROM msg
+  WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq)),
+a AS (SELECT *, CAST(sum(has_gap::INT) OVER (PARTITION BY exchange, symbol, epoch ORDER BY seq) AS BIGINT) AS attempts FROM g)
+SELECT exchange, symbol, seq, epoch, attempts AS resync_attempts,
+       CASE WHEN epoch IS NULL THEN CASE WHEN ts_us - first_ts > 864000000000 THEN 'resync' ELSE 'buffering' END
+            WHEN attempts > 5 THEN 'error' WHEN attempts > 0 THEN 'resync' ELSE 'live' END AS state,
+       CASE WHEN epoch IS NULL THEN CASE WHEN ts_us - first_ts > 864000000000 THEN 'timeout' END
+            WHEN attempts > 0 THEN 'gap' END AS reason
+FROM a""")
+def _(spark, d):
+    out = b.builder_states(b.messages(levels(spark, d)), CHUNK, snapshot_timeout_s=864_000)
+    return out.select("exchange", "symbol", "seq", "epoch", "resync_attempts", "state", "reason")
+
+
+@query("snapshot_delta_sync", L2 + CHAIN + """, s AS (
+  SELECT exchange, symbol, seq, seq + 2 AS L FROM msg WHERE is_snapshot),
+dl AS (SELECT exchange, symbol, seq, CASE WHEN update_id % 5 = 0 THEN update_id - 3 ELSE update_id END AS U,
+       update_id AS u2, pu FROM c WHERE NOT is_snapshot),
+j AS (SELECT d.*, s.seq AS snapshot_seq, s.L, u2 <= s.L AS stale FROM dl d ASOF JOIN s
+      ON d.exchange = s.exchange AND d.symbol = s.symbol AND d.seq >= s.seq),
+o AS (SELECT *, CASE WHEN stale THEN true WHEN coalesce(lag(stale) OVER w, true) THEN U <= L AND L <= u2
+             ELSE coalesce(pu = lag(u2) OVER w, false) END AS ok FROM j
+      WINDOW w AS (PARTITION BY exchange, symbol, snapshot_seq ORDER BY seq))
+SELECT exchange, symbol, seq, snapshot_seq, U AS first_update_id, u2 AS update_id, pu AS prev_update_id,
+       CASE WHEN stale THEN 'stale' WHEN coalesce(bool_or(NOT ok) OVER (PARTITION BY exchange, symbol, snapshot_seq
+              ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'rejected'
+            WHEN NOT ok THEN 'resync' ELSE 'accepted' END AS verdict
+FROM o""")
+def _(spark, d):
+    rows = _chained(spark, d)
+    snaps = rows.filter("is_snapshot").withColumn("last_update_id", F.col("seq") + 2)
+    first = F.when(F.col("update_id") % 5 == 0, F.col("update_id") - 3).otherwise(F.col("update_id"))
+    deltas = rows.filter("NOT is_snapshot").select(
+        *KEY, "seq", first.alias("first_update_id"), "update_id", "prev_update_id"
+    )
+    out = b.snapshot_delta_sync(snaps, deltas, CHUNK)
+    return out
+
+
+L3 = """, st AS (
+  SELECT *, CASE WHEN lag(epoch) OVER w = epoch THEN lag(quantity) OVER w ELSE 0 END AS held, lead(seq) OVER w AS nseq
+  FROM ep WHERE epoch IS NOT NULL WINDOW w AS (PARTITION BY exchange, symbol, side, price_ticks ORDER BY seq)),
+xe AS (
+  SELECT exchange, symbol, side, price_ticks, price, seq, ts_us, CASE side WHEN 'bid' THEN 1 ELSE 2 END AS kind,
+         CASE WHEN quantity = 0 THEN 'cancel' WHEN quantity > held THEN 'add' ELSE 'execute' END AS event_type,
+         CASE WHEN quantity = 0 THEN held ELSE abs(quantity - held) END AS quantity
+  FROM st WHERE (quantity = 0 AND held > 0) OR (quantity > 0 AND quantity <> held)
+  UNION ALL
+  SELECT s.exchange, s.symbol, s.side, s.price_ticks, s.price, m.seq, m.ts_us, 0, 'cancel', s.quantity
+  FROM st s JOIN msg m ON s.exchange = m.exchange AND s.symbol = m.symbol AND s.next_epoch = m.seq
+  WHERE s.quantity > 0 AND (s.nseq IS NULL OR s.nseq >= s.next_epoch))"""
+
+
+@query("l3_events", L2 + L3 + """
+SELECT exchange, symbol, side, price_ticks, price, seq, ts_us, event_type, quantity,
+       row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq, kind, side, price_ticks) AS order_id FROM xe""")
+def _(spark, d):
+    return b.l3_events(levels(spark, d), CHUNK)
+
+
+DAY_MS = 86_400_000
+
+
+@query("order_flow_imbalance_l3", L2 + L3 + f""", pe AS (
+  SELECT exchange, symbol, seq, ts_us, coalesce(sum(quantity) FILTER (event_type = 'add' AND side = 'bid'), 0) AS buy,
+         coalesce(sum(quantity) FILTER (event_type = 'add' AND side = 'ask'), 0) AS sell FROM xe GROUP BY ALL)
+SELECT exchange, symbol, seq, buy, sell,
+       round((sum(buy) OVER w - sum(sell) OVER w) / nullif(sum(buy) OVER w + sum(sell) OVER w, 0), 8) AS order_flow_imbalance
+FROM pe WINDOW w AS (PARTITION BY exchange, symbol ORDER BY ts_us RANGE BETWEEN {20 * DAY_MS * 1000} PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    out = b.order_flow_imbalance_l3(b.l3_events(levels(spark, d), CHUNK), 20 * DAY_MS)
+    return out.select("exchange", "symbol", "seq", "buy", "sell", F.round("order_flow_imbalance", 8).alias("order_flow_imbalance"))
+
+
+@query("fixed_depth_book")
+def _(spark, d):
+    return b.fixed_depth_book(levels(spark, d), CHUNK, 20)
+
+
+NUM = "rtrim(rtrim(CAST(CAST({} AS DECIMAL(28,8)) AS VARCHAR), '0'), '.')"
+SPELL = NUM.format("price") + " || ':' || " + NUM.format("quantity")
+
+
+@query("book_checksum", BOOK + f"""
+SELECT exchange, symbol, seq, md5(coalesce(string_agg({SPELL} || '|', '' ORDER BY rk) FILTER (side = 'bid'), '') || '||'
+       || coalesce(string_agg({SPELL} || '|', '' ORDER BY rk) FILTER (side = 'ask'), '')) AS checksum
+FROM lv GROUP BY ALL""")
+def _(spark, d):
+    out = b.book_checksum(b.books(levels(spark, d), CHUNK), "md5")
+    return out.select("exchange", "symbol", "seq", "checksum")
+
+
+@query("book_checksum_crc32")
+def _(spark, d):
+    out = b.book_checksum(b.books(levels(spark, d), CHUNK), "crc32")
+    return out.select("exchange", "symbol", "seq", "checksum")
+
+
+@query("checksum_audit", L2 + """, ck AS (
+  SELECT exchange, symbol, seq, NOT (seq % 11 <> 0 AND seq % 40 < 9) AS valid FROM msg),
+r AS (SELECT *, count(*) OVER w AS checks, CAST(sum((NOT valid)::INT) OVER w AS BIGINT) AS failures FROM ck
+      WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq)),
+z AS (SELECT *, failures - coalesce(max(CASE WHEN valid THEN failures END) OVER (
+        PARTITION BY exchange, symbol ORDER BY seq), 0) AS consecutive_failures FROM r)
+SELECT exchange, symbol, seq, valid, checks, failures, consecutive_failures, consecutive_failures >= 5 AS needs_resync,
+       round((checks - failures) / checks, 8) AS success_rate FROM z""")
+def _(spark, d):
+    computed = F.md5(F.concat_ws("|", "exchange", "symbol", F.col("seq").cast("string")))
+    received = F.when(F.col("seq") % 11 == 0, F.lit(None)).when(F.col("seq") % 40 < 9, "corrupt").otherwise(computed)
+    rows = b.messages(levels(spark, d)).withColumns({"computed": computed, "received": received})
+    out = b.checksum_audit(rows, CHUNK)
+    return out.select(
+        "exchange", "symbol", "seq", "valid", "checks", "failures", "consecutive_failures", "needs_resync",
+        F.round("success_rate", 8).alias("success_rate"),
+    )
+
+
+def update_arrays(spark, d):
+    """Update messages with level lists; some timestamps step back and some bid lists are reversed."""
+    level = F.struct("price", "quantity")
+    grouped = levels(spark, d).groupBy(*KEY, "seq").agg(
+        F.max("ts_us").alias("ts_us"), F.max("is_snapshot").alias("is_snapshot"), F.max("update_id").alias("update_id"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == "bid", level)), asc=False).alias("bids"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == "ask", level))).alias("asks"),
+    )
+    return grouped.withColumns({
+        "bids": F.when(F.col("seq") % 37 == 0, F.reverse("bids")).otherwise(F.col("bids")),
+        "ts_us": F.when(F.col("seq") % 29 == 0, F.col("ts_us") - 20 * 86_400_000_000).otherwise(F.col("ts_us")),
+    })
+
+
+UPD = """, up AS (
+  SELECT exchange, symbol, seq, max(ts_us) - CASE WHEN seq % 29 = 0 THEN 1728000000000 ELSE 0 END AS ts_us,
+         CASE WHEN seq % 37 = 0 THEN min(price) FILTER (side = 'bid') ELSE max(price) FILTER (side = 'bid') END AS bb,
+         min(price) FILTER (side = 'ask') AS ba, count(*) FILTER (side = 'bid') AS nb FROM fx_l2 GROUP BY exchange, symbol, seq),
+um AS (SELECT *, (bb + ba) / 2 AS mid FROM up),
+ul AS (SELECT *, lag(ts_us) OVER w AS lts, last_value(mid IGNORE NULLS) OVER (PARTITION BY exchange, symbol ORDER BY seq
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lmid FROM um
+       WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq))"""
+
+
+@query("book_validation", L2 + UPD + """
+SELECT exchange, symbol, seq, round(mid, 6) AS mid,
+       CASE WHEN ts_us < lts THEN 'non_monotonic' WHEN (1004832000000000 - ts_us) / 1000 > 180000000000 THEN 'stale'
+            WHEN seq % 37 = 0 AND nb > 1 THEN 'bids_unsorted' WHEN bb >= ba THEN 'crossed'
+            WHEN abs((mid - lmid) / lmid) * 100 > 0.3 THEN 'outlier' END AS violation FROM ul""")
+def _(spark, d):
+    out = b.book_validation(update_arrays(spark, d), CHUNK, 0.3, 180_000_000_000, F.lit(1_004_832_000_000_000))
+    return out.select("exchange", "symbol", "seq", F.round("mid", 6).alias("mid"), "violation")

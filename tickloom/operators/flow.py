@@ -18,8 +18,17 @@ from tickloom.plans.ordered import (
 KEY = ["exchange", "symbol"]
 CHUNKS_PER_WINDOW = 4
 
-BUY, SELL = F.col("side") == "buy", F.col("side") == "sell"
-NOTIONAL = F.col("price") * F.col("quantity")
+
+def _buy() -> Column:
+    return F.col("side") == "buy"
+
+
+def _sell() -> Column:
+    return F.col("side") == "sell"
+
+
+def _notional() -> Column:
+    return F.col("price") * F.col("quantity")
 
 
 def windowed(trades: DataFrame, window_us: int, keys=KEY, chunk_us: int | None = None, **aggs) -> DataFrame:
@@ -36,7 +45,7 @@ def _sum(value: Column):
 def tick_flow_by_side(trades: DataFrame, window_us: int = 1_000_000) -> DataFrame:
     out = windowed(
         trades, window_us,
-        _b=lambda w: F.count(F.when(BUY, 1)).over(w), _s=lambda w: F.count(F.when(SELL, 1)).over(w),
+        _b=lambda w: F.count(F.when(_buy(), 1)).over(w), _s=lambda w: F.count(F.when(_sell(), 1)).over(w),
         _n=lambda w: F.count(F.lit(1)).over(w),
     )
     return out.withColumn("tick_flow_imbalance", (F.col("_b") - F.col("_s")) / F.col("_n")).drop("_b", "_s", "_n")
@@ -65,7 +74,7 @@ def tick_flow_updown(trades: DataFrame, window_us: int = 15_000_000) -> DataFram
 
 
 def _side_flow(trades: DataFrame, window_us: int, amount: Column, name: str) -> DataFrame:
-    out = windowed(trades, window_us, _b=_sum(where(BUY, amount)), _s=_sum(where(SELL, amount)))
+    out = windowed(trades, window_us, _b=_sum(where(_buy(), amount)), _s=_sum(where(_sell(), amount)))
     return out.withColumn(name, imbalance(F.col("_b"), F.col("_s"))).drop("_b", "_s")
 
 
@@ -74,21 +83,21 @@ def trade_flow_qty(trades: DataFrame, window_us: int = 1_000_000) -> DataFrame:
 
 
 def trade_flow_notional(trades: DataFrame, window_us: int = 15_000_000) -> DataFrame:
-    return _side_flow(trades, window_us, NOTIONAL, "trade_flow_imbalance")
+    return _side_flow(trades, window_us, _notional(), "trade_flow_imbalance")
 
 
 def order_flow_imbalance_trades(trades: DataFrame, window_us: int = 15_000_000) -> DataFrame:
     """Signed notional of the recent trades over their total notional."""
-    out = windowed(trades, window_us, _net=_sum(signed(F.col("side"), NOTIONAL)), _all=_sum(NOTIONAL))
+    out = windowed(trades, window_us, _net=_sum(signed(F.col("side"), _notional())), _all=_sum(_notional()))
     return out.withColumn("order_flow_imbalance", ratio(F.col("_net"), F.col("_all"))).drop("_net", "_all")
 
 
 def _vwap(window_us: int):
-    return lambda w: F.sum(NOTIONAL).over(w) / F.sum("quantity").over(w)
+    return lambda w: F.sum(_notional()).over(w) / F.sum("quantity").over(w)
 
 
 def rolling_vwap(trades: DataFrame, window_us: int) -> DataFrame:
-    return windowed(trades, window_us, vwap=lambda w: ratio(F.sum(NOTIONAL).over(w), F.sum("quantity").over(w)))
+    return windowed(trades, window_us, vwap=lambda w: ratio(F.sum(_notional()).over(w), F.sum("quantity").over(w)))
 
 
 def trade_intensity(trades: DataFrame, window_us: int) -> DataFrame:

@@ -83,9 +83,14 @@ def _last(column: Column) -> Column:
     return F.last(column, ignorenulls=True)
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **runs: Run) -> DataFrame:
+def scan(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, keep_chunk: bool = False, **runs: Run
+) -> DataFrame:
     """Add one column per run, computed along `order` within `keys`.
 
+    A following scan of the same keys reuses the shuffle when the chunk is kept and passed on
+    as `F.col(CHUNK)`.
+
     One shuffle of the rows on (keys, chunk) plus one small summary; the order inside a
     key must be total unless a `range` frame is used. Inclusive by default; frames ending in
     `_before` exclude the current row (or its peers).
@@ -123,7 +128,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **runs
             else:
                 final[name] = (F.greatest if run.kind == "max" else F.least)(near, far)
     summary = base.groupBy(*keys, CHUNK).agg(*totals).select(*keys, CHUNK, *carried)
-    kept = [c for c in df.columns if c not in runs]
+    kept = [c for c in df.columns if c not in runs and c != CHUNK] + ([CHUNK] if keep_chunk else [])
     joined = base.withColumns(local).join(summary, [*keys, CHUNK], "left")
     return joined.select(*kept, *[final[n].alias(n) for n in runs])
 
