@@ -85,10 +85,10 @@ def _(spark, d):
 
 
 @query("rolling_vwap", T + f"""
-SELECT trade_id, exchange, symbol, ts_us, round(sum(price * quantity) OVER w / sum(quantity) OVER w, 6) AS vwap
+SELECT trade_id, exchange, symbol, ts_us, round(sum(price * quantity) OVER w / sum(quantity) OVER w + 1e-9, 6) AS vwap
 FROM fx_trades {_frame(SLOW)}""")
 def _(spark, d):
-    return flow.rolling_vwap(_trades(spark, d), SLOW).select(*ID, F.round("vwap", 6).alias("vwap"))
+    return flow.rolling_vwap(_trades(spark, d), SLOW).select(*ID, F.round(F.col("vwap") + 1e-9, 6).alias("vwap"))
 
 
 @query("trade_intensity", T + f"""

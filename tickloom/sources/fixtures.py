@@ -201,3 +201,15 @@ def duck(*names: str, extra: dict[str, str] | None = None) -> str:
     parts = [f"{n} AS ({_DUCK[n]})" for n in needed]
     parts += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same view over a file stream of its table."""
+    source = {"fx_base": "events", "fx_options": "part", "fx_l2": "lineitem", "fx_fills": "lineitem"}.get(name)
+    if name in TABLES:
+        schema = table(spark, folder, name).schema
+        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+        return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    if source is None:
+        return spark.sql(_SPARK[name], fx_base=stream(spark, folder, "fx_base", files_per_batch))
+    return spark.sql(_SPARK[name], **{source: stream(spark, folder, source, files_per_batch)})
