@@ -37,12 +37,11 @@ def levels(spark, d):
 
 def month_points(spark, d):
     """(exchange, symbol, at) for the first day of each month and every key."""
-    first = F.trunc(F.col("l_shipdate").cast("date"), "month")
-    months = view(spark, d, "lineitem").select(
-        F.datediff(first, F.lit("1995-01-01")).cast("long").alias("at")
-    ).distinct()
-    keys = levels(spark, d).select(*KEY).distinct()
-    return keys.crossJoin(F.broadcast(months))  # one row per month of the calendar
+    span = levels(spark, d).groupBy(*KEY).agg(
+        F.trunc(F.timestamp_micros(F.min("ts_us")), "month").alias("first"), F.timestamp_micros(F.max("ts_us")).cast("date").alias("last"))
+    months = F.explode(F.expr("sequence(first, last, interval 1 month)"))
+    return span.select(*KEY, months.alias("day")).select(
+        *KEY, F.datediff("day", F.lit("1995-01-01")).cast("long").alias("at"))
 
 
 def _pick(at: str, extra: str = "") -> str:

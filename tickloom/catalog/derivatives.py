@@ -111,9 +111,9 @@ QUOTES = "q AS (SELECT event_id % (SELECT count(*) FROM part) AS option_code, ev
 SELECT option_code, strike_price, option_type, quote_id, last_price FROM fx_options JOIN q USING (option_code) WHERE ts_us > {SINCE}""")
 def _(spark, d):
     opts = options(spark, d)
-    n = opts.agg(F.count(F.lit(1)).alias("n"))
-    quotes = view(spark, d, "fx_base").crossJoin(F.broadcast(n)).select(  # one row
-        (F.col("event_id") % F.col("n")).alias("option_code"), F.col("event_id").alias("quote_id"),
+    n = opts.agg(F.count(F.lit(1))).scalar()
+    quotes = view(spark, d, "fx_base").select(
+        (F.col("event_id") % n).alias("option_code"), F.col("event_id").alias("quote_id"),
         (F.col("cents") / 100).alias("last_price"), "ts_us",
     )
     return dv.options_with_quotes(opts, quotes, SINCE).select("option_code", "strike_price", "option_type", "quote_id", "last_price")

@@ -157,9 +157,9 @@ FROM p""")
 def _(spark, d):
     trades = _trades(spark, d)
     arrival = F.col("ts_us") + F.when(F.col("trade_id") % 7 == 0, 4 * HOUR).otherwise(0)
-    as_of = trades.agg(F.max("ts_us").alias("as_of"))
-    rows = trades.withColumn("arrival", arrival).crossJoin(F.broadcast(as_of))  # one row
-    return flow.trade_validation(rows, MAX_CHANGE, STALE_MS, F.col("as_of")).select(*ID, "violation")
+    as_of = trades.agg(F.max("ts_us")).scalar()
+    rows = trades.withColumn("arrival", arrival)
+    return flow.trade_validation(rows, MAX_CHANGE, STALE_MS, as_of).select(*ID, "violation")
 
 
 @query("late_rows", duck("fx_packets") + """, s AS (

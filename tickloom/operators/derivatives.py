@@ -157,23 +157,23 @@ def screen_near_expiry(futures: DataFrame, days: int = 30, as_of: Column | None
     return out.filter((F.col("days_to_expiry") > 0) & (F.col("days_to_expiry") <= days)).orderBy("days_to_expiry")
 
 
-def quantile_of(df: DataFrame, value: str, q: float, chunk_width: float) -> DataFrame:
-    """One row `threshold`: the q-quantile with linear interpolation, exact at any size."""
+def quantile_of(df: DataFrame, value: str, q: float, chunk_width: float) -> Column:
+    """The q-quantile with linear interpolation as a scalar subquery, exact at any size."""
     at = (F.col("n") - 1) * F.lit(q)
     stats = order_statistics(df, [], value, {"lo": F.floor(at), "hi": F.ceil(at)}, F.floor(F.col(value) / chunk_width))
     part = at - F.floor(at)
-    return stats.select((F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("threshold"))
+    return stats.select(F.col("lo") + (F.col("hi") - F.col("lo")) * part).scalar()
 
 
 def screen_high_iv(options: DataFrame, q: float = 0.8) -> DataFrame:
     limit = quantile_of(options, "implied_volatility", q, 10)
-    return options.crossJoin(F.broadcast(limit)).filter(F.col("implied_volatility") >= F.col("threshold")).orderBy(
-        F.col("implied_volatility").desc())  # the threshold is one row
+    return options.withColumn("threshold", limit).filter(F.col("implied_volatility") >= F.col("threshold")).orderBy(
+        F.col("implied_volatility").desc())
 
 
 def volatility_signal(options: DataFrame, q: float = 0.8, k: int = 3) -> DataFrame:
     limit = quantile_of(options, "implied_volatility", q, 10)
-    high = options.crossJoin(F.broadcast(limit)).filter(F.col("implied_volatility") > F.col("threshold"))  # one row
+    high = options.filter(F.col("implied_volatility") > limit)
     return high.orderBy(F.col("implied_volatility").desc(), "option_code").limit(k).withColumn("signal", F.lit("SELL VOL"))
 
 
@@ -267,9 +267,8 @@ def momentum_signal(realtime: DataFrame, k: int = 5, chunk_us: int = DAY_US) ->
     """Rising faster than before on more than median volume: the newest k."""
     linked = scan(realtime, ["symbol"], ["ts_us", "id"], chunk_of("ts_us", chunk_us), prev_change=prev(F.col("change_rate")))
     middle = quantile_of(realtime, "volume", 0.5, 10)
-    hit = (F.col("change_rate") > 0) & (F.col("change_rate") > F.col("prev_change")) & (F.col("volume") > F.col("threshold"))
-    return linked.crossJoin(F.broadcast(middle)).filter(hit).orderBy(F.col("ts_us").desc(), F.col("id").desc()).limit(k).drop(
-        "threshold")  # one row
+    hit = (F.col("change_rate") > 0) & (F.col("change_rate") > F.col("prev_change")) & (F.col("volume") > middle)
+    return linked.filter(hit).orderBy(F.col("ts_us").desc(), F.col("id").desc()).limit(k)
 
 
 def mean_reversion_signal(realtime: DataFrame, n: int = 10, z: float = 2, chunk_us: int = DAY_US, rows_per_chunk: int = 100_000):

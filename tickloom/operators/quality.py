@@ -263,9 +263,8 @@ def worst_exchange(packets: DataFrame) -> DataFrame:
 def active_symbols_topk(packets: DataFrame, k: int = 10) -> DataFrame:
     """The k busiest keys with inversions and rate; `remaining` keys are not shown."""
     per = _per_key(packets).withColumn("inversion_pct", F.col("inversions") / F.col("packets") * 100)
-    total = per.agg(F.greatest(F.count(F.lit(1)) - k, F.lit(0)).alias("remaining"))
-    top = per.orderBy(F.col("packets").desc(), "exchange", "symbol").limit(k)
-    return top.crossJoin(F.broadcast(total))  # one row
+    remaining = packets.select(*KEY).distinct().agg(F.greatest(F.count(F.lit(1)) - k, F.lit(0))).scalar()
+    return per.orderBy(F.col("packets").desc(), "exchange", "symbol").limit(k).withColumn("remaining", remaining)
 
 
 def pre_post_compare(packets: DataFrame) -> DataFrame:

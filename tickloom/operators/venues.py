@@ -188,7 +188,8 @@ def nbbo_statistics(df: DataFrame) -> DataFrame:
         F.struct(F.col("ask_exchange").alias("venue"), F.lit(0).alias("b"), F.lit(1).alias("a")),
     )).alias("s")).select("s.*")
     shares = sides.groupBy("venue").agg(F.sum("b").alias("best_bid_count"), F.sum("a").alias("best_ask_count"))
-    out = shares.crossJoin(F.broadcast(totals))  # one row
+    names = totals.columns
+    out = shares.withColumn("_t", totals.select(F.struct(*names)).scalar()).select(*shares.columns, "_t.*")
     for side in ("bid", "ask"):
         out = out.withColumn(f"best_{side}_pct", F.col(f"best_{side}_count") / F.col("computations") * 100)
     return out
@@ -198,8 +199,7 @@ def stale_books(books: DataFrame, max_stale_ms: int, as_of: int | None = None) -
     """Books whose last update is older than the limit at `as_of` (default: newest row)."""
     last = books.groupBy("exchange", "symbol").agg(F.max("ts_us").alias("last_ts_us"))
     if as_of is None:
-        newest = last.agg(F.max("last_ts_us").alias("as_of_us"))
-        last = last.crossJoin(F.broadcast(newest))  # one row
+        last = last.withColumn("as_of_us", books.agg(F.max("ts_us")).scalar())
     else:
         last = last.withColumn("as_of_us", F.lit(as_of))
     age = F.floor((F.col("as_of_us") - F.col("last_ts_us")) / 1000)

@@ -199,10 +199,7 @@ def order_statistics(
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
     sizes = counted.groupBy(*keys).agg(F.sum("_cnt").alias("n"))
     running = scan(counted, keys, [value], value_chunk, _hi=cumsum(F.col("_cnt")))
-    if keys:
-        ranked = running.join(sizes, keys)
-    else:
-        ranked = running.crossJoin(F.broadcast(sizes))  # one row
+    ranked = running.join(sizes, keys) if keys else running.withColumn("n", sizes.scalar())
     lo, hi = F.col("_hi") - F.col("_cnt"), F.col("_hi")
     picks = [
         F.max(F.when((rank >= lo) & (rank < hi), F.col(value))).alias(name) for name, rank in ranks.items()
