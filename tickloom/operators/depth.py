@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import book as bk
 from tickloom.functions.ratios import imbalance, ratio
-from tickloom.plans.ordered import CHUNK, HALO, asof, drop_halo, frame_window, with_halo
+from tickloom.plans.ordered import CHUNK, HALO, chunk_of, drop_halo, ffill, frame_window, scan, with_halo
 
 KEY = ["exchange", "symbol"]
 
@@ -80,15 +80,21 @@ def asof_book_lag(
 ) -> DataFrame:
     """`values` of the latest book at or before ts - lag, as `<value>_<lag>ms`, per lag.
 
-    All lags travel as probe rows of one as-of pass; carry thin columns, not level arrays.
+    Every book emits itself and one probe per lag, and one forward fill answers all probes;
+    carry thin columns, not level arrays.
     """
-    lags = F.explode(F.array(*[F.lit(lag).cast("long") for lag in lags_ms]))
-    probes = books.withColumn("_lag", lags).withColumn("_at", F.col("ts_us") - F.col("_lag") * 1000)
-    past = books.select(*KEY, "ts_us", "seq", *[F.col(v).alias(f"_r_{v}") for v in values])
-    found = asof(probes, past, KEY, "_at", "ts_us", [f"_r_{v}" for v in values], chunk_us, right_tie="seq")
+    now = F.struct(F.lit(0).cast("long").alias("lag"), F.lit(0).alias("tag"))
+    marks = F.array(now, *[F.struct(F.lit(lag).cast("long").alias("lag"), F.lit(1).alias("tag")) for lag in lags_ms])
+    rows = books.withColumn("_m", F.explode(marks)).withColumns({
+        "_lag": F.col("_m.lag"), "_tag": F.col("_m.tag"), "_at": F.col("ts_us") - F.col("_m.lag") * 1000,
+    }).drop("_m")
+    found = scan(
+        rows, KEY, ["_at", "_tag", "seq"], chunk_of("_at", chunk_us),
+        **{f"_p_{v}": ffill(F.when(F.col("_tag") == 0, F.struct(v))) for v in values},
+    ).filter(F.col("_tag") == 1)
     rest = [c for c in books.columns if c not in (*KEY, "seq")]
     picks = [
-        F.max(F.when(F.col("_lag") == lag, F.col(f"matched._r_{v}"))).alias(f"{v}_{lag}ms")
+        F.max(F.when(F.col("_lag") == lag, F.col(f"_p_{v}.{v}"))).alias(f"{v}_{lag}ms")
         for lag in lags_ms for v in values
     ]
     wide = found.groupBy(*KEY, "seq").agg(F.first(F.struct(*rest)).alias("_b"), *picks)

@@ -83,26 +83,40 @@ def _last(column: Column) -> Column:
     return F.last(column, ignorenulls=True)
 
 
+def _slot(df: DataFrame, keys: list[str]) -> dict[str, Column]:
+    """Partition columns for `keys` that are never NULL, so that a NULL key is a group like any other
+    and no filter is inferred for one side of the carry join only."""
+    stand_in = {"string": "\u0000", "bigint": -(2**63), "int": -(2**31), "date": "0001-01-01"}
+    out = {}
+    for i, key in enumerate(keys):
+        kind = df.schema[key].dataType.simpleString()
+        out[f"_k{i}"] = F.coalesce(F.col(key), F.lit(stand_in.get(kind, stand_in["string"])).cast(kind))
+    return out
+
+
 def scan(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, keep_chunk: bool = False, **runs: Run
 ) -> DataFrame:
     """Add one column per run, computed along `order` within `keys`.
 
-    A following scan of the same keys reuses the shuffle when the chunk is kept and passed on
+    The rows are shuffled once, on (keys, chunk); the windows and the chunk summaries both read
+    that shuffle. The order inside a key must be total unless a `range` frame is used. Inclusive
+    by default; frames ending in `_before` exclude the current row (or its peers).
+    A following scan of the same keys stays on the shuffle when the chunk is kept and passed on
     as `F.col(CHUNK)`.
-
-    One shuffle of the rows on (keys, chunk) plus one small summary; the order inside a
-    key must be total unless a `range` frame is used. Inclusive by default; frames ending in
-    `_before` exclude the current row (or its peers).
     """
-    base = df.withColumn(CHUNK, chunk)
+    slots = _slot(df, keys)
+    names = [*slots, CHUNK]
+    kind = df.select(chunk.alias("c")).schema["c"].dataType.simpleString()
+    never_null = F.coalesce(chunk, F.lit("\u0000" if kind == "string" else -(2**63)).cast(kind))
+    base = df.withColumns({**slots, CHUNK: never_null}).repartition(*[F.col(n) for n in names])
     position = F.struct(*[F.col(c) for c in order])
     local, totals, carried, final = {}, [], [], {}
     for name, run in runs.items():
         direction = [F.col(c).desc() if run.reverse else F.col(c).asc() for c in order]
-        inner = Window.partitionBy(*keys, CHUNK).orderBy(*direction)
+        inner = Window.partitionBy(*names).orderBy(*direction)
         outer_order = F.col(CHUNK).desc() if run.reverse else F.col(CHUNK).asc()
-        outer = _frame(Window.partitionBy(*keys).orderBy(outer_order), "rows_before")
+        outer = _frame(Window.partitionBy(*slots).orderBy(outer_order), "rows_before")
         near, far = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         pick = F.min_by if run.reverse else F.max_by
         if run.kind == "prev":
@@ -127,9 +141,13 @@ def scan(
                 )
             else:
                 final[name] = (F.greatest if run.kind == "max" else F.least)(near, far)
-    summary = base.groupBy(*keys, CHUNK).agg(*totals).select(*keys, CHUNK, *carried)
+    # The hash reads every column, so column pruning leaves both readers the same shuffle and Spark
+    # runs it (and all that feeds it) once. The condition itself always holds.
+    whole = F.max(F.hash(*[F.col(c) for c in base.columns]))
+    summary = base.groupBy(*names).agg(*totals, whole.alias("_all")).filter(F.col("_all") >= F.lit(-(2**31)))
+    summary = summary.select(*names, *carried)
     kept = [c for c in df.columns if c not in runs and c != CHUNK] + ([CHUNK] if keep_chunk else [])
-    joined = base.withColumns(local).join(summary, [*keys, CHUNK], "left")
+    joined = base.withColumns(local).join(summary, names, "left")
     return joined.select(*kept, *[final[n].alias(n) for n in runs])
 
 
