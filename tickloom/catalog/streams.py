@@ -72,7 +72,7 @@ def raw_levels(df):
         "CASE l_linestatus WHEN 'O' THEN 9900 ELSE 10001 END + (l_partkey * 7 + l_linenumber) % 95"
         " + CASE l_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE -20 END AS price_ticks",
         "CAST(CASE WHEN l_returnflag = 'N' AND l_discount >= 0.05 THEN 0.0 ELSE l_quantity END AS DOUBLE) AS quantity",
-        "l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS pos",
+        "l_orderkey", "CAST(l_linenumber AS BIGINT) AS l_linenumber", "l_partkey", "l_suppkey",
     ).withColumn("is_snapshot", F.col("seq") % 50 == 0)
 
 
@@ -87,7 +87,7 @@ SELECT s.exchange, s.symbol, s.seq, s.state, max(price_ticks) FILTER (side = 'bi
   count(*) FILTER (q > 0) AS levels FROM s LEFT JOIN lv ON s.exchange = lv.exchange AND s.symbol = lv.symbol AND s.seq = lv.seq GROUP BY ALL""")
 def _(spark, d):
     rows = raw_levels(stream(spark, d, "lineitem"))
-    return run(spark, jobs.stream_book_builder(rows, 864_000), "builder")
+    return run(spark, jobs.stream_book_builder(rows, 864_000, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), "builder")
 
 
 @query("stream_inversions", PK + """

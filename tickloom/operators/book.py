@@ -49,38 +49,44 @@ def messages(levels: DataFrame) -> DataFrame:
 
 
 def with_epoch(levels: DataFrame, chunk: int, last: bool = False) -> DataFrame:
-    """Add `epoch` (seq of the snapshot in force), `next_epoch` and drop deltas before any snapshot."""
-    at = F.struct("seq", "ts_us")
+    """Add `epoch` (seq of the snapshot in force), `next_epoch` / `next_epoch_ts` (the snapshot that
+    ends it) and drop deltas before any snapshot. `last` adds the newest seq and time of the key."""
+    snap = F.col("is_snapshot")
     runs = {
-        "epoch": cummax(F.when(F.col("is_snapshot"), F.col("seq")), "range"),
-        "next_epoch": cummin(F.when(F.col("is_snapshot"), at), "range_before", reverse=True),
+        "epoch": cummax(F.when(snap, F.col("seq")), "range"),
+        "next_epoch": Run("last", F.when(snap, F.col("seq")), "range_before", reverse=True),
+        "next_epoch_ts": Run("last", F.when(snap, F.col("ts_us")), "range_before", reverse=True),
     }
     if last:
-        runs["last_at"] = Run("max", at, "range", reverse=True)
+        runs |= _newest()
     out = scan(levels, KEY, ["seq"], chunk_of("seq", chunk), **runs)
     return out.filter(F.col("epoch").isNotNull())
 
 
+def _newest() -> dict[str, Run]:
+    return {f"last_{c}": Run("max", F.col(c), "range", reverse=True) for c in ("seq", "ts_us")}
+
+
 def level_intervals(levels: DataFrame, chunk: int, snapshots: bool = True) -> DataFrame:
     """Each state of a price level with seq_from/ts_from (inclusive) and seq_to/ts_to (exclusive).
 
     An open state ends one past the last row of the key. Deletes only close and are dropped.
     With `snapshots=False` (action-based venues) nothing is reset.
     """
-    at = F.struct("seq", "ts_us")
     if snapshots:
         rows = with_epoch(levels, chunk, last=True)
     else:
-        rows = scan(
-            levels, KEY, ["seq"], chunk_of("seq", chunk), last_at=Run("max", at, "range", reverse=True)
-        ).withColumns({"epoch": F.lit(0).cast("long"), "next_epoch": F.lit(None).cast("struct<seq:bigint,ts_us:bigint>")})
-    linked = scan(rows, LEVEL, ["seq"], chunk_of("seq", chunk), next_at=following(at))
-    end = F.struct((F.col("last_at.seq") + 1).alias("seq"), (F.col("last_at.ts_us") + 1).alias("ts_us"))
-    stop = F.coalesce(F.least(F.col("next_at"), F.col("next_epoch")), end)
-    return linked.filter(F.col("quantity") > 0).withColumn("_stop", stop).select(
-        *LEVEL, "price", "quantity", "epoch", F.col("seq").alias("seq_from"), F.col("_stop.seq").alias("seq_to"),
-        F.col("ts_us").alias("ts_from"), F.col("_stop.ts_us").alias("ts_to"),
-        (F.col("next_epoch").isNotNull() & (F.col("_stop") == F.col("next_epoch"))).alias("closed_by_snapshot"),
+        none = F.lit(None).cast("long")
+        rows = scan(levels, KEY, ["seq"], chunk_of("seq", chunk), **_newest()).withColumns(
+            {"epoch": F.lit(0).cast("long"), "next_epoch": none, "next_epoch_ts": none})
+    linked = scan(
+        rows, LEVEL, ["seq"], chunk_of("seq", chunk), next_seq=following(F.col("seq")), next_ts=following(F.col("ts_us")))
+    reset = F.col("next_epoch").isNotNull() & (F.col("next_seq").isNull() | (F.col("next_epoch") <= F.col("next_seq")))
+    return linked.filter(F.col("quantity") > 0).select(
+        *LEVEL, "price", "quantity", "epoch", F.col("seq").alias("seq_from"),
+        F.coalesce(F.least("next_seq", "next_epoch"), F.col("last_seq") + 1).alias("seq_to"), F.col("ts_us").alias("ts_from"),
+        F.coalesce(F.when(reset, F.col("next_epoch_ts")).otherwise(F.col("next_ts")), F.col("last_ts_us") + 1).alias("ts_to"),
+        reset.alias("closed_by_snapshot"),
     )
 
 
@@ -271,10 +277,9 @@ def l3_events(levels: DataFrame, chunk: int) -> DataFrame:
     at = chunk_of("seq", chunk)
     rows = with_epoch(levels, chunk)
     changed = scan(
-        rows, LEVEL, ["seq"], at, _p=prev(F.struct("quantity", "epoch")),
-        _n=following(F.struct("seq", "ts_us")),
+        rows, LEVEL, ["seq"], at, _pq=prev(F.col("quantity")), _pe=prev(F.col("epoch")), _n=following(F.col("seq")),
     )
-    held = F.when(F.col("_p.epoch") == F.col("epoch"), F.col("_p.quantity")).otherwise(F.lit(0.0))
+    held = F.when(F.col("_pe") == F.col("epoch"), F.col("_pq")).otherwise(F.lit(0.0))
     changed = changed.withColumn("held", F.coalesce(held, F.lit(0.0)))
     q, h = F.col("quantity"), F.col("held")
     event = (
@@ -285,10 +290,10 @@ def l3_events(levels: DataFrame, chunk: int) -> DataFrame:
     kind = F.when(F.col("side") == "bid", 1).otherwise(2)
     own = F.struct("seq", "ts_us", kind.alias("kind"), event.alias("e"))
     survives = (q > 0) & F.col("next_epoch").isNotNull() & (
-        F.col("_n").isNull() | (F.col("_n.seq") >= F.col("next_epoch.seq"))
+        F.col("_n").isNull() | (F.col("_n") >= F.col("next_epoch"))
     )
     cleared = F.struct(
-        F.col("next_epoch.seq").alias("seq"), F.col("next_epoch.ts_us").alias("ts_us"), F.lit(0).alias("kind"),
+        F.col("next_epoch").alias("seq"), F.col("next_epoch_ts").alias("ts_us"), F.lit(0).alias("kind"),
         F.struct(F.lit("cancel").alias("event_type"), q.alias("quantity")).alias("e"),
     )
     both = F.array_compact(F.array(F.when(event.isNotNull(), own), F.when(survives, cleared)))

@@ -110,17 +110,19 @@ def large_trade_imbalance(trades: DataFrame, window_us: int, pct: float) -> Data
 
     The list per trade is one window of trades, as bounded as the window is.
     """
-    out = windowed(
-        trades, window_us,
-        _w=lambda w: F.collect_list(F.struct("quantity", signed(F.col("side"), F.col("quantity")).alias("net"))).over(w),
-    )
+    net = signed(F.col("side"), F.col("quantity"))
+    out = windowed(trades, window_us, _w=lambda w: F.collect_list(net).over(w))
     n = F.size("_w")
     rank = F.least(F.floor(n * F.lit(pct)).cast("int"), n - 1)
-    out = out.withColumn("size_threshold", F.element_at(F.array_sort("_w"), rank + 1)["quantity"])
-    large = F.filter("_w", lambda t: t["quantity"] >= F.col("size_threshold"))
-    net = F.aggregate(large, F.lit(0.0), lambda acc, t: acc + t["net"])
-    total = F.aggregate(large, F.lit(0.0), lambda acc, t: acc + t["quantity"])
-    return out.withColumn("large_trade_imbalance", ratio(net, total)).drop("_w")
+    sizes = F.sort_array(F.transform("_w", lambda x: F.abs(x)))
+    out = out.withColumn("size_threshold", F.get(sizes, rank))
+    large = F.filter("_w", lambda x: F.abs(x) >= F.col("size_threshold"))
+    both = F.aggregate(
+        large, F.struct(F.lit(0.0).alias("net"), F.lit(0.0).alias("all")),
+        lambda acc, x: F.struct((acc["net"] + x).alias("net"), (acc["all"] + F.abs(x)).alias("all")),
+    )
+    out = out.withColumn("_s", both)
+    return out.withColumn("large_trade_imbalance", ratio(F.col("_s.net"), F.col("_s.all"))).drop("_w", "_s")
 
 
 def price_momentum(trades: DataFrame, fast_us: int, slow_us: int) -> DataFrame:

@@ -22,18 +22,19 @@ ARRIVAL = ["recv_ms", "event_id"]
 def arrivals(packets: DataFrame, keys: list[str] = KEY, chunk_ms: int = DAY_MS) -> DataFrame:
     """Packets in arrival order with the previous timestamp and sequence of their key."""
     seen = scan(
-        packets, list(keys), ARRIVAL, chunk_of("recv_ms", chunk_ms), _p=prev(F.struct("exchange_ms", "sequence"))
+        packets, list(keys), ARRIVAL, chunk_of("recv_ms", chunk_ms), prev_ms=prev(F.col("exchange_ms")),
+        prev_sequence=prev(F.col("sequence")),
     )
-    last_ms, last_seq = F.col("_p.exchange_ms"), F.col("_p.sequence")
+    last_ms, last_seq = F.col("prev_ms"), F.col("prev_sequence")
     inverted = F.coalesce(F.col("exchange_ms") < last_ms, F.lit(False))
     gap = F.coalesce(F.col("sequence") > last_seq + 1, F.lit(False))
     return seen.withColumns({
-        "prev_ms": last_ms, "prev_sequence": last_seq, "inverted": inverted,
+        "inverted": inverted,
         "inversion_ms": F.when(inverted, last_ms - F.col("exchange_ms")),
         "gap_size": F.when(gap, F.col("sequence") - last_seq - 1),
         "out_of_order": F.coalesce(F.col("sequence") <= last_seq, F.lit(False)),
         "latency_ms": F.col("recv_ms") - F.col("exchange_ms"),
-    }).drop("_p")
+    })
 
 
 def _n(condition: Column) -> Column:

@@ -110,7 +110,8 @@ def scan(
     kind = df.select(chunk.alias("c")).schema["c"].dataType.simpleString()
     never_null = F.coalesce(chunk, F.lit("\u0000" if kind == "string" else -(2**63)).cast(kind))
     base = df.withColumns({**slots, CHUNK: never_null}).repartition(*[F.col(n) for n in names])
-    position = F.struct(*[F.col(c) for c in order])
+    # one primitive order column keeps the summary a hash aggregation
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     local, totals, carried, final = {}, [], [], {}
     for name, run in runs.items():
         direction = [F.col(c).desc() if run.reverse else F.col(c).asc() for c in order]
@@ -120,11 +121,11 @@ def scan(
         near, far = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         pick = F.min_by if run.reverse else F.max_by
         if run.kind == "prev":
-            boxed = F.struct(run.value.alias("v"))
-            local[f"_l_{name}"] = F.lag(boxed).over(inner)
-            totals.append(pick(boxed, position).alias(name))
-            carried.append(_last(F.col(name)).over(outer).alias(f"_c_{name}"))
-            final[name] = F.coalesce(near, far)["v"]
+            local[f"_l_{name}"] = F.lag(run.value).over(inner)
+            local[f"_has{int(run.reverse)}"] = F.lag(F.lit(True)).over(inner)
+            totals.append(pick(run.value, position).alias(name))
+            carried.append(F.lag(name).over(Window.partitionBy(*slots).orderBy(outer_order)).alias(f"_c_{name}"))
+            final[name] = F.when(F.col(f"_has{int(run.reverse)}"), near).otherwise(far)
         elif run.kind == "last":
             local[f"_l_{name}"] = _last(run.value).over(_frame(inner, run.frame))
             totals.append(pick(run.value, F.when(run.value.isNotNull(), position)).alias(name))

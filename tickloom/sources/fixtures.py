@@ -38,20 +38,20 @@ _SPARK = {
                CAST(101 - k AS DOUBLE) AS ask_qty
         FROM {fx_base}""",
     "fx_l2": f"""
-        SELECT exchange, symbol, seq, ts_us, seq AS update_id, seq % 50 = 0 AS is_snapshot, side, price_ticks,
+        SELECT {_VENUE.format('venue')} AS exchange, {_SYMBOL.format('instrument')} AS symbol, seq, ts_us, seq AS update_id,
+               seq % 50 = 0 AS is_snapshot, CASE WHEN is_bid THEN 'bid' ELSE 'ask' END AS side, price_ticks,
                CAST(price_ticks AS DOUBLE) / 100 AS price,
                max_by(quantity, struct(l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS quantity
-        FROM (SELECT {_VENUE.format('l_suppkey')} AS exchange, {_SYMBOL.format('l_partkey')} AS symbol,
+        FROM (SELECT l_suppkey % 3 AS venue, l_partkey % 5 AS instrument,
                      CAST(datediff(l_shipdate, DATE '1995-01-01') AS BIGINT) AS seq,
-                     unix_micros(CAST(l_shipdate AS TIMESTAMP)) AS ts_us,
-                     CASE l_linestatus WHEN 'O' THEN 'bid' ELSE 'ask' END AS side,
+                     unix_micros(CAST(l_shipdate AS TIMESTAMP)) AS ts_us, l_linestatus = 'O' AS is_bid,
                      CASE l_linestatus WHEN 'O' THEN 9900 ELSE 10001 END + (l_partkey * 7 + l_linenumber) % 95
                        + CASE l_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE -20 END AS price_ticks,
                      CAST(CASE WHEN l_returnflag = 'N' AND l_discount >= 0.05 THEN 0.0 ELSE l_quantity END AS DOUBLE)
                        AS quantity,
                      l_orderkey, l_linenumber, l_partkey, l_suppkey
               FROM {{lineitem}})
-        GROUP BY exchange, symbol, seq, ts_us, side, price_ticks""",
+        GROUP BY venue, instrument, seq, ts_us, is_bid, price_ticks""",
     "fx_packets": """
         SELECT stage, exchange, symbol, event_id,
                CASE WHEN event_id % 2 = 0 THEN 'TRADE' ELSE 'ORDERBOOK' END AS packet_type,
@@ -179,7 +179,14 @@ _ON_EVENTS = ("fx_trades", "fx_quotes", "fx_packets", "fx_realtime", "fx_ops")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    return spread(prepare(spark).read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than the cluster has cores (one small file) is dealt out once, so that
+    parsing and projections run in parallel; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -45,8 +45,9 @@ def _keyed(df: DataFrame, keys: list[str], processor, time_mode: str = "None") -
         statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode=time_mode)
 
 
-def stream_book_builder(levels: DataFrame, snapshot_timeout_s: int = 30) -> DataFrame:
-    return _keyed(levels, KEY, p.BookBuilder(snapshot_timeout_s))
+def stream_book_builder(levels: DataFrame, snapshot_timeout_s: int = 30, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """`order` places the entries of one message; the last entry of a price wins."""
+    return _keyed(levels, KEY, p.BookBuilder(snapshot_timeout_s, order))
 
 
 def stream_inversions(packets: DataFrame) -> DataFrame:

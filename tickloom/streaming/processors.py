@@ -49,7 +49,8 @@ class BookBuilder(StatefulProcessor):
         "exchange string, symbol string, seq long, state string, best_bid_ticks long, best_ask_ticks long, levels long"
     )
 
-    def __init__(self, snapshot_timeout_s: int = 30):
+    def __init__(self, snapshot_timeout_s: int = 30, order: tuple[str, ...] = ("pos",)):
+        self.order = ["seq", *order]
         self.timeout_us = snapshot_timeout_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -60,7 +61,7 @@ class BookBuilder(StatefulProcessor):
         last_id, state, first_us = self.sync.get() if self.sync.exists() else (None, "buffering", None)
         held = {tuple(k): v[0] for k, v in self.levels.iterator()}
         touched, out = set(), []
-        frame = in_order(rows, ["seq", "pos"])
+        frame = in_order(rows, self.order)
         for seq, msg in frame.groupby("seq", sort=True):
             ts, snap = int(msg["ts_us"].max()), bool(msg["is_snapshot"].any())
             first_us = ts if first_us is None else first_us
