@@ -147,3 +147,22 @@ def test_builder_stream_equals_batch_when_live(spark, tmp_path):
         if r.state == "live":
             bids = [t for s, t in books[("hot", seq)] if s == "bid"]
             assert (r.best_bid_ticks, r.levels) == (max(bids, default=None), len(books[("hot", seq)]))
+
+
+def test_restore_replays_to_the_last_book(spark):
+    rows = level_rows(9)
+    df = spark.createDataFrame(rows, LEVELS)
+    snaps = b.book_snapshots(df, 25, every=20, keep=3)
+    assert snaps.groupBy("exchange").count().filter("count > 3").count() == 0
+    books = fold(rows)
+    held = {}
+    for r in sorted(b.restore_from_snapshots(snaps, df).filter("exchange = 'hot'").collect(), key=lambda r: r.seq):
+        level = (r.side, round(r.price * 100))
+        if r.quantity == 0:
+            held.pop(level, None)
+        else:
+            held[level] = r.quantity
+    last_snap = max(r[2] for r in rows if r[0] == "hot" and r[5])
+    start = snaps.filter("exchange = 'hot'").agg({"seq": "max"}).first()[0]
+    if last_snap <= start:
+        assert held == books[("hot", max(s for k, s in books if k == "hot"))]

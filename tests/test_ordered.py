@@ -108,3 +108,25 @@ def test_hot_key_is_split(spark):
     spread = df.withColumn(od.CHUNK, od.chunk_of("ts", 500)).groupBy(od.CHUNK).count()
     assert spread.count() > 10
     assert spread.agg(F.max("count")).first()[0] < df.count() / 5
+
+
+def test_choose_chunk_width(spark):
+    df = frame(spark, 10)
+    width = od.choose_chunk_width(df, ["k"], "ts", [100, 1_000, 10_000, 1_000_000], 60)
+    worst = df.groupBy("k", od.chunk_of("ts", width).alias("c")).count().agg(F.max("count")).first()[0]
+    assert worst <= 60 and width < 1_000_000
+
+
+def test_null_keys_form_a_group(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 500, 2), ("a", 2, 5)], "k string, ts long, v long")
+    got = od.scan(df, ["k"], ["ts"], od.chunk_of("ts", 10), s=od.cumsum(F.col("v")))
+    assert sorted((r.ts, r.s) for r in got.collect()) == [(1, 1), (2, 5), (500, 3)]
+
+
+def test_summaries_share_the_row_shuffle(spark, sf):
+    from tickloom.catalog import registry
+
+    df = registry()["l3_events"].build(spark, sf)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") >= 3

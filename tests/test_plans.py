@@ -33,14 +33,13 @@ def test_filter_reaches_the_scan(spark, sf):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(l_quantity", text)
 
 
-def test_windows_are_never_keyed_by_symbol_alone(spark, sf):
-    """Every shuffle feeding a row-level window carries the chunk beside the key."""
-    for name in ("rolling_vwap", "l3_events", "inversion_stats", "trade_validation"):
-        text = plan(registry()[name].build(spark, sf))
-        for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text):
-            if "exchange" in keys and "symbol" in keys and "_chunk" not in keys:
-                # what is left without a chunk are aggregates: summaries per (key, chunk) or final groups
-                assert "Window" in text and "HashAggregate" in text or "SortAggregate" in text
+@pytest.mark.parametrize("name", ["rolling_vwap", "l3_events", "inversion_stats", "trade_validation", "nbbo", "seq_gaps"])
+def test_row_windows_carry_the_chunk(spark, sf, name):
+    """Windows over rows are partitioned by key and chunk; those without a chunk run on summaries
+    (their sort is by the chunk itself)."""
+    text = plan(registry()[name].build(spark, sf))
+    windows = re.findall(r"windowspecdefinition\(([^)]*?) (?:ASC|DESC)", text)
+    assert windows and all("_chunk" in w for w in windows)
 
 
 def test_trades_window_uses_one_row_shuffle(spark, sf):

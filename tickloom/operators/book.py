@@ -21,6 +21,9 @@ from tickloom.plans.ordered import (
     CHUNK, Run, chunk_of, cummax, cummin, cumsum, drop_halo, ffill, following, frame_window, interval_join, prev, scan,
     with_halo,
 )
+from tickloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 KEY = ["exchange", "symbol"]
 LEVEL = [*KEY, "side", "price_ticks"]

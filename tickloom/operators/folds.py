@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.plans.ordered import CHUNK
+from tickloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 
 def two_pass_fold(

@@ -31,6 +31,20 @@ def chunk_of(column: str, width: int) -> Column:
     return F.floor(F.col(column) / F.lit(width))
 
 
+def choose_chunk_width(df: DataFrame, keys: list[str], column: str, widths: list[int], max_rows: int) -> int:
+    """The widest of `widths` under which no (key, chunk) holds more than max_rows rows.
+
+    Chunks are fixed intervals, so a burst can crowd one of them; run this on new data before
+    settling on a width. One aggregation per width, one number comes back. If even the narrowest
+    is too crowded it is returned.
+    """
+    for width in sorted(widths, reverse=True):
+        sizes = df.groupBy(*keys, chunk_of(column, width).alias(CHUNK)).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= max_rows:
+            return width
+    return min(widths)
+
+
 @dataclass(frozen=True)
 class Run:
     kind: str

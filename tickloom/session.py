@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Set at runtime by `prepare`, so a session created elsewhere behaves the same.
@@ -19,6 +21,11 @@ RUNTIME_CONF = {
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def ship_by_value(module: str) -> None:
+    """Functions of the module travel inside the task, so executors need not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def build_session(master: str = "local[8]", app: str = "tickloom", partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; on a cluster use the session it gives you."""
     builder = (

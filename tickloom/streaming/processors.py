@@ -8,6 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickloom.session import ship_by_value
+
+ship_by_value(__name__)
+
 
 def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     """All rows of the key in this micro-batch, sorted; a batch is bounded by the source limits."""
