@@ -80,24 +80,26 @@ def asof_book_lag(
 ) -> DataFrame:
     """`values` of the latest book at or before ts - lag, as `<value>_<lag>ms`, per lag.
 
-    Every book emits itself and one probe per lag, and one forward fill answers all probes;
+    Every book emits itself and one bare probe per lag, and one forward fill answers all probes;
     carry thin columns, not level arrays.
     """
     now = F.struct(F.lit(0).cast("long").alias("lag"), F.lit(0).alias("tag"))
     marks = F.array(now, *[F.struct(F.lit(lag).cast("long").alias("lag"), F.lit(1).alias("tag")) for lag in lags_ms])
-    rows = books.withColumn("_m", F.explode(marks)).withColumns({
-        "_lag": F.col("_m.lag"), "_tag": F.col("_m.tag"), "_at": F.col("ts_us") - F.col("_m.lag") * 1000,
-    }).drop("_m")
+    rest = [c for c in books.columns if c not in (*KEY, "seq")]
+    book = F.struct(*rest)
+    rows = books.withColumn("_m", F.explode(marks)).select(
+        *KEY, "seq", F.col("_m.lag").alias("_lag"), F.col("_m.tag").alias("_tag"),
+        (F.col("ts_us") - F.col("_m.lag") * 1000).alias("_at"), F.when(F.col("_m.tag") == 0, book).alias("_b"),
+    )
     found = scan(
         rows, KEY, ["_at", "_tag", "seq"], chunk_of("_at", chunk_us),
-        **{f"_p_{v}": ffill(F.when(F.col("_tag") == 0, F.struct(v))) for v in values},
-    ).filter(F.col("_tag") == 1)
-    rest = [c for c in books.columns if c not in (*KEY, "seq")]
+        _past=ffill(F.when(F.col("_tag") == 0, F.struct(*[F.col(f"_b.{v}").alias(v) for v in values]))),
+    )
     picks = [
-        F.max(F.when(F.col("_lag") == lag, F.col(f"_p_{v}.{v}"))).alias(f"{v}_{lag}ms")
+        F.max(F.when((F.col("_tag") == 1) & (F.col("_lag") == lag), F.col(f"_past.{v}"))).alias(f"{v}_{lag}ms")
         for lag in lags_ms for v in values
     ]
-    wide = found.groupBy(*KEY, "seq").agg(F.first(F.struct(*rest)).alias("_b"), *picks)
+    wide = found.groupBy(*KEY, "seq").agg(F.first("_b", ignorenulls=True).alias("_b"), *picks)
     return wide.select(*KEY, "seq", "_b.*", *[f"{v}_{lag}ms" for lag in lags_ms for v in values])
 
 

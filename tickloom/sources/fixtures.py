@@ -183,10 +183,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer splits than the cluster has cores (one small file) is dealt out once, so that
-    parsing and projections run in parallel; larger tables are left as they are."""
+    """A table of one or two splits (a small file) is dealt out once, so that parsing and projections
+    run in parallel; anything larger is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(min(cores, 16)) if df.rdd.getNumPartitions() <= 2 < cores else df
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
