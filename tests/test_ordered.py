@@ -130,3 +130,9 @@ def test_summaries_share_the_row_shuffle(spark, sf):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and final.count("ReusedExchange") >= 3
+
+
+def test_scan_takes_any_column_and_key_type(spark):
+    df = spark.createDataFrame([(1.5, 1, {"a": 1}), (1.5, 700, {"b": 2}), (None, 3, None)], "k double, ts int, m map<string,int>")
+    got = od.scan(df, ["k"], ["ts"], F.floor(F.col("ts") / 10).cast("int"), n=od.cumsum(F.lit(1)), last=od.prev(F.col("m")))
+    assert sorted((r.ts, r.n, r.last) for r in got.collect()) == [(1, 1, None), (3, 1, None), (700, 2, {"a": 1})]

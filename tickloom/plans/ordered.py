@@ -97,15 +97,28 @@ def _last(column: Column) -> Column:
     return F.last(column, ignorenulls=True)
 
 
+_STAND_IN = {"string": "\u0000", "bigint": -(2**63), "int": -(2**31), "date": "0001-01-01"}
+
+
+def _never_null(column: Column, kind: str) -> Column:
+    if kind in _STAND_IN:
+        return F.coalesce(column, F.lit(_STAND_IN[kind]).cast(kind))
+    return F.struct(column.alias("v"))
+
+
 def _slot(df: DataFrame, keys: list[str]) -> dict[str, Column]:
     """Partition columns for `keys` that are never NULL, so that a NULL key is a group like any other
     and no filter is inferred for one side of the carry join only."""
-    stand_in = {"string": "\u0000", "bigint": -(2**63), "int": -(2**31), "date": "0001-01-01"}
-    out = {}
-    for i, key in enumerate(keys):
-        kind = df.schema[key].dataType.simpleString()
-        out[f"_k{i}"] = F.coalesce(F.col(key), F.lit(stand_in.get(kind, stand_in["string"])).cast(kind))
-    return out
+    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+    return {f"_k{i}": _never_null(F.col(k), kinds[k]) for i, k in enumerate(keys)}
+
+
+def _readable(df: DataFrame) -> list[Column]:
+    """Every column in a form `hash` accepts."""
+    odd = ("map<", "variant")
+    return [
+        F.to_json(F.struct(f.name)) if any(t in f.dataType.simpleString() for t in odd) else F.col(f.name) for f in df.schema
+    ]
 
 
 def scan(
@@ -122,8 +135,7 @@ def scan(
     slots = _slot(df, keys)
     names = [*slots, CHUNK]
     kind = df.select(chunk.alias("c")).schema["c"].dataType.simpleString()
-    never_null = F.coalesce(chunk, F.lit("\u0000" if kind == "string" else -(2**63)).cast(kind))
-    base = df.withColumns({**slots, CHUNK: never_null}).repartition(*[F.col(n) for n in names])
+    base = df.withColumns({**slots, CHUNK: _never_null(chunk, kind)}).repartition(*[F.col(n) for n in names])
     # one primitive order column keeps the summary a hash aggregation
     position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     local, totals, carried, final = {}, [], [], {}
@@ -158,7 +170,7 @@ def scan(
                 final[name] = (F.greatest if run.kind == "max" else F.least)(near, far)
     # The hash reads every column, so column pruning leaves both readers the same shuffle and Spark
     # runs it (and all that feeds it) once. The condition itself always holds.
-    whole = F.max(F.hash(*[F.col(c) for c in base.columns]))
+    whole = F.max(F.hash(*_readable(base)))
     summary = base.groupBy(*names).agg(*totals, whole.alias("_all")).filter(F.col("_all") >= F.lit(-(2**31)))
     summary = summary.select(*names, *carried)
     kept = [c for c in df.columns if c not in runs and c != CHUNK] + ([CHUNK] if keep_chunk else [])
