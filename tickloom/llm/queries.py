@@ -12,11 +12,18 @@ from tickloom.llm.decontaminate import contaminated
 from tickloom.llm.language_id import language_id
 from tickloom.llm.ngram_join import ngram_join
 from tickloom.llm.packing import best_fit_packing
+from tickloom.llm.pii import find_private
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def query(name: str, oracle: str | None = None):
     def wrap(build):
         QUERIES[name] = build
@@ -46,7 +53,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    packed = best_fit_packing(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    packed = best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
