@@ -137,12 +137,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(held[0][0])
             limit = max(limit, 2 * size)
     if held:
-        keys = np.concatenate([h[0] for h in held])
-        ordered = np.sort(keys)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        again = [np.isin(h[0], twice) for h in held]
-        held = [tuple(x[k] for x in h) for h, k in zip(held, again)]
-        del keys, ordered, again
+        keys, sigs, sizes = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys)
+        equal = keys[order[1:]] == keys[order[:-1]]
+        again = order[np.r_[False, equal] | np.r_[equal, False]]
+        held = [(keys[again], sigs[again], sizes[again])]
+        del keys, sigs, sizes, order
         keys, sigs, sizes, df = merged()
         more = df > 1
         yield from batch(keys[more], sigs[more], sizes[more], np.minimum(df[more], SATURATED))

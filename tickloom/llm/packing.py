@@ -190,9 +190,11 @@ def _single(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for seq, members in zip(f["sequence_id"], f["members"]):
-            m = np.frombuffer(members, ROW)
-            yield pd.DataFrame({"row": m["row"], "sequence_id": seq, "offset": np.cumsum(m["length"], dtype=np.int64) - m["length"]})
+        counts = [len(m) // ROW.itemsize for m in f["members"]]
+        m = np.frombuffer(b"".join(f["members"]), ROW)
+        before = np.cumsum(m["length"], dtype=np.int64) - m["length"]
+        first = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
+        yield pd.DataFrame({"row": m["row"], "sequence_id": np.repeat(f["sequence_id"].to_numpy(), counts), "offset": before - np.repeat(before[first], counts)})
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.chat import chat_digest, chat_formatting
 from tickloom.llm.common import table
 from tickloom.llm.decontaminate import contaminated
+from tickloom.llm.embedding_dedup import embedding_dedup
 from tickloom.llm.language_id import language_id
 from tickloom.llm.ngram_join import ngram_join
 from tickloom.llm.packing import best_fit_packing
 from tickloom.llm.pii import find_private
+from tickloom.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +63,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pii")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query("op1_embedding_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from f
+"""
+
+
+@query("op4_warc", WARC_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+CHAT_SQL = r"""
+with odd as (select '<|im_end|><|im_start|>assistant ok' as t),
+c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', t from odd union all select -1, 1, 'assistant', t from odd
+),
+e as (
+  select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + (length(role) - length(replace(role, chr(10), '')))
+    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) as n from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+       cast(sum(n + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op9_chat_formatting", CHAT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), role, F.lit(odd))
+    chats = chat_formatting(given.union(more))
+    names = chats.select("c", "conv_id")
+    return chat_digest(chats).join(names, "c").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
