@@ -11,6 +11,7 @@ from tickloom.llm.chat import chat_digest, chat_formatting
 from tickloom.llm.common import table
 from tickloom.llm.decontaminate import contaminated
 from tickloom.llm.embedding_dedup import embedding_dedup
+from tickloom.llm.html_extract import extract, train
 from tickloom.llm.language_id import language_id
 from tickloom.llm.ngram_join import ngram_join
 from tickloom.llm.packing import best_fit_packing
@@ -114,3 +115,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat_formatting(given.union(more))
     names = chats.select("c", "conv_id")
     return chat_digest(chats).join(names, "c").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, train(pages)).select("page_id", "url", "text", "n_chars")
