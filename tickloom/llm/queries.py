@@ -13,6 +13,7 @@ from tickloom.llm.decontaminate import contaminated
 from tickloom.llm.embedding_dedup import embedding_dedup
 from tickloom.llm.html_extract import extract, train
 from tickloom.llm.language_id import language_id
+from tickloom.llm.lm_scoring import lm_scores
 from tickloom.llm.ngram_join import ngram_join
 from tickloom.llm.packing import best_fit_packing
 from tickloom.llm.pii import find_private
@@ -121,3 +122,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages, train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm_scores(table(spark, sf_dir, "documents"), held_out, tokenizer_path())
