@@ -39,7 +39,7 @@ def process_cache(name: str, make):
 class WordKeys(dict):
     """Word (bytes) -> 64-bit key; 2^-64 is the chance that two words share one. Emptied when it grows large."""
 
-    LIMIT, LONG = 400_000, 64
+    LIMIT, LONG = 200_000, 64
 
     def __missing__(self, word: bytes) -> int:
         key = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")

@@ -37,7 +37,7 @@ class Encoder:
     their runs go to the tokenizer's model; any other word goes through the whole tokenizer.
     """
 
-    LIMIT = 800_000
+    LIMIT = 250_000
     # Latin-1 letters have fixed lower-case forms and are already composed
     EASY = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ÿ]+")

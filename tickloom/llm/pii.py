@@ -143,7 +143,7 @@ def document_frequency(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
         for (some,) in slices(batches):
             for text in some:
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known.clear()
                 words = set(TERM.findall(text.lower())) if text else ()
                 keys = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(U64)
