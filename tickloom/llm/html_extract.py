@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tickloom.session import ship_by_value
 
 SAMPLE = 1_000
-EPOCHS = 6
+STEPS = 400
 HIDDEN = 16
 PATHS, WORDS = 1_024, 2_048  # hash buckets
 DIM = 12
@@ -194,11 +194,11 @@ class Labeller:
                 np.add.at(g[name], np.concatenate(lists), np.repeat(dx[: len(lists), k, lo : lo + DIM] / sizes[:, None], sizes, axis=0))
         return g
 
-    def fit(self, pages, labels, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 3) -> "Labeller":
-        """Adam."""
+    def fit(self, pages, labels, steps: int = STEPS, batch: int = 32, rate: float = 0.01, seed: int = 3) -> "Labeller":
+        """Adam, the same number of steps for any number of pages."""
         rng, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
-        for _ in range(epochs):
+        while step < steps:
             order = np.argsort([len(p[0]) + rng.random() * 8 for p in pages])
             groups = [order[i : i + batch] for i in range(0, len(order), batch)]
             for at in rng.permutation(len(groups)):

@@ -82,7 +82,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         def flush():
             for lang, texts in held.items():
                 g, n = np.unique(grams(b"".join(texts)), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.record_batch([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
         held: dict[str, list[bytes]] = {}
         size = 0
