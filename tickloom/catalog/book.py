@@ -28,7 +28,9 @@ L2 = duck("fx_l2", extra={"msg": MSG, "ep": EPOCHED, "iv": IVALS})
 BOOK = duck("fx_l2", extra={"msg": MSG, "ep": EPOCHED, "iv": IVALS, "lv": LV})
 
 # First days of each month of the ship-date range, as day numbers and as timestamps.
-MONTHS = "SELECT DISTINCT CAST(datediff('day', DATE '1995-01-01', date_trunc('month', l_shipdate)) AS BIGINT) AS at FROM lineitem"
+# the last point is later than every row
+MONTHS = """SELECT DISTINCT CAST(datediff('day', DATE '1995-01-01', date_trunc('month', l_shipdate)) AS BIGINT) AS at FROM lineitem
+UNION ALL SELECT CAST(datediff('day', DATE '1995-01-01', date_trunc('month', max(l_shipdate)) + INTERVAL 2 MONTH) AS BIGINT) FROM lineitem"""
 
 
 def levels(spark, d):
@@ -36,10 +38,10 @@ def levels(spark, d):
 
 
 def month_points(spark, d):
-    """(exchange, symbol, at) for the first day of each month and every key."""
-    span = levels(spark, d).groupBy(*KEY).agg(
-        F.trunc(F.timestamp_micros(F.min("ts_us")), "month").alias("first"), F.timestamp_micros(F.max("ts_us")).cast("date").alias("last"))
-    months = F.explode(F.expr("sequence(first, last, interval 1 month)"))
+    """(exchange, symbol, at) for the first day of each month and every key, and one point later than every row."""
+    last = levels(spark, d).agg(F.trunc(F.timestamp_micros(F.max("ts_us")), "month")).scalar()
+    span = levels(spark, d).groupBy(*KEY).agg(F.trunc(F.timestamp_micros(F.min("ts_us")), "month").alias("first")).withColumn("last", last)
+    months = F.explode(F.expr("concat(sequence(first, last, interval 1 month), array(add_months(last, 2)))"))
     return span.select(*KEY, months.alias("day")).select(
         *KEY, F.datediff("day", F.lit("1995-01-01")).cast("long").alias("at"))
 
@@ -52,10 +54,7 @@ JOIN {at} i ON p.exchange = i.exchange AND p.symbol = i.symbol AND i.seq_from <=
  AND i.quantity > 0 {extra}"""
 
 
-LAST = "AND p.at <= (SELECT max(seq) FROM fx_l2 z WHERE z.exchange = p.exchange AND z.symbol = p.symbol)"
-
-
-@query("book_levels_at", L2 + _pick("iv", LAST))
+@query("book_levels_at", L2 + _pick("iv"))
 def _(spark, d):
     return b.book_levels_at(levels(spark, d), month_points(spark, d), CHUNK, bucket=30)
 
@@ -65,7 +64,7 @@ ACT = duck("fx_l2", extra={"ia": """SELECT exchange, symbol, side, price_ticks,
     FROM fx_l2"""})
 
 
-@query("book_levels_actions", ACT + _pick("ia", LAST))
+@query("book_levels_actions", ACT + _pick("ia"))
 def _(spark, d):
     actions = levels(spark, d).withColumn(
         "action", F.when(F.col("quantity") == 0, "delete").otherwise("change")
@@ -275,7 +274,7 @@ UPD = """, up AS (
          CASE WHEN seq % 37 = 0 THEN min(price) FILTER (side = 'bid') ELSE max(price) FILTER (side = 'bid') END AS bb,
          min(price) FILTER (side = 'ask') AS ba, count(*) FILTER (side = 'bid') AS nb FROM fx_l2 GROUP BY exchange, symbol, seq),
 um AS (SELECT *, (bb + ba) / 2 AS mid FROM up),
-ul AS (SELECT *, lag(ts_us) OVER w AS lts, last_value(mid IGNORE NULLS) OVER (PARTITION BY exchange, symbol ORDER BY seq
+ul AS (SELECT *, max(ts_us) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lts, last_value(mid IGNORE NULLS) OVER (PARTITION BY exchange, symbol ORDER BY seq
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lmid FROM um
        WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq))"""
 

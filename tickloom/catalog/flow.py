@@ -38,8 +38,8 @@ def _(spark, d):
 
 
 @query("tick_flow_updown", T + f""", m AS (
-  SELECT *, sign(price - lag(price) OVER (PARTITION BY exchange, symbol ORDER BY ts_us)) AS mv,
-         row_number() OVER (PARTITION BY exchange, symbol ORDER BY ts_us) AS rn FROM fx_trades),
+  SELECT *, sign(price - lag(price) OVER (PARTITION BY exchange, symbol ORDER BY ts_us, trade_id)) AS mv,
+         row_number() OVER (PARTITION BY exchange, symbol ORDER BY ts_us, trade_id) AS rn FROM fx_trades),
 w AS (
   SELECT a.trade_id, a.exchange, a.symbol, a.ts_us, min(b.rn) AS first_rn FROM m a JOIN m b
     ON a.exchange = b.exchange AND a.symbol = b.symbol AND b.ts_us BETWEEN a.ts_us - {SLOW} AND a.ts_us
@@ -147,7 +147,7 @@ STALE_MS, MAX_CHANGE = 20 * 24 * 3_600_000, 5.0
 
 @query("trade_validation", duck("fx_base", "fx_trades", extra={"a": """
   SELECT t.*, t.ts_us + CASE WHEN t.trade_id % 7 = 0 THEN 14400000000 ELSE 0 END AS arrival FROM fx_trades t"""}) + f""",
-p AS (SELECT *, lag(ts_us) OVER k AS lts, lag(price) OVER k AS lp, (SELECT max(ts_us) FROM fx_trades) AS as_of
+p AS (SELECT *, max(ts_us) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lts, lag(price) OVER k AS lp, (SELECT max(ts_us) FROM fx_trades) AS as_of
       FROM a WINDOW k AS (PARTITION BY exchange, symbol ORDER BY arrival, trade_id))
 SELECT trade_id, exchange, symbol, ts_us,
        CASE WHEN ts_us < lts THEN 'non_monotonic' WHEN (as_of - ts_us) / 1000 > {STALE_MS} THEN 'stale'

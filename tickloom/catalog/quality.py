@@ -102,15 +102,15 @@ SELECT exchange, symbol, count(*) AS packets, count(*) FILTER (inverted) AS inve
   count(*) FILTER (inverted AND latency_ms >= 100 AND latency_ms < 500) AS delay_3,
   count(*) FILTER (inverted AND latency_ms >= 500 AND latency_ms < 1000) AS delay_4,
   count(*) FILTER (inverted AND latency_ms >= 1000) AS delay_5,
-  count(*) FILTER (inverted AND latency_ms >= 1000) AS high_latency_inversions,
-  count(*) FILTER (inverted AND latency_ms < 1000) AS low_latency_inversions,
+  count(*) FILTER (inverted AND latency_ms > 1000) AS high_latency_inversions,
+  count(*) FILTER (inverted AND latency_ms <= 1000) AS low_latency_inversions,
   round(count(*) FILTER (inverted) / count(*) * 100, 6) AS inversion_pct FROM a GROUP BY exchange, symbol""")
 def _(spark, d):
     return r(q.inversion_latency_correlation(packets(spark, d)), inversion_pct=6)
 
 
 @query("inter_arrival_gaps", PK + """, g AS (
-  SELECT *, exchange_ms - lag(exchange_ms) OVER (PARTITION BY exchange ORDER BY recv_ms, event_id) AS gp
+  SELECT *, exchange_ms - lag(exchange_ms) OVER (PARTITION BY exchange, symbol ORDER BY recv_ms, event_id) AS gp
   FROM pk WHERE stage = 'post_receive')
 SELECT exchange, min(gp) FILTER (gp >= 0) AS min_gap_ms, round(avg(gp) FILTER (gp >= 0), 4) AS avg_gap_ms,
        max(gp) FILTER (gp >= 0) AS max_gap_ms, count(DISTINCT symbol) AS active_symbols FROM g GROUP BY ALL""")

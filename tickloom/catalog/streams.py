@@ -13,11 +13,10 @@ from tickloom.sources.fixtures import duck, stream, view
 from tickloom.streaming import jobs
 
 HOUR = 3_600_000_000
-PARTITIONS = 8
 
 
 def run(spark, df, label):
-    return jobs.run_available_now(spark, df, label, PARTITIONS)
+    return jobs.run_available_now(spark, df, label)
 
 
 def timed(df):

@@ -102,13 +102,13 @@ def common_symbol(exchange: Column, symbol: Column) -> Column:
         text = symbol
         for quote in reversed(suffixes):
             text = F.when(symbol.endswith(quote), F.regexp_replace(symbol, f"{quote}$", f"-{quote}")).otherwise(text)
-        out = F.when(exchange == venue, text).otherwise(out)
+        out = F.when(F.lower(exchange) == venue.lower(), text).otherwise(out)
     for venue, prefixes in QUOTE_PREFIXES.items():
         text = symbol
         for quote in reversed(prefixes):
             swapped = F.concat(F.substring(symbol, len(quote) + 2, 10_000), F.lit(f"-{quote}"))
             text = F.when(symbol.startswith(f"{quote}-"), swapped).otherwise(text)
-        out = F.when(exchange == venue, text).otherwise(out)
+        out = F.when(F.lower(exchange) == venue.lower(), text).otherwise(out)
     return out
 
 

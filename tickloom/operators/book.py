@@ -97,12 +97,17 @@ def book_levels_at(
     levels: DataFrame, points: DataFrame, chunk: int, axis: str = "seq", bucket: int | None = None,
     snapshots: bool = True,
 ) -> DataFrame:
-    """Level rows in force at each point: `points` holds exchange, symbol and `at` on the axis."""
+    """Level rows in force at each point: `points` holds exchange, symbol and `at` on the axis.
+
+    A point after the last row of its key sees the book as that row left it.
+    """
     states = level_intervals(levels, chunk, snapshots).select(
         *LEVEL, "price", "quantity", F.col(f"{'seq' if axis == 'seq' else 'ts'}_from").alias("_from"),
         F.col(f"{'seq' if axis == 'seq' else 'ts'}_to").alias("_to"),
     )
-    found = interval_join(points, states, KEY, "at", "_from", "_to", bucket or chunk)
+    newest = levels.groupBy(*KEY).agg(F.max("seq" if axis == "seq" else "ts_us").alias("_newest"))
+    seen = points.join(newest, KEY).withColumn("_at", F.least("at", "_newest"))
+    found = interval_join(seen, states, KEY, "_at", "_from", "_to", bucket or chunk)
     return found.select(*points.columns, "side", "price_ticks", "price", "quantity")
 
 
@@ -164,7 +169,7 @@ def restore_from_snapshots(snapshots: DataFrame, levels: DataFrame) -> DataFrame
         F.transform("book.bids", lambda lv: F.struct(F.lit("bid").alias("side"), lv["price"].alias("price"), lv["quantity"].alias("quantity"))),
         F.transform("book.asks", lambda lv: F.struct(F.lit("ask").alias("side"), lv["price"].alias("price"), lv["quantity"].alias("quantity"))),
     )).alias("lv")).select(*KEY, F.col("snapshot_seq").alias("seq"), F.lit(True).alias("is_snapshot"), "lv.*")
-    return base.unionByName(tail.select(*KEY, "seq", F.lit(False).alias("is_snapshot"), "side", "price", "quantity"))
+    return base.unionByName(tail.select(*KEY, "seq", "is_snapshot", "side", "price", "quantity"))
 
 
 # --- sequence checks -------------------------------------------------------------------------
@@ -405,7 +410,7 @@ def book_validation(updates: DataFrame, chunk: int, max_change_pct: float, max_s
     update that had two sides."""
     rows = updates.withColumn("mid", F.when(bk.both_sides(), bk.mid()))
     linked = scan(
-        rows, KEY, ["seq"], chunk_of("seq", chunk), _last_ts=prev(F.col("ts_us")),
+        rows, KEY, ["seq"], chunk_of("seq", chunk), _last_ts=cummax(F.col("ts_us"), "rows_before"),
         _last_mid=ffill(F.col("mid"), "rows_before"),
     )
 

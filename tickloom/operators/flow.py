@@ -57,15 +57,16 @@ def tick_flow_updown(trades: DataFrame, window_us: int = 15_000_000) -> DataFram
     The first trade of a window has its predecessor outside, so its own move is taken off.
     """
     spread = with_halo(trades, "ts_us", window_us, CHUNKS_PER_WINDOW * window_us)
-    inner = Window.partitionBy(*KEY, CHUNK).orderBy("ts_us")
+    inner = Window.partitionBy(*KEY, CHUNK).orderBy("ts_us", "trade_id")
     frame = frame_window(KEY, "ts_us", window_us)
+    at = F.struct("ts_us", "trade_id")  # trades often share a timestamp
     move = F.coalesce(F.signum(F.col("price") - F.lag("price").over(inner)), F.lit(0.0))
     spread = spread.withColumn("_m", move)
     up, down = where(F.col("_m") > 0, F.lit(1.0)), where(F.col("_m") < 0, F.lit(1.0))
     spread = spread.withColumn("_u", up).withColumn("_d", down).withColumns(
         {
-            "up": F.sum("_u").over(frame) - F.first("_u").over(frame),
-            "down": F.sum("_d").over(frame) - F.first("_d").over(frame),
+            "up": F.sum("_u").over(frame) - F.min_by("_u", at).over(frame),
+            "down": F.sum("_d").over(frame) - F.min_by("_d", at).over(frame),
         }
     )
     return drop_halo(
@@ -169,9 +170,9 @@ def trade_validation(
     out = scan(
         trades, KEY, ["arrival", order] if "arrival" in trades.columns else ["ts_us", order],
         chunk_of("arrival" if "arrival" in trades.columns else "ts_us", chunk_us),
-        _p=prev(F.struct("ts_us", "price")),
+        _last_ts=cummax(F.col("ts_us"), "rows_before"), _last_price=prev(F.col("price")),
     )
-    last_ts, last_price = F.col("_p.ts_us"), F.col("_p.price")
+    last_ts, last_price = F.col("_last_ts"), F.col("_last_price")
     change = F.abs((F.col("price") - last_price) / last_price) * 100
     verdict = (
         F.when(F.col("ts_us") < last_ts, "non_monotonic")
@@ -180,7 +181,7 @@ def trade_validation(
         .when(F.col("quantity") <= 0, "invalid_quantity")
         .when(change > max_change_pct, "outlier")
     )
-    return out.withColumn("violation", verdict).drop("_p")
+    return out.withColumn("violation", verdict).drop("_last_ts", "_last_price")
 
 
 def late_rows(

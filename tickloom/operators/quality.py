@@ -140,15 +140,15 @@ def inversion_latency_correlation(packets: DataFrame, high_ms: int = 1000) -> Da
     return seen.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("packets"), _n(hit).alias("inversions"),
         *[_n(hit & (F.col("bucket") == name)).alias(f"delay_{i}") for i, name in enumerate(DELAYS)],
-        _n(hit & (lat >= high_ms)).alias("high_latency_inversions"),
-        _n(hit & (lat < high_ms)).alias("low_latency_inversions"),
+        _n(hit & (lat > high_ms)).alias("high_latency_inversions"),
+        _n(hit & (lat <= high_ms)).alias("low_latency_inversions"),
         (_n(hit) / F.count(F.lit(1)) * 100).alias("inversion_pct"),
     )
 
 
 def inter_arrival_gaps(packets: DataFrame) -> DataFrame:
-    """Forward gaps between consecutive source timestamps of an exchange, and its active symbols."""
-    seen = arrivals(packets, ["exchange"])
+    """Forward gaps between consecutive source timestamps of a symbol, over the symbols of each exchange."""
+    seen = arrivals(packets)
     ahead = F.when(F.col("exchange_ms") >= F.col("prev_ms"), F.col("exchange_ms") - F.col("prev_ms"))
     gaps = seen.withColumn("_g", ahead)
     return gaps.groupBy("exchange").agg(

@@ -101,12 +101,10 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def run_available_now(spark: SparkSession, stream: DataFrame, label: str, state_partitions: int | None = None) -> DataFrame:
+def run_available_now(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     """Process what the source holds now into a table under the shared folder and read it back."""
     root = shared_dir(spark, label)
     values = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
-    if state_partitions:
-        values["spark.sql.shuffle.partitions"] = str(state_partitions)
     with _settings(spark, values):
         query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option(
             "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
