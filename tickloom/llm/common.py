@@ -138,6 +138,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(u.alias("id"), v.alias("component_id")).union(edges.select(v, v).distinct())
 
 
+def hashed_sample(rows: DataFrame, name: str, n: int) -> list:
+    """The n distinct values of a column with the smallest hashes; the driver gets hashes, then only these values."""
+    hashed = rows.where(F.col(name).isNotNull()).select(F.xxhash64(name).alias("h"), F.col(name).alias("value"))
+    mark = hashed.groupBy("h").agg(F.lit(1)).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if mark is None:
+        return []
+    found = hashed.where(F.col("h") <= mark).groupBy("h").agg(F.min("value").alias("value"))
+    return [r["value"] for r in sorted(found.collect(), key=lambda r: r["h"])]
+
+
 FUNCTIONS = 3
 LARGEST = 1 << 27
 

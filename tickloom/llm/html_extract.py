@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import hashed_sample
 from tickloom.session import ship_by_value
 
 SAMPLE = 1_000
@@ -270,8 +271,8 @@ def varied(found: list[Block], labels: np.ndarray, others: list[str], rng) -> tu
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Labeller:
     """A labeller from at most `sample` pages, of which the first 200,000 characters and 400 blocks are learnt; without any page, an untrained one."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.substring(html_col, 1, 200_000).alias("h")).orderBy(F.xxhash64("h"), "h").limit(sample).collect()
-    rng, seen = np.random.default_rng(11), [b for b in (blocks(r["h"])[:400] for r in rows) if b]
+    some = hashed_sample(pages.select(F.substring(html_col, 1, 200_000).alias("h")), "h", sample)
+    rng, seen = np.random.default_rng(11), [b for b in (blocks(h)[:400] for h in some) if b]
     if not seen:
         return Labeller()
     texts = [b.text for page in seen for b in page]
