@@ -40,6 +40,14 @@ def test_nbbo(spark, mode):
     assert row.mid == pytest.approx(100.65) and row.spread == pytest.approx(0.3) and row.spread_bps > 0
 
 
+@pytest.mark.parametrize("mode", ["snapshot", "continuous"])
+def test_nbbo_takes_every_venue(spark, mode):
+    q = quotes(spark, [("kraken", 99.0, 99.5), ("okx", 90.0, 110.0)])
+    row = v.nbbo(q, 1000, mode=mode).orderBy(F.desc("ts_us")).first()
+    assert (row.best_bid, row.bid_exchange, row.num_exchanges) == (99.0, "kraken", 2)
+    assert v.nbbo(q.limit(0), 1000, mode=mode).count() == 0
+
+
 def test_nbbo_crossed(spark):
     row = v.nbbo(quotes(spark, [("okx", 101.0, 102.0), ("binance", 99.0, 100.0)]), 1000).orderBy(F.desc("ts_us")).first()
     assert row.is_crossed and row.arbitrage_profit == 1.0

@@ -11,7 +11,6 @@ from tickloom.sources.fixtures import duck, view
 # 2024-01-11 19:00 UTC, a point inside the event range at which two venues cross.
 MID = 1_704_999_600_000_000
 STALE_MS = 3_600_000
-FIXTURE_VENUES = ("binance", "bybit", "okx")
 
 T, Q = duck("fx_trades"), duck("fx_quotes")
 LAST_T = "l AS (SELECT symbol, exchange, arg_max(price, trade_id) AS price FROM fx_trades {where} GROUP BY ALL)"
@@ -102,7 +101,7 @@ FROM {src} WHERE b IS NOT NULL AND a IS NOT NULL"""
 CONT = f"""
 f AS (
   SELECT q.symbol, q.seq, q.ts_us, c.exchange AS x, c.ts_us AS qts, c.best_bid AS bid, c.bid_qty, c.best_ask AS ask, c.ask_qty
-  FROM fx_quotes q CROSS JOIN (VALUES ('binance'), ('bybit'), ('okx')) AS e(x)
+  FROM fx_quotes q CROSS JOIN (SELECT DISTINCT exchange AS x FROM fx_quotes) AS e
   ASOF JOIN fx_quotes c ON q.symbol = c.symbol AND e.x = c.exchange AND q.seq >= c.seq),
 n AS (
   SELECT symbol, seq, ts_us, count(*) AS num_checked, count(*) FILTER (ts_us - qts <= {STALE_MS * 1000}) AS num_exchanges,
@@ -121,7 +120,7 @@ def _derived():
 
 
 def _continuous(spark, d):
-    return v.nbbo(view(spark, d, "fx_quotes"), STALE_MS, venues=FIXTURE_VENUES)
+    return v.nbbo(view(spark, d, "fx_quotes"), STALE_MS)
 
 
 @query("nbbo", Q + "," + CONT + NBBO_TAIL.format(at="symbol, ts_us, seq,", src="n"))

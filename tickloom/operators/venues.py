@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from tickloom.functions.ratios import ratio
 from tickloom.plans.ordered import chunk_of, ffill, scan
 
-# Venue codes of the data model.
-VENUES = (
-    "binance", "bybit", "upbit", "coinbase", "okx", "deribit", "bithumb", "ls-exchange",
-)
 QUOTE = ["best_bid", "bid_qty", "best_ask", "ask_qty"]
 
 
@@ -119,12 +115,14 @@ def _derive(df: DataFrame) -> DataFrame:
 
 def nbbo(
     quotes: DataFrame, max_stale_ms: int, as_of: int | None = None, mode: str = "continuous",
-    venues: tuple[str, ...] = VENUES, chunk_us: int = 86_400_000_000,
+    chunk_us: int = 86_400_000_000,
 ) -> DataFrame:
     """National best bid and offer over venues whose latest quote is fresh.
 
     `snapshot`: one row per symbol as of a time. `continuous`: one row per quote, the state
-    just after it; venues are forward-filled by `scan`, so a hot symbol is split by time.
+    just after it; venues are forward-filled by `scan`, so a hot symbol is split by time. The venues
+    are those in the quotes: their names, as for any pivot, are read before the plan is made, and
+    the plan has a column for each. A quote without a venue has its row but never a best price.
     Ties go to the smallest venue name.
     """
     if mode == "snapshot":
@@ -146,9 +144,11 @@ def nbbo(
         return _derive(flat)
 
     quote = F.struct("best_bid", "bid_qty", "best_ask", "ask_qty", "ts_us", "exchange")
+    venues = sorted(r["exchange"] for r in quotes.select("exchange").distinct().collect() if r["exchange"] is not None)
     runs = {
         f"_v{i}": ffill(F.when(F.col("exchange") == venue, quote)) for i, venue in enumerate(venues)
     }
+    runs = runs or {"_v0": ffill(F.when(F.lit(False), quote))}
     state = scan(
         quotes.select("symbol", "exchange", "ts_us", "seq", *QUOTE), ["symbol"], ["ts_us", "seq"],
         chunk_of("ts_us", chunk_us), **runs,
