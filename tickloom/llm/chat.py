@@ -2,8 +2,9 @@
 
 Messages answer one message each, so a conversation is a forest. Paths are found by self-joins that
 double their reach: after round k a message knows its ancestor 2^k up and the scores on the
-way, so even one long conversation takes a logarithm of its length in rounds. Branches (root to
-leaf) are ranked by the mean score of their messages; only chosen branches are then spelled out.
+way, so even one long conversation takes a logarithm of its length in rounds. Messages that know
+their root sit out later rounds. Branches (root to leaf) are ranked by the mean score of their
+messages; only chosen branches are then spelled out.
 
 The template marks turns as <|im_start|>role, new line, text, <|im_end|>, new line. In texts and
 roles a backslash is doubled and <| becomes <\\|, so no text can hold a control string; roles have \\n
@@ -45,14 +46,14 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     walk = stored(walk.select("c", "id", F.when(F.col("here"), F.col("up")).alias("up"), "total", F.lit(1).cast("long").alias("length")), "walk")
     leaves = nodes.join(walk.select("c", F.col("up").alias("id")).where("id is not null").distinct(), ["c", "id"], "left_anti").select("c", "id")
     jumps, most = [], nodes.count()
-    while walk.where("up is not null").limit(1).count() and (1 << len(jumps)) <= most:
-        jumps.append(walk.where("up is not null").select("c", F.col("id").alias("node"), "up"))
-        ahead = walk.select("c", F.col("id").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("length").alias("longer"))
-        walk = walk.join(ahead, ["c", "up"], "left").select(
-            "c", "id", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length"))
-        walk = stored(walk, "walk")
-    ends = leaves.join(walk.where("up is null"), ["c", "id"])
+    rooted, walk = walk.where("up is null"), walk.where("up is not null")
+    while walk.limit(1).count() and (1 << len(jumps)) <= most:
+        jumps.append(walk.select("c", F.col("id").alias("node"), "up"))
+        ahead = rooted.union(walk).select("c", F.col("id").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        moved = stored(walk.join(ahead, ["c", "up"]).select(
+            "c", "id", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("longer")).alias("length")), "walk")
+        rooted, walk = rooted.union(moved.where("up is null")), moved.where("up is not null")
+    ends = leaves.join(rooted, ["c", "id"])
     order = Window.partitionBy("c").orderBy((F.col("total") / F.col("length")).desc(), F.col("length").desc(), "id")
     chosen = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     path = stored(chosen.select("c", F.col("id").alias("branch"), "rank", F.col("id").alias("node"), (F.col("length") - 1).alias("depth")), "branches")
