@@ -130,6 +130,7 @@ def _(spark, d):
 
 OKX = {
     "click": '{"arg":{"channel":"trades","instId":"[S]-USD"},"data":[{"px":"[P]","sz":"[Q]","ts":"[MS]","side":"buy","tradeId":"[ID]"}]}',
+    "purchase": '{"arg":{"channel":"trades","instId":"[S]-USD"},"data":[{"px":"[HI]","sz":"[Q]","ts":"[MS]","side":"sell","tradeId":"[ID]"}]}',
     "view": '{"arg":{"channel":"books5","instId":"[S]-USD"},"data":[{"bids":[["[P]","[Q]","0","4"],["1"]],"asks":[["[HI]","[Q]","0","2"]],"ts":"[MS]","seqId":[ID],"prevSeqId":[ID]}]}',
     "signup": '{"arg":{"channel":"books","instId":"[S]-USD"},"data":[{"bids":[["[P]","[Q]"]],"asks":[],"ts":"[MS]"}]}',
     "error": '{"event":"subscribe","arg":{"channel":"trades","instId":"[S]-USD"}}',
@@ -139,6 +140,7 @@ OK = KEEP.format("symbol || '-USD'")
 
 @query("normalize_okx", BASE + "SELECT * FROM (" + " UNION ALL ".join([
     rows_sql("trade", "event_type = 'click'", OK, side="'buy'"),
+    rows_sql("trade", "event_type = 'purchase'", OK, side="'sell'", price=HE),
     rows_sql("book", "event_type = 'view'", OK, snap="true", uid="event_id", bids=ONE_BID, asks=ONE_ASK),
 ]) + ")")
 def _(spark, d):
@@ -167,6 +169,7 @@ def _(spark, d):
 
 DERIBIT = {
     "click": '{"method":"subscription","params":{"channel":"trades.[S]-PERP.raw","data":[{"instrument_name":"[S]-PERP","price":[P],"amount":[Q],"timestamp":[MS],"direction":"sell","trade_id":"[ID]"}]}}',
+    "purchase": '{"method":"subscription","params":{"channel":"trades.[S]-PERP.raw","data":[{"instrument_name":"[S]-PERP","price":[HI],"amount":[Q],"timestamp":[MS],"direction":"buy","trade_id":"[ID]"}]}}',
     "view": '{"method":"subscription","params":{"channel":"book.[S]-PERP.100ms","data":{"type":"change","instrument_name":"[S]-PERP","timestamp":[MS],"change_id":[ID],"prev_change_id":[ID],"bids":[["new",[P],[Q]],["delete",[HI],[Q]]],"asks":[["change",[HI],[Q]],["new",1]]}}}',
     "signup": '{"method":"subscription","params":{"channel":"ticker.[S]-PERP.100ms","data":{"instrument_name":"[S]-PERP","timestamp":[MS],"last_price":[P],"stats":{"volume":[Q]}}}}',
     "error": '{"id":[ID],"result":["trades"]}',
@@ -176,6 +179,7 @@ DB = KEEP.format("symbol || '-PERP'")
 
 @query("normalize_deribit", BASE + "SELECT * FROM (" + " UNION ALL ".join([
     rows_sql("trade", "event_type = 'click'", DB, side="'sell'"),
+    rows_sql("trade", "event_type = 'purchase'", DB, side="'buy'", price=HE),
     rows_sql("trade", "event_type = 'signup'", DB, k="ticker"),
     rows_sql("book", "event_type = 'view'", DB, snap="false", uid="event_id", bids=f"{ONE_BID} || '|' || {HE} || ':0'", asks=ONE_ASK),
 ]) + ")")
@@ -185,6 +189,7 @@ def _(spark, d):
 
 UPBIT = {
     "click": '{"type":"trade","code":"KRW-[S]","trade_price":[P],"trade_volume":[Q],"trade_timestamp":[MS],"ask_bid":"BID","sequential_id":[ID]}',
+    "purchase": '{"type":"trade","code":"KRW-[S]","trade_price":[HI],"trade_volume":[Q],"trade_timestamp":[MS],"ask_bid":"ASK","sequential_id":[ID]}',
     "view": '{"type":"orderbook","code":"KRW-[S]","timestamp":[MS],"orderbook_units":[{"ask_price":[HI],"bid_price":[P],"ask_size":[Q],"bid_size":[Q]},{"ask_price":[HI],"bid_price":[P],"ask_size":1}]}',
     "signup": '{"type":"trade","code":"","trade_price":[P],"trade_volume":[Q],"trade_timestamp":[MS]}',
     "error": '{"status":"UP"}',
@@ -193,6 +198,7 @@ UPBIT = {
 
 @query("normalize_upbit", BASE + "SELECT * FROM (" + " UNION ALL ".join([
     rows_sql("trade", "event_type = 'click' AND symbol <> 'SYM4'", "symbol || '-KRW'", side="'buy'"),
+    rows_sql("trade", "event_type = 'purchase' AND symbol <> 'SYM4'", "symbol || '-KRW'", side="'sell'", price=HE),
     rows_sql("book", "event_type = 'view' AND symbol <> 'SYM4'", "symbol || '-KRW'", snap="true", bids=ONE_BID,
              asks=f"{ONE_ASK} || '|' || {HE} || ':100000000'"),
 ]) + ")")
@@ -203,6 +209,7 @@ def _(spark, d):
 BITHUMB = {
     "click": '{"type":"trade","code":"KRW-[S]","trade_price":[P],"trade_volume":[Q],"trade_timestamp":[MS],"ask_bid":"ASK"}',
     "purchase": '{"type":"trade","cd":"KRW-[S]","tp":[P],"ttms":[MS],"ab":"BID"}',
+    "signup": '{"type":"trade","code":"KRW-[S]","trade_price":[HI],"trade_volume":[Q],"trade_timestamp":[MS],"ask_bid":"BID"}',
     "view": '{"type":"orderbook","code":"KRW-[S]","timestamp":[MS],"orderbook_units":[{"ask_price":[HI],"bid_price":[P],"ask_size":[Q],"bid_size":[Q]}]}',
     "error": '{"status":"0000"}',
 }
@@ -211,6 +218,7 @@ BITHUMB = {
 @query("normalize_bithumb", BASE + "SELECT * FROM (" + " UNION ALL ".join([
     rows_sql("trade", "event_type = 'click' AND symbol <> 'SYM4'", "symbol || '-KRW'", side="'sell'"),
     rows_sql("trade", "event_type = 'purchase' AND symbol <> 'SYM4'", "symbol || '-KRW'", side="'buy'", qty="100000000"),
+    rows_sql("trade", "event_type = 'signup' AND symbol <> 'SYM4'", "symbol || '-KRW'", side="'buy'", price=HE),
     rows_sql("book", "event_type = 'view' AND symbol <> 'SYM4'", "symbol || '-KRW'", snap="true", bids=ONE_BID, asks=ONE_ASK),
 ]) + ")")
 def _(spark, d):
@@ -259,9 +267,9 @@ SELECT event_id AS recv_seq, 'binance' AS exchange, CASE WHEN event_type IN ('vi
 UNION ALL SELECT event_id, 'bybit', CASE WHEN event_type IN ('view', 'signup') THEN event_id END,
        CASE WHEN event_type IN ('view', 'signup') THEN event_id END, NULL, event_type IN ('signup', 'click') FROM fx_base
 UNION ALL SELECT event_id, 'okx', CASE WHEN event_type = 'view' THEN event_id END, CASE WHEN event_type = 'view' THEN event_id END,
-       CASE WHEN event_type = 'view' THEN event_id END, event_type = 'view' FROM fx_base WHERE event_type <> 'purchase'
+       CASE WHEN event_type = 'view' THEN event_id END, event_type = 'view' FROM fx_base
 UNION ALL SELECT event_id, 'deribit', CASE WHEN event_type = 'view' THEN event_id END, CASE WHEN event_type = 'view' THEN event_id END,
-       CASE WHEN event_type = 'view' THEN event_id END, false FROM fx_base WHERE event_type <> 'purchase'""")
+       CASE WHEN event_type = 'view' THEN event_id END, false FROM fx_base""")
 def _(spark, d):
     rows = messages(spark, d, "binance", BINANCE)
     for venue, cases in (("bybit", BYBIT), ("okx", OKX), ("deribit", DERIBIT)):
