@@ -217,6 +217,17 @@ def test_terms_that_reveal_an_entity(spark):
     assert pii.find_private(docs.where("false")).count() == 0
 
 
+def test_entities_of_one_and_two_documents(spark):
+    rows = [(i, f"Plain case {i} of the day and more", "en") for i in range(4000)]
+    rows += [(5000, "Write to one@mail.example.com the Zyxwo of the day", "en")]
+    rows += [(5001 + i, f"Case {i} and two@mail.example.com the Qevrab of the day", "en") for i in range(2)]
+    cut = {r["doc_id"]: [rows[-3 + r["doc_id"] - 5000][1][c["start"] : c["end"]] for c in r["cuts"] if c["kind"] == "term"] for r in pii.find_private(frame(spark, rows)).where("doc_id >= 5000").collect()}
+    assert "Zyxwo" in cut[5000] and cut[5001] == cut[5002] == ["Qevrab"]
+    assert not {w.lower() for some in cut.values() for w in some} & {"the", "day", "case", "and"}
+    few = pii.find_private(frame(spark, rows[-3:] + rows[:40])).where("doc_id = 5000").first()
+    assert "term" not in few["spans"]  # among 43 documents any rare term may stand there by chance
+
+
 def test_packing(spark, sf):
     from tokenizers import Tokenizer
 

@@ -8,14 +8,15 @@ whole corpus,
 
 is the pointwise mutual information of term and entity over the information content of the
 entity: 0 if the term says nothing, 1 if it gives the entity away. p(t) is the term's share of
-all documents. A term is disclosing from `GENERALISE` on if it stands with the entity in at least
-`SUPPORT` different surroundings (copies of one passage count once). It is generalised to its kind,
-or removed from `REMOVE` on.
+all documents. A term is disclosing from `GENERALISE` on if so many meetings are no chance: over all
+terms of an entity, a false one may come with probability `CHANCE` (copies of one passage count once).
+It is generalised to its kind, or removed from `REMOVE` on. An entity in one document is judged too:
+the larger the corpus, the less a rare term stands there by chance.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import U64, bloom, in_bloom, longs, process_cache, slices, stored
@@ -31,7 +32,7 @@ from tickloom.session import ship_by_value
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 100  # characters on each side of an entity
-SUPPORT = 3
+CHANCE = 0.01  # of any term of one entity passing the test if it tells nothing
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -161,6 +162,18 @@ def document_frequency(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return counts.join(terms, "t")
 
 
+def log_chance(n_et: Column, support: Column, n_e: Column, df: Column, total: int) -> Column:
+    """Upper bound of the log probability that so many meetings come by chance: m^n / n!, m = n_e df / total.
+
+    Bounds the hypergeometric tail; n! from below by Stirling. n are the meetings in different
+    surroundings, and where k copies stand for one, n_e and df shrink by k as well.
+    """
+    n = F.least(support, n_et).cast("double")
+    k = F.greatest(n_et / support, F.lit(1.0))
+    m = n_e * df / (k * k * F.lit(float(total)))
+    return n * F.log(m) - (n * F.log(n) - n + 0.5 * F.log(F.lit(2 * math.pi) * n))
+
+
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text_key, n_email, n_ip, n_card, n_phone, base_sha256, spans, cuts.
 
@@ -172,14 +185,16 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     found = stored(base.mapInArrow(_found, FOUND).withColumn("row", F.monotonically_increasing_id()), "found")
     around = found.select("row", F.explode("around").alias("a")).select("row", "a.e", "a.w", F.explode("a.terms").alias("m")).select("row", "e", "w", "m.t", F.col("m.s").alias("s"), F.col("m.e").alias("end"))
-    apart = around.groupBy("e", "t").agg(F.count_distinct("w").alias("support"), F.count_distinct("row").alias("n_et")).where(F.col("support") >= SUPPORT)
+    apart = around.groupBy("e", "t").agg(F.count_distinct("w").alias("support"), F.count_distinct("row").alias("n_et"))
     pairs = stored(apart, "entity-terms")
     df = document_frequency(docs.select(F.col(text_col).cast("string").alias("text")), pairs.select("t").distinct())
     entity = found.select("row", F.explode("around.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     total = found.count()
     pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("df")))
-    told = pairs.join(df, "t").join(entity, "e").withColumn("disclosure", pmi / F.log(F.lit(float(total)) / F.col("n_e")))
-    told = told.where(F.col("disclosure") >= GENERALISE).select("e", "t", (F.col("disclosure") >= REMOVE).alias("remove"))
+    tests = pairs.groupBy("e").agg(F.count("*").alias("tests"))
+    told = pairs.join(df, "t").join(entity, "e").join(tests, "e").withColumn("disclosure", pmi / F.log(F.lit(float(total)) / F.col("n_e")))
+    chance = log_chance(F.col("n_et"), F.col("support"), F.col("n_e"), F.col("df"), total) + F.log("tests")
+    told = told.where((F.col("disclosure") >= GENERALISE) & (chance <= math.log(CHANCE))).select("e", "t", (F.col("disclosure") >= REMOVE).alias("remove"))
     terms = around.join(told, ["e", "t"]).groupBy("row", "s", "end").agg(F.max("remove").alias("remove"))
     terms = terms.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "end", "remove"))).alias("terms"))
     parsed = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(
