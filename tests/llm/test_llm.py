@@ -228,6 +228,18 @@ def test_entities_of_one_and_two_documents(spark):
     assert "term" not in few["spans"]  # among 43 documents any rare term may stand there by chance
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    gap = " of the day and more" * 30
+    rows = [(i, f"Plain case {i}{gap}", "en") for i in range(300)]
+    rows += [(5000 + i, f"Write in case {i} to far@mail.example.com or far@mail.example.com{gap} Zyxwo{gap} ZYXWO", "en") for i in range(5)]
+    rows += [(6000, f"Case 9 of Zyxwo{gap}", "en")]
+    got = {r["doc_id"]: r for r in pii.find_private(frame(spark, rows)).collect()}
+    for i in range(5):
+        text = rows[300 + i][1]
+        assert [text[c["start"] : c["end"]] for c in got[5000 + i]["cuts"] if c["kind"] == "term" and c["start"] > 200] == ["Zyxwo", "ZYXWO"]
+    assert got[6000]["spans"] == "" and got[5000]["n_email"] == 2
+
+
 def test_packing(spark, sf):
     from tokenizers import Tokenizer
 

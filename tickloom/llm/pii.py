@@ -1,17 +1,18 @@
 """Personal data: fixed patterns, and terms that reveal a protected entity.
 
 Patterns find e-mail and IP addresses, card and phone numbers; each distinct value is a protected
-entity. The method then asks of the terms around an entity how much they tell about it. Over the
-whole corpus,
+entity. The method then asks of all terms of the documents that hold an entity how much they tell
+about it. Over the whole corpus,
 
     disclosure(t -> e) = log(p(e, t) / (p(e) p(t))) / -log p(e)
 
 is the pointwise mutual information of term and entity over the information content of the
 entity: 0 if the term says nothing, 1 if it gives the entity away. p(t) is the term's share of
-all documents. A term is disclosing from `GENERALISE` on if so many meetings are no chance: over all
-terms of an entity, a false one may come with probability `CHANCE` (copies of one passage count once).
-It is generalised to its kind, or removed from `REMOVE` on. An entity in one document is judged too:
-the larger the corpus, the less a rare term stands there by chance.
+all documents. A term is disclosing from `GENERALISE` on if so many meetings come by chance with
+probability `CHANCE` at most (copies of one passage count once). It is generalised to its kind, or
+removed from `REMOVE` on. An entity in one document is judged too:
+the larger the corpus, the less a rare term stands there by chance. Every place of a disclosing term
+is cut in every document that holds the entity.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from tickloom.llm.common import U64, bloom, in_bloom, longs, process_cache, slic
 from tickloom.session import ship_by_value
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 100  # characters on each side of an entity
-CHANCE = 0.01  # of any term of one entity passing the test if it tells nothing
+CONTEXT = 100  # characters on each side of an entity that tell copies of one passage; they bound nothing else
+CHANCE = 0.01
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -87,27 +89,29 @@ def key(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """For each protected entity: its key, a key of the text around it, and the terms there outside all base spans."""
-    taken = sorted((a, b) for _, a, b in spans)
-    out = []
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """The protected entities of a text, each once: its key, and a key of the text around all its places."""
+    around = {}
     for kind, a, b in spans:
-        lo, hi = max(0, a - WINDOW), min(len(text), b + WINDOW)
-        terms = []
-        for m in TERM.finditer(text, lo, hi):
-            s, e = m.span()
-            cut = s == lo and s > 0 and text[s - 1].isalpha() or e == hi and e < len(text) and text[e].isalpha()
-            if not cut and not any(s < y and x < e for x, y in taken if x < e):
-                terms.append({"t": key(m[0].lower()), "s": s, "e": e})
-        out.append({"e": key(f"{kind}:{text[a:b].lower()}"), "w": key(text[lo:a] + "\0" + text[b:hi]), "terms": terms})
-    return out
+        near = key(text[max(0, a - CONTEXT) : a] + "\0" + text[b : b + CONTEXT])
+        around.setdefault(key(f"{kind}:{text[a:b].lower()}"), set()).add(near)
+    return [{"e": e, "w": key(",".join(map(str, sorted(w))))} for e, w in around.items()]
 
 
-FOUND = (
-    "id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "around array<struct<e: long, w: long, terms: array<struct<t: long, s: int, e: int>>>>"
-)
-AROUND = pa.list_(pa.struct([("e", pa.int64()), ("w", pa.int64()), ("terms", pa.list_(pa.struct([("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])))]))
+def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms outside all base spans."""
+    taken, i = sorted((a, b) for _, a, b in spans), 0
+    reach = list(accumulate((b for _, b in taken), max))
+    for m in TERM.finditer(text):
+        s, e = m.span()
+        while i < len(taken) and reach[i] <= s:
+            i += 1
+        if i == len(taken) or taken[i][0] >= e:
+            yield m[0].lower(), s, e
+
+
+FOUND = "id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, text string, entities array<struct<e: long, w: long>>"
+ENTITIES = pa.list_(pa.struct([("e", pa.int64()), ("w", pa.int64())]))
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +121,51 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = t or ""
             spans = base_spans(t)
             n = Counter(kind for kind, _, _ in spans)
-            rows.append((i, k, n["email"], n["ip"], n["card"], n["phone"], written(spans), surroundings(t, spans)))
+            rows.append((i, k, n["email"], n["ip"], n["card"], n["phone"], written(spans), t if spans else None, entities(t, spans)))
         yield pa.record_batch(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 6, pa.string(), AROUND))],
-            names=["id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "around"],
+            [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 6, pa.string(), pa.string(), ENTITIES))],
+            names=["id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "text", "entities"],
         )
 
 
+def read_spans(base: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, t): the distinct terms of each document that holds an entity."""
+    for batch in batches:
+        for rows, bases, texts in slices([batch], 64):
+            known = process_cache("term_keys", TermKeys)
+            if len(known) > 150_000:
+                known.clear()
+            at, keys = [], []
+            for r, base, text in zip(rows, bases, texts):
+                found = {t for t, _, _ in terms(text, read_spans(base))}
+                keys += map(known.__getitem__, found)
+                at += [r] * len(found)
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(keys, pa.int64())], names=["row", "t"])
+
+
+CUTS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]))
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans, then every place of the disclosing terms."""
+    for batch in batches:
+        for part in (batch.slice(at, 64) for at in range(0, batch.num_rows, 64)):
+            *rest, bases, texts, told = part.columns
+            out = []
+            for base, text, some in zip(bases.to_pylist(), texts.to_pylist(), told.to_pylist()):
+                spans = read_spans(base)
+                cuts = [(k, a, b, True) for k, a, b in spans]
+                if some:
+                    wanted = {x["t"]: x["remove"] for x in some}
+                    cuts += [("term", a, b, wanted[k]) for t, a, b in terms(text, spans) if (k := key(t)) in wanted]
+                out.append([dict(zip(("kind", "start", "end", "remove"), c)) for c in cuts])
+            yield pa.record_batch([*rest, bases, pa.array(out, CUTS)], names=[*part.schema.names[:-2], "cuts"])
+
+
 class TermKeys(dict):
     def __missing__(self, term: str) -> int:
         found = self[term] = key(term)
@@ -174,6 +216,37 @@ def log_chance(n_et: Column, support: Column, n_e: Column, df: Column, total: in
     return n * F.log(m) - (n * F.log(n) - n + 0.5 * F.log(F.lit(2 * math.pi) * n))
 
 
+FIELDS = ["id", "text_key", "n_email", "n_ip", "n_card", "n_phone"]
+
+
+def disclosing(found: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(e, t, remove) of the pairs that disclose, and (row, e, t) of the documents they may stand in.
+
+    Meetings are counted in whole documents. As n_et is at most n_e, a term of df documents can only reach
+    `GENERALISE` where df <= total^(1 - GENERALISE) n_e^GENERALISE; other pairs are never made. The entities that
+    stand in one same document only are alike for every term, so one stands for all of them.
+    """
+    total = found.count()
+    held = found.where(F.size("entities") > 0)
+    stand = held.select("row", F.inline("entities"))
+    words = stored(held.select("row", "base", "text").mapInArrow(_terms, "row long, t long"), "terms")
+    df = document_frequency(texts, words.select("t").distinct())
+    n_e = stand.groupBy("e").agg(F.count("*").alias("n_e"))
+    stand = stand.join(n_e, "e").groupBy("row", F.when(F.col("n_e") > 1, F.col("e")).alias("shared")).agg(
+        F.min("e").alias("e"), F.min("w").alias("w"), F.first("n_e").alias("n_e"))
+    stand = stored(stand.drop("shared"), "entities")
+    most = F.pow(F.lit(float(max(total, 1))), F.lit(1 - GENERALISE)) * F.pow(F.col("n_e"), F.lit(GENERALISE)) * (1 + 1e-9)
+    largest = stand.groupBy("row").agg(F.max(most).alias("largest"))
+    rare = words.join(df, "t").join(largest, "row").where(F.col("df") <= F.col("largest")).drop("largest")
+    pairs = stored(rare.join(stand, "row").where(F.col("df") <= most).select("row", "e", "w", "t", "n_e", "df"), "entity-terms")
+    met = pairs.groupBy("e", "t").agg(F.count_distinct("w").alias("support"), F.count_distinct("row").alias("n_et"), F.first("n_e").alias("n_e"), F.first("df").alias("df"))
+    pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("df")))
+    judged = met.withColumn("disclosure", pmi / F.log(F.lit(float(total)) / F.col("n_e")))
+    chance = log_chance(F.col("n_et"), F.col("support"), F.col("n_e"), F.col("df"), total)
+    told = judged.where((F.col("disclosure") >= GENERALISE) & (chance <= math.log(CHANCE)))
+    return told.select("e", "t", (F.col("disclosure") >= REMOVE).alias("remove")), pairs.select("row", "e", "t")
+
+
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text_key, n_email, n_ip, n_card, n_phone, base_sha256, spans, cuts.
 
@@ -184,27 +257,13 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     found = stored(base.mapInArrow(_found, FOUND).withColumn("row", F.monotonically_increasing_id()), "found")
-    around = found.select("row", F.explode("around").alias("a")).select("row", "a.e", "a.w", F.explode("a.terms").alias("m")).select("row", "e", "w", "m.t", F.col("m.s").alias("s"), F.col("m.e").alias("end"))
-    apart = around.groupBy("e", "t").agg(F.count_distinct("w").alias("support"), F.count_distinct("row").alias("n_et"))
-    pairs = stored(apart, "entity-terms")
-    df = document_frequency(docs.select(F.col(text_col).cast("string").alias("text")), pairs.select("t").distinct())
-    entity = found.select("row", F.explode("around.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    total = found.count()
-    pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("df")))
-    tests = pairs.groupBy("e").agg(F.count("*").alias("tests"))
-    told = pairs.join(df, "t").join(entity, "e").join(tests, "e").withColumn("disclosure", pmi / F.log(F.lit(float(total)) / F.col("n_e")))
-    chance = log_chance(F.col("n_et"), F.col("support"), F.col("n_e"), F.col("df"), total) + F.log("tests")
-    told = told.where((F.col("disclosure") >= GENERALISE) & (chance <= math.log(CHANCE))).select("e", "t", (F.col("disclosure") >= REMOVE).alias("remove"))
-    terms = around.join(told, ["e", "t"]).groupBy("row", "s", "end").agg(F.max("remove").alias("remove"))
-    terms = terms.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "end", "remove"))).alias("terms"))
-    parsed = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(
-        F.split_part(x, F.lit(":"), F.lit(1)).alias("kind"), F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("start"),
-        F.split_part(x, F.lit(":"), F.lit(3)).cast("int").alias("end"), F.lit(True).alias("remove")))
-    more = F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,end:int,remove:boolean>>")), lambda x: F.struct(
-        F.lit("term").alias("kind"), x["s"].alias("start"), x["end"].alias("end"), x["remove"].alias("remove")))
-    joined = found.join(terms, "row", "left").withColumn("cuts", F.concat(parsed, more))
-    return joined.select(
-        F.col("id").alias(id_col), "text_key", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+    told, pairs = disclosing(found, docs.select(F.col(text_col).cast("string").alias("text")))
+    terms = pairs.join(told, ["e", "t"]).groupBy("row", "t").agg(F.max("remove").alias("remove"))
+    terms = terms.groupBy("row").agg(F.collect_list(F.struct("t", "remove")).alias("told"))
+    joined = found.join(terms, "row", "left").select(*FIELDS, "base", "text", "told")
+    cut = joined.mapInArrow(_cuts, f"{', '.join(f'{c} long' for c in FIELDS)}, base string, cuts array<struct<kind: string, start: int, end: int, remove: boolean>>")
+    return cut.select(
+        F.col("id").alias(id_col), *FIELDS[1:], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform("cuts", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",").alias("spans"), "cuts",
     )
 
