@@ -126,6 +126,16 @@ def test_delta_before_snapshot_is_ignored(spark):
     assert [(r.seq, [(x.price, x.quantity) for x in r.bids]) for r in got] == [(2, [(1.01, 7.0)])]
 
 
+def test_emptied_book_keeps_its_row(spark):
+    rows = [("x", "s", 1, 1, 1, False, "bid", 99, 0.99, 5.0), ("x", "s", 2, 2, 2, True, "bid", 100, 1.0, 5.0), ("x", "s", 3, 3, 3, False, "bid", 100, 1.0, 0.0),
+            ("x", "s", 4, 4, 4, False, "ask", 101, 1.01, 2.0), ("x", "s", 5, 5, 5, True, "ask", 101, 1.01, 0.0)]
+    df = spark.createDataFrame(rows, "exchange string, symbol string, seq long, ts_us long, update_id long, is_snapshot boolean, side string, price_ticks long, price double, quantity double")
+    got = {r.seq: (len(r.bids), len(r.asks), r.best_bid, r.mid) for r in dp.top_of_book(b.books(df, 2)).collect()}
+    assert got == {2: (1, 0, 1.0, None), 3: (0, 0, None, None), 4: (0, 1, None, None), 5: (0, 0, None, None)}
+    sums = {r.seq: r.checksum for r in b.book_checksum(b.books(df, 2)).collect()}
+    assert set(sums) == {2, 3, 4, 5} and sums[3] == sums[5] == "00000000"
+
+
 def test_checksum_audit(spark):
     df = spark.createDataFrame([("x", "s", 1, "a", "a"), ("x", "s", 2, "a", "b")], "exchange string, symbol string, seq long, computed string, received string")
     last = b.checksum_audit(df, 10).orderBy(F.desc("seq")).first()

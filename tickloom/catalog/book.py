@@ -37,6 +37,11 @@ def levels(spark, d):
     return view(spark, d, "fx_l2")
 
 
+def with_levels(books):
+    """The oracles join messages with live levels, so an emptied book is no row of theirs; operators keep it."""
+    return books.filter((F.size("bids") > 0) | (F.size("asks") > 0))
+
+
 def month_points(spark, d):
     """(exchange, symbol, at) for the first day of each month and every key, and one point later than every row."""
     last = levels(spark, d).agg(F.trunc(F.timestamp_micros(F.max("ts_us")), "month")).scalar()
@@ -92,7 +97,7 @@ def summary(df, *more):
   SELECT exchange, symbol, seq FROM (SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS n FROM msg)
   WHERE n % 100 = 0)""" + SUMMARY + "FROM lv SEMI JOIN nth USING (exchange, symbol, seq) GROUP BY ALL")
 def _(spark, d):
-    return summary(b.book_snapshots_series(levels(spark, d), CHUNK, 100))
+    return summary(with_levels(b.book_snapshots_series(levels(spark, d), CHUNK, 100)))
 
 
 @query("book_snapshots", BOOK + """, nth AS (
@@ -101,7 +106,7 @@ def _(spark, d):
        + SUMMARY + """, max(n) AS nth FROM lv JOIN (SELECT exchange, symbol, seq, n FROM nth WHERE back <= 10)
   USING (exchange, symbol, seq) GROUP BY ALL""")
 def _(spark, d):
-    return summary(b.book_snapshots(levels(spark, d), CHUNK, 50, 10), "nth")
+    return summary(with_levels(b.book_snapshots(levels(spark, d), CHUNK, 50, 10)), "nth")
 
 
 @query("seq_gaps", L2 + """
@@ -226,7 +231,7 @@ SELECT exchange, symbol, seq, md5(coalesce(string_agg({SPELL} || '|', '' ORDER B
        || coalesce(string_agg({SPELL} || '|', '' ORDER BY rk) FILTER (side = 'ask'), '')) AS checksum
 FROM lv GROUP BY ALL""")
 def _(spark, d):
-    out = b.book_checksum(b.books(levels(spark, d), CHUNK), "md5")
+    out = b.book_checksum(with_levels(b.books(levels(spark, d), CHUNK)), "md5")
     return out.select("exchange", "symbol", "seq", "checksum")
 
 

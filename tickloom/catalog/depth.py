@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import query
-from tickloom.catalog.book import BOOK, CHUNK, L3, levels
+from tickloom.catalog.book import BOOK, CHUNK, L3, levels, with_levels
 from tickloom.operators import book as b
 from tickloom.operators import depth as dp
 from tickloom.sources.fixtures import _DUCK, view
@@ -15,7 +15,7 @@ DAY = 86_400_000_000
 
 
 def books(spark, d):
-    return b.books(levels(spark, d), CHUNK)
+    return with_levels(b.books(levels(spark, d), CHUNK))
 
 
 def w(name: str, alias: str | None = None):

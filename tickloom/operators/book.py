@@ -128,13 +128,16 @@ def _sides() -> list[Column]:
 def books(levels: DataFrame, chunk: int, points: DataFrame | None = None, bucket: int | None = None) -> DataFrame:
     """Full book after each message (default) or after each message in `points` (exchange, symbol, seq, ts_us).
 
-    One row holds one book, so a group is as large as a book is deep. The aggregation runs
-    on the partitioning of the interval join, without another shuffle.
+    One row holds one book, so a group is as large as a book is deep; a message that empties the book has
+    empty arrays. Before the first snapshot of a key there is no book. The aggregation runs on the
+    partitioning of the interval join, without another shuffle.
     """
     width = bucket or max(1, chunk // 5)
     at = points if points is not None else messages(levels).select(*KEY, "seq", "ts_us")
     states = level_intervals(levels, chunk).select(*LEVEL, "price", "quantity", "seq_from", "seq_to")
-    found = interval_join(at, states, KEY, "seq", "seq_from", "seq_to", width)
+    begun = levels.filter("is_snapshot").groupBy(*KEY).agg(F.min("seq").alias("_begun"))
+    at = at.join(begun, KEY).filter(F.col("seq") >= F.col("_begun")).drop("_begun")
+    found = interval_join(at, states, KEY, "seq", "seq_from", "seq_to", width, "left")
     return found.groupBy(*KEY, "_bucket", "seq", "ts_us").agg(*_sides()).drop("_bucket")
 
 

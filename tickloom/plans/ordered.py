@@ -253,10 +253,13 @@ def order_statistics(
 
 
 def interval_join(
-    points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int
+    points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int,
+    how: str = "inner",
 ) -> DataFrame:
     """Points joined to the half-open intervals [start, stop) of their key that contain them.
 
+    With `how="left"` a point outside every interval keeps one row, without interval.
+
     Both sides carry a bucket of the axis, so Spark runs an equi-join on (keys, bucket) with
     the range as a residual; the output stays partitioned by (keys, bucket).
     """
@@ -268,4 +271,9 @@ def interval_join(
     )
     located = points.withColumn("_bucket", F.floor(F.col(at) / width))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))
-    return located.join(spread, [*keys, "_bucket"]).filter(inside)
+    if how == "inner":
+        return located.join(spread, [*keys, "_bucket"]).filter(inside)
+    other = spread.withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_bucket")})
+    for k in (*keys, "_bucket"):
+        inside = inside & (F.col(k) == F.col(f"_of_{k}"))
+    return located.join(other, inside, how).drop(*[f"_of_{k}" for k in (*keys, "_bucket")])
