@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog import query
+from tickloom.catalog import last_accepted, query
 from tickloom.operators import book as b
+from tickloom.operators.replay import replayed
 from tickloom.sources.fixtures import duck, view
 
 KEY = ["exchange", "symbol"]
@@ -19,11 +20,13 @@ EPOCHED = """SELECT *, max(CASE WHEN is_snapshot THEN seq END) OVER (PARTITION B
 IVALS = """SELECT exchange, symbol, side, price_ticks, price, quantity, seq AS seq_from, next_epoch, least(
     coalesce(lead(seq) OVER (PARTITION BY exchange, symbol, side, price_ticks ORDER BY seq), 1000000),
     coalesce(next_epoch, 1000000)) AS seq_to FROM ep WHERE epoch IS NOT NULL"""
+# A message whose book is empty keeps one row, with a NULL side.
 LV = """SELECT m.exchange, m.symbol, m.seq, m.ts_us, i.side, i.price_ticks, i.price, i.quantity,
     row_number() OVER (PARTITION BY m.exchange, m.symbol, m.seq, i.side
       ORDER BY CASE i.side WHEN 'bid' THEN -i.price_ticks ELSE i.price_ticks END) AS rk
-  FROM msg m JOIN iv i ON m.exchange = i.exchange AND m.symbol = i.symbol
-   AND i.seq_from <= m.seq AND m.seq < i.seq_to AND i.quantity > 0"""
+  FROM (SELECT *, min(CASE WHEN is_snapshot THEN seq END) OVER (PARTITION BY exchange, symbol) AS begun FROM msg) m
+  LEFT JOIN iv i ON m.exchange = i.exchange AND m.symbol = i.symbol AND i.seq_from <= m.seq AND m.seq < i.seq_to AND i.quantity > 0
+  WHERE m.seq >= m.begun"""
 L2 = duck("fx_l2", extra={"msg": MSG, "ep": EPOCHED, "iv": IVALS})
 BOOK = duck("fx_l2", extra={"msg": MSG, "ep": EPOCHED, "iv": IVALS, "lv": LV})
 
@@ -37,11 +40,6 @@ def levels(spark, d):
     return view(spark, d, "fx_l2")
 
 
-def with_levels(books):
-    """The oracles join messages with live levels, so an emptied book is no row of theirs; operators keep it."""
-    return books.filter((F.size("bids") > 0) | (F.size("asks") > 0))
-
-
 def month_points(spark, d):
     """(exchange, symbol, at) for the first day of each month and every key, and one point later than every row."""
     last = levels(spark, d).agg(F.trunc(F.timestamp_micros(F.max("ts_us")), "month")).scalar()
@@ -97,7 +95,7 @@ def summary(df, *more):
   SELECT exchange, symbol, seq FROM (SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS n FROM msg)
   WHERE n % 100 = 0)""" + SUMMARY + "FROM lv SEMI JOIN nth USING (exchange, symbol, seq) GROUP BY ALL")
 def _(spark, d):
-    return summary(with_levels(b.book_snapshots_series(levels(spark, d), CHUNK, 100)))
+    return summary(b.book_snapshots_series(levels(spark, d), CHUNK, 100))
 
 
 @query("book_snapshots", BOOK + """, nth AS (
@@ -106,7 +104,7 @@ def _(spark, d):
        + SUMMARY + """, max(n) AS nth FROM lv JOIN (SELECT exchange, symbol, seq, n FROM nth WHERE back <= 10)
   USING (exchange, symbol, seq) GROUP BY ALL""")
 def _(spark, d):
-    return summary(with_levels(b.book_snapshots(levels(spark, d), CHUNK, 50, 10)), "nth")
+    return summary(b.book_snapshots(levels(spark, d), CHUNK, 50, 10), "nth")
 
 
 @query("seq_gaps", L2 + """
@@ -231,13 +229,13 @@ SELECT exchange, symbol, seq, md5(coalesce(string_agg({SPELL} || '|', '' ORDER B
        || coalesce(string_agg({SPELL} || '|', '' ORDER BY rk) FILTER (side = 'ask'), '')) AS checksum
 FROM lv GROUP BY ALL""")
 def _(spark, d):
-    out = b.book_checksum(with_levels(b.books(levels(spark, d), CHUNK)), "md5")
+    out = b.book_checksum(replayed(levels(spark, d), CHUNK, checksums=("md5",)), "md5")
     return out.select("exchange", "symbol", "seq", "checksum")
 
 
 @query("book_checksum_crc32")
 def _(spark, d):
-    out = b.book_checksum(b.books(levels(spark, d), CHUNK), "crc32")
+    out = b.book_checksum(replayed(levels(spark, d), CHUNK, checksums=("crc32",)), "crc32")
     return out.select("exchange", "symbol", "seq", "checksum")
 
 
@@ -279,16 +277,15 @@ UPD = """, up AS (
          CASE WHEN seq % 37 = 0 THEN min(price) FILTER (side = 'bid') ELSE max(price) FILTER (side = 'bid') END AS bb,
          min(price) FILTER (side = 'ask') AS ba, count(*) FILTER (side = 'bid') AS nb FROM fx_l2 GROUP BY exchange, symbol, seq),
 um AS (SELECT *, (bb + ba) / 2 AS mid FROM up),
-ul AS (SELECT *, max(ts_us) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lts, last_value(mid IGNORE NULLS) OVER (PARTITION BY exchange, symbol ORDER BY seq
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lmid FROM um
-       WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq))"""
+ul AS (SELECT *, max(ts_us) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lts FROM um
+       WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq)),
+ue AS (SELECT *, CASE WHEN ts_us < lts THEN 'non_monotonic' WHEN (1004832000000000 - ts_us) / 1000 > 180000000000 THEN 'stale'
+            WHEN seq % 37 = 0 AND nb > 1 THEN 'bids_unsorted' WHEN bb >= ba THEN 'crossed' END AS early FROM ul)"""
 
 
-@query("book_validation", L2 + UPD + """
-SELECT exchange, symbol, seq, round(mid, 6) AS mid,
-       CASE WHEN ts_us < lts THEN 'non_monotonic' WHEN (1004832000000000 - ts_us) / 1000 > 180000000000 THEN 'stale'
-            WHEN seq % 37 = 0 AND nb > 1 THEN 'bids_unsorted' WHEN bb >= ba THEN 'crossed'
-            WHEN abs((mid - lmid) / lmid) * 100 > 0.3 THEN 'outlier' END AS violation FROM ul""")
+@query("book_validation", L2.replace("WITH", "WITH RECURSIVE", 1) + UPD + last_accepted("ue", "mid", "seq", 0.3) + """
+SELECT exchange, symbol, seq, round(mid, 6) AS mid, coalesce(early, CASE WHEN outlier THEN 'outlier' END) AS violation
+FROM numbered JOIN judged USING (exchange, symbol, nth)""")
 def _(spark, d):
     out = b.book_validation(update_arrays(spark, d), CHUNK, 0.3, 180_000_000_000, F.lit(1_004_832_000_000_000))
     return out.select("exchange", "symbol", "seq", F.round("mid", 6).alias("mid"), "violation")

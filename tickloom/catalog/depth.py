@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import query
-from tickloom.catalog.book import BOOK, CHUNK, L3, levels, with_levels
+from tickloom.catalog.book import BOOK, CHUNK, L3, levels
 from tickloom.operators import book as b
 from tickloom.operators import depth as dp
+from tickloom.operators.replay import replayed
 from tickloom.sources.fixtures import _DUCK, view
 
 ID = ["exchange", "symbol", "seq"]
 DAY = 86_400_000_000
 
 
-def books(spark, d):
-    return with_levels(b.books(levels(spark, d), CHUNK))
+def books(spark, d, **measures):
+    return replayed(levels(spark, d), CHUNK, **measures)
 
 
 def w(name: str, alias: str | None = None):
@@ -78,24 +79,24 @@ FROM (SELECT * EXCLUDE (keep) FROM (SELECT *, rk <= 10 AS keep FROM lv) WHERE ke
 def _(spark, d):
     from tickloom.catalog.book import summary
 
-    return summary(dp.truncate_depth(books(spark, d), 10))
+    return summary(dp.truncate_depth(books(spark, d, depth=10), 10))
 
 
-@query("top_levels", BOOK + "SELECT exchange, symbol, seq, side, rk AS rank, price, quantity FROM lv WHERE rk <= 3")
+@query("top_levels", BOOK + "SELECT exchange, symbol, seq, side, rk AS rank, price, quantity FROM lv WHERE rk <= 3 AND side IS NOT NULL")
 def _(spark, d):
-    return dp.top_levels(books(spark, d), 3)
+    return dp.top_levels(books(spark, d, depth=3), 3)
 
 
 @query("wap_depth", _sql("round(wap + 1e-9, 6) AS wap"))
 def _(spark, d):
-    return dp.wap_depth(books(spark, d), 10).select(*ID, w("wap"))
+    return dp.wap_depth(books(spark, d, bands=(10,)), 10).select(*ID, w("wap"))
 
 
 @query("volume_at_depth", _sql(
     "CASE WHEN mid IS NULL THEN 0 ELSE b10 END AS bid_volume_10bps, CASE WHEN mid IS NULL THEN 0 ELSE a10 END AS ask_volume_10bps,"
     " CASE WHEN mid IS NULL THEN 0 ELSE b20 END AS bid_volume_20bps, CASE WHEN mid IS NULL THEN 0 ELSE a20 END AS ask_volume_20bps"))
 def _(spark, d):
-    out = dp.volume_at_depth(books(spark, d))
+    out = dp.volume_at_depth(books(spark, d, bands=(10, 20)))
     return out.select(*ID, "bid_volume_10bps", "ask_volume_10bps", "bid_volume_20bps", "ask_volume_20bps")
 
 
@@ -106,12 +107,12 @@ def _(spark, d):
 
 @query("liquidity_imbalance_qty", _sql(f"CASE WHEN mid IS NOT NULL THEN {_imb('b10', 'a10')} END AS liquidity_imbalance"))
 def _(spark, d):
-    return dp.liquidity_imbalance_qty(books(spark, d)).select(*ID, *r("liquidity_imbalance"))
+    return dp.liquidity_imbalance_qty(books(spark, d, bands=(10,))).select(*ID, *r("liquidity_imbalance"))
 
 
 @query("liquidity_imbalance_notional", _sql(f"CASE WHEN mid IS NOT NULL THEN {_imb('nb20', 'na20')} END AS liquidity_imbalance"))
 def _(spark, d):
-    return dp.liquidity_imbalance_notional(books(spark, d)).select(*ID, *r("liquidity_imbalance"))
+    return dp.liquidity_imbalance_notional(books(spark, d, bands=(20,))).select(*ID, *r("liquidity_imbalance"))
 
 
 @query("queue_imbalance_levels", _sql(_imb("nb", "na") + " AS queue_imbalance"))
@@ -121,17 +122,17 @@ def _(spark, d):
 
 @query("queue_imbalance_top5", _sql(_imb("b5", "a5") + " AS queue_imbalance"))
 def _(spark, d):
-    return dp.queue_imbalance_top5(books(spark, d)).select(*ID, *r("queue_imbalance"))
+    return dp.queue_imbalance_top5(books(spark, d, depth=5)).select(*ID, *r("queue_imbalance"))
 
 
 @query("volume_weighted_imbalance", _sql(_imb("wb", "wa") + " AS volume_weighted_imbalance"))
 def _(spark, d):
-    return dp.volume_weighted_imbalance(books(spark, d), 5).select(*ID, *r("volume_weighted_imbalance"))
+    return dp.volume_weighted_imbalance(books(spark, d, depth=5), 5).select(*ID, *r("volume_weighted_imbalance"))
 
 
 @query("pressure_imbalance", _sql(f"CASE WHEN mid IS NOT NULL THEN {_imb('pb', 'pa')} END AS pressure_imbalance"))
 def _(spark, d):
-    return dp.pressure_imbalance(books(spark, d)).select(*ID, *r("pressure_imbalance"))
+    return dp.pressure_imbalance(books(spark, d, depth=10)).select(*ID, *r("pressure_imbalance"))
 
 
 LAGGED = BAND + "".join(f""", g{i} AS (
@@ -146,7 +147,7 @@ SELECT w.exchange, w.symbol, w.seq, round(w.wap + 1e-9, 6) AS wap, round(wap_lag
 FROM wp w LEFT JOIN g1 USING (exchange, symbol, seq) LEFT JOIN g2 USING (exchange, symbol, seq)
 LEFT JOIN g3 USING (exchange, symbol, seq)""")
 def _(spark, d):
-    thin = dp.wap_depth(books(spark, d), 10).select(*ID, "ts_us", "wap")
+    thin = dp.wap_depth(books(spark, d, bands=(10,)), 10).select(*ID, "ts_us", "wap")
     out = dp.asof_book_lag(thin, LAGS_MS, ("wap",), 100 * DAY)
     return out.select(*ID, w("wap"), *[w(f"wap_{lag}ms", f"wap_lag{i + 1}") for i, lag in enumerate(LAGS_MS)])
 
@@ -155,18 +156,18 @@ def _(spark, d):
 SELECT w.exchange, w.symbol, w.seq, round((w.wap - wap_lag3) / wap_lag3, 8) AS wap_momentum
 FROM wp w LEFT JOIN g3 USING (exchange, symbol, seq)""")
 def _(spark, d):
-    return dp.wap_momentum(books(spark, d), LAGS_MS[2], 10, 100 * DAY).select(*ID, *r("wap_momentum"))
+    return dp.wap_momentum(books(spark, d, bands=(10,)), LAGS_MS[2], 10, 100 * DAY).select(*ID, *r("wap_momentum"))
 
 
 @query("wap_rolling_stats", BOOK + BAND + f""", s AS (
   SELECT exchange, symbol, seq, wap, avg(wap) OVER w AS m, stddev_pop(wap) OVER w AS sd, min(wap) OVER w AS lo,
          max(wap) OVER w AS hi, count(wap) OVER w AS n FROM wp
   WINDOW w AS (PARTITION BY exchange, symbol ORDER BY ts_us RANGE BETWEEN {20 * DAY} PRECEDING AND CURRENT ROW))
-SELECT exchange, symbol, seq, round(m, 6) AS wap_mean, round(sd, 6) AS wap_std, round(lo, 6) AS wap_min,
-       round(hi, 6) AS wap_max, n AS wap_count, round(CASE WHEN sd > 1e-9 THEN (wap - m) / sd END, 5) AS wap_zscore FROM s""")
+SELECT exchange, symbol, seq, round(m + 1e-9, 6) AS wap_mean, round(sd + 1e-9, 6) AS wap_std, round(lo + 1e-9, 6) AS wap_min,
+       round(hi + 1e-9, 6) AS wap_max, n AS wap_count, round(CASE WHEN sd > 1e-9 THEN (wap - m) / sd END, 5) AS wap_zscore FROM s""")
 def _(spark, d):
-    out = dp.wap_rolling_stats(books(spark, d), 20 * DAY)
-    return out.select(*ID, *r("wap_mean", "wap_std", "wap_min", "wap_max", digits=6), "wap_count", *r("wap_zscore", digits=5))
+    out = dp.wap_rolling_stats(books(spark, d, bands=(10,)), 20 * DAY)
+    return out.select(*ID, *[w(c) for c in ("wap_mean", "wap_std", "wap_min", "wap_max")], "wap_count", *r("wap_zscore", digits=5))
 
 
 TRADES = f", fx_fills AS ({_DUCK['fx_fills']})" + """, td AS (
@@ -241,11 +242,11 @@ ENGINE = (BOOK + LAGGED + FLOW
 
 def lookback(spark, d):
     flow = b.order_flow_imbalance_l3(b.l3_events(levels(spark, d), CHUNK), WINDOW_US // 1000)
-    return dp.features(books(spark, d), trades(spark, d), flow, "lookback", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
+    return dp.features(books(spark, d, **dp.NEEDS), trades(spark, d), flow, "lookback", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
 
 
 def engine(spark, d):
-    return dp.features(books(spark, d), trades(spark, d), None, "engine", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
+    return dp.features(books(spark, d, **dp.NEEDS), trades(spark, d), None, "engine", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
 
 
 @query("features", LOOKBACK)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog import query
+from tickloom.catalog import last_accepted, query
 from tickloom.operators import flow
 from tickloom.sources.fixtures import duck, view
 
@@ -146,14 +146,14 @@ STALE_MS, MAX_CHANGE = 20 * 24 * 3_600_000, 5.0
 
 
 @query("trade_validation", duck("fx_base", "fx_trades", extra={"a": """
-  SELECT t.*, t.ts_us + CASE WHEN t.trade_id % 7 = 0 THEN 14400000000 ELSE 0 END AS arrival FROM fx_trades t"""}) + f""",
-p AS (SELECT *, max(ts_us) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lts, lag(price) OVER k AS lp, (SELECT max(ts_us) FROM fx_trades) AS as_of
-      FROM a WINDOW k AS (PARTITION BY exchange, symbol ORDER BY arrival, trade_id))
-SELECT trade_id, exchange, symbol, ts_us,
-       CASE WHEN ts_us < lts THEN 'non_monotonic' WHEN (as_of - ts_us) / 1000 > {STALE_MS} THEN 'stale'
-            WHEN price <= 0 THEN 'invalid_price' WHEN quantity <= 0 THEN 'invalid_quantity'
-            WHEN abs((price - lp) / lp) * 100 > {MAX_CHANGE} THEN 'outlier' END AS violation
-FROM p""")
+  SELECT t.*, t.ts_us + CASE WHEN t.trade_id % 7 = 0 THEN 14400000000 ELSE 0 END AS arrival FROM fx_trades t"""}).replace("WITH", "WITH RECURSIVE", 1) + f""",
+p AS (SELECT *, max(ts_us) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lts, (SELECT max(ts_us) FROM fx_trades) AS as_of
+      FROM a WINDOW k AS (PARTITION BY exchange, symbol ORDER BY arrival, trade_id)),
+e AS (SELECT *, CASE WHEN ts_us < lts THEN 'non_monotonic' WHEN (as_of - ts_us) / 1000 > {STALE_MS} THEN 'stale'
+            WHEN price <= 0 THEN 'invalid_price' WHEN quantity <= 0 THEN 'invalid_quantity' END AS early FROM p)"""
+       + last_accepted("e", "price", "arrival, trade_id", MAX_CHANGE) + """
+SELECT trade_id, exchange, symbol, ts_us, coalesce(early, CASE WHEN outlier THEN 'outlier' END) AS violation
+FROM numbered JOIN judged USING (exchange, symbol, nth)""")
 def _(spark, d):
     trades = _trades(spark, d)
     arrival = F.col("ts_us") + F.when(F.col("trade_id") % 7 == 0, 4 * HOUR).otherwise(0)

@@ -46,32 +46,6 @@ def both_sides() -> Column:
     return (F.size("bids") > 0) & (F.size("asks") > 0)
 
 
-def wap(depth_bps: float = 10.0) -> Column:
-    """Average price weighted by quantity within the depth, NULL without volume."""
-    depth = depth_bps if depth_bps > 0 else 10.0
-    value = total(within("bids", depth), notional) + total(within("asks", depth), notional)
-    volume = total(within("bids", depth), qty) + total(within("asks", depth), qty)
-    return F.when(both_sides() & (volume > 0), value / volume)
-
-
-def volume_at_depth(side: str, depth_bps: float) -> Column:
-    return F.when(both_sides(), total(within(side, depth_bps), qty)).otherwise(F.lit(0.0))
-
-
-def book_imbalance() -> Column:
-    return imbalance(best("bids", "quantity"), best("asks", "quantity"))
-
-
-def liquidity_imbalance(depth_bps: float, value=qty) -> Column:
-    pair = imbalance(total(within("bids", depth_bps), value), total(within("asks", depth_bps), value))
-    return F.when(both_sides(), pair)
-
-
-def queue_imbalance_levels() -> Column:
-    bids, asks = F.size("bids").cast("double"), F.size("asks").cast("double")
-    return imbalance(bids, asks)
-
-
 def queue_imbalance_top(n: int = 5) -> Column:
     return imbalance(total(top("bids", n), qty), total(top("asks", n), qty))
 

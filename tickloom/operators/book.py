@@ -3,9 +3,10 @@
 Input is `l2_levels`: exchange, symbol, seq, ts_us, is_snapshot, side, price_ticks, price,
 quantity; one row per price level touched by message `seq`. A price level is a slowly
 changing fact: `level_intervals` gives each of its states a half-open [seq_from, seq_to),
-closed by the next update of the level or by the next snapshot. Books at any point are
-then interval joins, linear in updates plus output. Keys are split by chunks of `seq`
-everywhere, so neither a hot symbol nor a long stretch without snapshot ends in one task.
+closed by the next update of the level or by the next snapshot. Books at some points are
+then interval joins, linear in updates plus output; books after every message are replayed
+(`operators.replay`). Keys are split by chunks of `seq` everywhere, so neither a hot symbol
+nor a long stretch without snapshot ends in one task.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import book as bk
+from tickloom.operators.accepted import LastAccepted
+from tickloom.operators.replay import replayed
 from tickloom.plans.ordered import (
     CHUNK, Run, chunk_of, cummax, cummin, cumsum, drop_halo, ffill, following, frame_window, interval_join, prev, scan,
     with_halo,
 )
+from tickloom.plans.streamfold import streamed_fold
 from tickloom.session import ship_by_value
 
 ship_by_value(__name__)
@@ -128,15 +132,16 @@ def _sides() -> list[Column]:
 def books(levels: DataFrame, chunk: int, points: DataFrame | None = None, bucket: int | None = None) -> DataFrame:
     """Full book after each message (default) or after each message in `points` (exchange, symbol, seq, ts_us).
 
-    One row holds one book, so a group is as large as a book is deep; a message that empties the book has
-    empty arrays. Before the first snapshot of a key there is no book. The aggregation runs on the
-    partitioning of the interval join, without another shuffle.
+    Every message is answered by replay; the arrays are as long as the book is deep, so ask `replay.replayed` for measures
+    where these are enough. Points join the intervals of the levels instead. A message that empties the book has empty arrays.
+    Before the first snapshot of a key there is no book.
     """
+    if points is None:
+        return replayed(levels, chunk, depth=None).select(*KEY, "seq", "ts_us", "bids", "asks")
     width = bucket or max(1, chunk // 5)
-    at = points if points is not None else messages(levels).select(*KEY, "seq", "ts_us")
     states = level_intervals(levels, chunk).select(*LEVEL, "price", "quantity", "seq_from", "seq_to")
     begun = levels.filter("is_snapshot").groupBy(*KEY).agg(F.min("seq").alias("_begun"))
-    at = at.join(begun, KEY).filter(F.col("seq") >= F.col("_begun")).drop("_begun")
+    at = points.join(begun, KEY).filter(F.col("seq") >= F.col("_begun")).drop("_begun")
     found = interval_join(at, states, KEY, "seq", "seq_from", "seq_to", width, "left")
     return found.groupBy(*KEY, "_bucket", "seq", "ts_us").agg(*_sides()).drop("_bucket")
 
@@ -387,6 +392,9 @@ def fixed_depth_book(levels: DataFrame, chunk: int, depth: int = 20) -> DataFram
 
 
 def book_checksum(books_df: DataFrame, kind: str = "crc32", depth: int = 25) -> DataFrame:
+    """`checksum` of each book; replayed books carry it under the name of its kind."""
+    if kind in books_df.columns:
+        return books_df.withColumn("checksum", F.col(kind))
     value = bk.checksum_crc32(depth) if kind == "crc32" else bk.checksum_md5()
     return books_df.withColumn("checksum", value)
 
@@ -409,13 +417,13 @@ def checksum_audit(checked: DataFrame, chunk: int, max_consecutive: int = 5) ->
 
 
 def book_validation(updates: DataFrame, chunk: int, max_change_pct: float, max_stale_ms: int, as_of: Column) -> DataFrame:
-    """First failing check per update, NULL when it passes; mid jumps compare with the previous
-    update that had two sides."""
+    """First failing check per update, NULL when it passes.
+
+    The mid compares with the last accepted one: that of an update with two sides that passed every check before and
+    was no outlier itself.
+    """
     rows = updates.withColumn("mid", F.when(bk.both_sides(), bk.mid()))
-    linked = scan(
-        rows, KEY, ["seq"], chunk_of("seq", chunk), _last_ts=cummax(F.col("ts_us"), "rows_before"),
-        _last_mid=ffill(F.col("mid"), "rows_before"),
-    )
+    seen = scan(rows, KEY, ["seq"], chunk_of("seq", chunk), _last_ts=cummax(F.col("ts_us"), "rows_before"))
 
     def unsorted(side: str, wrong) -> Column:
         shifted = F.slice(F.col(side), 2, F.greatest(F.size(side) - 1, F.lit(0)))
@@ -423,8 +431,7 @@ def book_validation(updates: DataFrame, chunk: int, max_change_pct: float, max_s
         return F.exists(pairs, lambda p: wrong(p["a"]["price"], p["b"]["price"]))
 
     every = F.concat("bids", "asks")
-    jump = F.abs((F.col("mid") - F.col("_last_mid")) / F.col("_last_mid")) * 100
-    verdict = (
+    early = (
         F.when(F.col("ts_us") < F.col("_last_ts"), "non_monotonic")
         .when((as_of - F.col("ts_us")) / 1000 > max_stale_ms, "stale")
         .when(unsorted("bids", lambda a, b: b >= a), "bids_unsorted")
@@ -432,6 +439,9 @@ def book_validation(updates: DataFrame, chunk: int, max_change_pct: float, max_s
         .when(F.exists(every, lambda lv: lv["price"] <= 0), "invalid_price")
         .when(F.exists(every, lambda lv: lv["quantity"] < 0), "invalid_quantity")
         .when(bk.both_sides() & (bk.best("bids", "price") >= bk.best("asks", "price")), "crossed")
-        .when(jump > max_change_pct, "outlier")
     )
-    return linked.withColumn("violation", verdict).drop("_last_ts", "_last_mid")
+    checked = seen.withColumn("_early", early).drop("_last_ts")
+    inputs = {"eligible": F.col("_early").isNull(), "mid": F.col("mid")}
+    folded = streamed_fold(checked, KEY, chunk_of("seq", chunk), ["seq"], inputs, LastAccepted(max_change_pct))
+    verdict = F.coalesce(F.col("_early"), F.when(F.col("is_outlier"), "outlier"))
+    return folded.withColumn("violation", verdict).drop("_early", "is_outlier", "last_accepted")

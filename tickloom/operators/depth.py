@@ -1,4 +1,8 @@
-"""Depth, imbalance and feature operators over books (one row per book, see `operators.book`)."""
+"""Depth, imbalance and feature operators over books, one row per book.
+
+A book either has its levels as arrays `bids` and `asks`, best first, or comes from `operators.replay` with the measures it
+was asked for; a measure that is there is taken, else it is computed from the arrays.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,59 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import book as bk
 from tickloom.functions.ratios import imbalance, ratio
+from tickloom.operators.replay import band_name
 from tickloom.plans.ordered import CHUNK, HALO, chunk_of, drop_halo, ffill, frame_window, scan, with_halo
 
 KEY = ["exchange", "symbol"]
 
 
+class Measures:
+    """Columns over a frame of books."""
+
+    def __init__(self, books: DataFrame):
+        self.columns = set(books.columns)
+
+    def best(self, side: str, field: str) -> Column:
+        name = {"price": f"best_{side[:-1]}", "quantity": f"{side[:-1]}_qty"}[field]
+        return F.col(name) if name in self.columns else bk.best(side, field)
+
+    def mid(self) -> Column:
+        return (self.best("bids", "price") + self.best("asks", "price")) / 2
+
+    def count(self, side: str) -> Column:
+        name = f"{side[:-1]}_levels"
+        return F.col(name) if name in self.columns else F.size(side)
+
+    def both_sides(self) -> Column:
+        return (self.count("bids") > 0) & (self.count("asks") > 0)
+
+    def within(self, side: str, bps: float, value) -> Column:
+        """Sum over the levels no further than bps from the mid, 0 without two sides."""
+        name = f"{side[:-1]}_{'volume' if value is bk.qty else 'notional'}_{band_name(bps)}"
+        if name in self.columns:
+            return F.col(name)
+        return F.when(bk.both_sides(), bk.total(bk.within(side, bps), value)).otherwise(F.lit(0.0))
+
+    def wap(self, bps: float) -> Column:
+        """Average price weighted by quantity within the depth, NULL without volume."""
+        depth = bps if bps > 0 else 10.0
+        value = self.within("bids", depth, bk.notional) + self.within("asks", depth, bk.notional)
+        volume = self.within("bids", depth, bk.qty) + self.within("asks", depth, bk.qty)
+        return F.when(self.both_sides() & (volume > 0), value / volume)
+
+    def liquidity_imbalance(self, bps: float, value=bk.qty) -> Column:
+        return F.when(self.both_sides(), imbalance(self.within("bids", bps, value), self.within("asks", bps, value)))
+
+    def queue_imbalance_levels(self) -> Column:
+        return imbalance(self.count("bids").cast("double"), self.count("asks").cast("double"))
+
+
 def top_of_book(books: DataFrame) -> DataFrame:
-    bid, ask, centre = bk.best("bids", "price"), bk.best("asks", "price"), bk.mid()
+    m = Measures(books)
+    bid, ask, centre = m.best("bids", "price"), m.best("asks", "price"), m.mid()
     return books.withColumns({
-        "best_bid": bid, "bid_qty": bk.best("bids", "quantity"), "best_ask": ask,
-        "ask_qty": bk.best("asks", "quantity"), "mid": centre, "spread": ask - bid,
+        "best_bid": bid, "bid_qty": m.best("bids", "quantity"), "best_ask": ask,
+        "ask_qty": m.best("asks", "quantity"), "mid": centre, "spread": ask - bid,
         "spread_bps": ratio(ask - bid, centre) * 10_000,
     })
 
@@ -37,29 +84,31 @@ def top_levels(books: DataFrame, n: int) -> DataFrame:
 
 
 def wap_depth(books: DataFrame, depth_bps: float = 10) -> DataFrame:
-    return books.withColumn("wap", bk.wap(depth_bps))
+    return books.withColumn("wap", Measures(books).wap(depth_bps))
 
 
 def volume_at_depth(books: DataFrame, depths_bps: tuple[int, ...] = (10, 20)) -> DataFrame:
+    m = Measures(books)
     return books.withColumns({
-        f"{side[:-1]}_volume_{d}bps": bk.volume_at_depth(side, d) for d in depths_bps for side in ("bids", "asks")
+        f"{side[:-1]}_volume_{band_name(d)}": m.within(side, d, bk.qty) for d in depths_bps for side in ("bids", "asks")
     })
 
 
 def book_imbalance(books: DataFrame) -> DataFrame:
-    return books.withColumn("book_imbalance", bk.book_imbalance())
+    m = Measures(books)
+    return books.withColumn("book_imbalance", imbalance(m.best("bids", "quantity"), m.best("asks", "quantity")))
 
 
 def liquidity_imbalance_qty(books: DataFrame, depth_bps: float = 10) -> DataFrame:
-    return books.withColumn("liquidity_imbalance", bk.liquidity_imbalance(depth_bps, bk.qty))
+    return books.withColumn("liquidity_imbalance", Measures(books).liquidity_imbalance(depth_bps, bk.qty))
 
 
 def liquidity_imbalance_notional(books: DataFrame, depth_bps: float = 20) -> DataFrame:
-    return books.withColumn("liquidity_imbalance", bk.liquidity_imbalance(depth_bps, bk.notional))
+    return books.withColumn("liquidity_imbalance", Measures(books).liquidity_imbalance(depth_bps, bk.notional))
 
 
 def queue_imbalance_levels(books: DataFrame) -> DataFrame:
-    return books.withColumn("queue_imbalance", bk.queue_imbalance_levels())
+    return books.withColumn("queue_imbalance", Measures(books).queue_imbalance_levels())
 
 
 def queue_imbalance_top5(books: DataFrame, n: int = 5) -> DataFrame:
@@ -149,7 +198,7 @@ def asof_trades_to_books(
 
 
 def wap_momentum(books: DataFrame, lag_ms: int, depth_bps: float = 10, chunk_us: int = 60_000_000) -> DataFrame:
-    thin = books.select(*KEY, "seq", "ts_us", bk.wap(depth_bps).alias("wap"))
+    thin = books.select(*KEY, "seq", "ts_us", Measures(books).wap(depth_bps).alias("wap"))
     out = asof_book_lag(thin, (lag_ms,), ("wap",), chunk_us)
     past = F.col(f"wap_{lag_ms}ms")
     return out.withColumn("wap_momentum", F.when(past > 0, (F.col("wap") - past) / past))
@@ -157,7 +206,7 @@ def wap_momentum(books: DataFrame, lag_ms: int, depth_bps: float = 10, chunk_us:
 
 def wap_rolling_stats(books: DataFrame, window_us: int, depth_bps: float = 10) -> DataFrame:
     """Mean, population deviation, extremes, count and z-score of the WAP over the window."""
-    thin = books.select(*KEY, "seq", "ts_us", bk.wap(depth_bps).alias("wap"))
+    thin = books.select(*KEY, "seq", "ts_us", Measures(books).wap(depth_bps).alias("wap"))
     spread = with_halo(thin, "ts_us", window_us, 4 * window_us)
     w = frame_window(KEY, "ts_us", window_us)
     out = drop_halo(spread.withColumns({
@@ -169,9 +218,11 @@ def wap_rolling_stats(books: DataFrame, window_us: int, depth_bps: float = 10) -
 
 
 _PRESETS = {
-    "lookback": {"liquidity": (10, bk.qty), "queue": bk.queue_imbalance_levels, "window_us": 1_000_000},
-    "engine": {"liquidity": (20, bk.notional), "queue": bk.queue_imbalance_top, "window_us": 15_000_000},
+    "lookback": {"liquidity": (10, bk.qty), "queue": Measures.queue_imbalance_levels, "window_us": 1_000_000},
+    "engine": {"liquidity": (20, bk.notional), "queue": lambda m: bk.queue_imbalance_top(), "window_us": 15_000_000},
 }
+#: What `features` reads of replayed books: `replayed(levels, chunk, **NEEDS)`.
+NEEDS = {"bands": (10, 20), "depth": 5}
 LAGS_MS = (100, 200, 300)
 
 
@@ -190,12 +241,14 @@ def features(
     spec = _PRESETS[preset]
     width = window_us or spec["window_us"]
     depth, value = spec["liquidity"]
-    bid, ask, centre = bk.best("bids", "price"), bk.best("asks", "price"), bk.mid()
+    m = Measures(books)
+    bid, ask, centre = m.best("bids", "price"), m.best("asks", "price"), m.mid()
     thin = books.select(
-        *KEY, "seq", "ts_us", bk.wap(10).alias("wap"), bk.book_imbalance().alias("order_book_imbalance"),
-        bk.liquidity_imbalance(depth, value).alias("liquidity_imbalance"), spec["queue"]().alias("queue_imbalance"),
+        *KEY, "seq", "ts_us", m.wap(10).alias("wap"),
+        imbalance(m.best("bids", "quantity"), m.best("asks", "quantity")).alias("order_book_imbalance"),
+        m.liquidity_imbalance(depth, value).alias("liquidity_imbalance"), spec["queue"](m).alias("queue_imbalance"),
         (ask - bid).alias("spread"), (ratio(ask - bid, centre) * 10_000).alias("spread_bps"),
-        *[bk.volume_at_depth(s, d).alias(f"{s[:-1]}_volume_{d}bps") for d in (10, 20) for s in ("bids", "asks")],
+        *[m.within(s, d, bk.qty).alias(f"{s[:-1]}_volume_{d}bps") for d in (10, 20) for s in ("bids", "asks")],
     )
     lagged = asof_book_lag(thin, lags_ms, ("wap",), chunk_us or 4 * width)
     flow = asof_trades_to_books(lagged, trades, width, order, chunk_us)

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.ratios import imbalance, ratio, signed, where
+from tickloom.operators.accepted import LastAccepted
 from tickloom.plans.ordered import (
     CHUNK, chunk_of, cummax, drop_halo, frame_window, prev, scan, with_halo,
 )
+from tickloom.plans.streamfold import streamed_fold
 
 KEY = ["exchange", "symbol"]
 CHUNKS_PER_WINDOW = 4
@@ -166,22 +168,25 @@ def trade_validation(
     trades: DataFrame, max_change_pct: float, max_stale_ms: int, as_of: Column, order: str = "trade_id",
     chunk_us: int = 86_400_000_000,
 ) -> DataFrame:
-    """First failing check of each trade, NULL when it passes."""
-    out = scan(
-        trades, KEY, ["arrival", order] if "arrival" in trades.columns else ["ts_us", order],
-        chunk_of("arrival" if "arrival" in trades.columns else "ts_us", chunk_us),
-        _last_ts=cummax(F.col("ts_us"), "rows_before"), _last_price=prev(F.col("price")),
-    )
-    last_ts, last_price = F.col("_last_ts"), F.col("_last_price")
-    change = F.abs((F.col("price") - last_price) / last_price) * 100
-    verdict = (
-        F.when(F.col("ts_us") < last_ts, "non_monotonic")
+    """First failing check of each trade, NULL when it passes.
+
+    Times compare with the newest time of the key so far, prices with the last accepted price: one whose trade passed every
+    check before and was no outlier itself.
+    """
+    arrival = "arrival" if "arrival" in trades.columns else "ts_us"
+    chunk = chunk_of(arrival, chunk_us)
+    seen = scan(trades, KEY, [arrival, order], chunk, _last_ts=cummax(F.col("ts_us"), "rows_before"))
+    early = (
+        F.when(F.col("ts_us") < F.col("_last_ts"), "non_monotonic")
         .when((as_of - F.col("ts_us")) / 1000 > max_stale_ms, "stale")
         .when(F.col("price") <= 0, "invalid_price")
         .when(F.col("quantity") <= 0, "invalid_quantity")
-        .when(change > max_change_pct, "outlier")
     )
-    return out.withColumn("violation", verdict).drop("_last_ts", "_last_price")
+    checked = seen.withColumn("_early", early).drop("_last_ts")
+    inputs = {"eligible": F.col("_early").isNull(), "price": F.col("price").cast("double")}
+    folded = streamed_fold(checked, KEY, chunk, [arrival, order], inputs, LastAccepted(max_change_pct))
+    verdict = F.coalesce(F.col("_early"), F.when(F.col("is_outlier"), "outlier"))
+    return folded.withColumn("violation", verdict).drop("_early", "is_outlier", "last_accepted")
 
 
 def late_rows(
