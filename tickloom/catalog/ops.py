@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import query
-from tickloom.catalog.book import CHUNK, L2, UPD, update_arrays
+from tickloom.catalog.book import ATTEMPTS, BACKOFF, BUFFER, BUILDER, CHUNK, L2, REST, TIMEOUT, UPD, flagged_messages, update_arrays
 from tickloom.operators import book as b
 from tickloom.operators import ops as o
+from tickloom.operators.builder import builder_states
 from tickloom.sources.fixtures import duck, view
 
 DAY = 86_400_000_000
@@ -28,8 +29,7 @@ def r(df, digits: int, *names: str):
 FLAGGED = L2 + UPD + """, fl AS (
   SELECT u.exchange, u.symbol, u.seq, u.ts_us, m.is_snapshot, coalesce(NOT m.is_snapshot AND u.seq <> lag(u.seq) OVER w + 1, false) AS has_gap,
     CASE WHEN coalesce(NOT m.is_snapshot AND u.seq <> lag(u.seq) OVER w + 1, false) THEN u.seq - lag(u.seq) OVER w - 1 ELSE 0 END AS missing,
-    CASE WHEN u.ts_us < lts THEN 'non_monotonic' WHEN u.seq % 37 = 0 AND nb > 1 THEN 'bids_unsorted' WHEN bb >= ba THEN 'crossed'
-         WHEN abs((mid - lmid) / lmid) * 100 > 0.3 THEN 'outlier' END AS violation, u.seq % 41 <> 0 AS checksum_ok, 60 + u.seq % 100 AS bytes
+    CASE WHEN u.ts_us < lts THEN 'non_monotonic' WHEN u.seq % 37 = 0 AND nb > 1 THEN 'bids_unsorted' WHEN bb >= ba THEN 'crossed' END AS violation, u.seq % 41 <> 0 AS checksum_ok, 60 + u.seq % 100 AS bytes
   FROM ul u JOIN msg m USING (exchange, symbol, seq) WINDOW w AS (PARTITION BY u.exchange, u.symbol ORDER BY u.seq))"""
 
 
@@ -40,14 +40,22 @@ def flagged(spark, d):
     return gaps.withColumns({"checksum_ok": F.col("seq") % 41 != 0, "bytes": 60 + F.col("seq") % 100})
 
 
-@query("book_metrics", FLAGGED + f"""
-SELECT exchange, symbol, ts_us // {100 * DAY} * {100 * DAY} AS window_us, count(*) AS updates, round(count(*) / {100 * DAY / 1e6}, 10) AS updates_per_second,
+@query("book_metrics", FLAGGED.replace("WITH", "WITH RECURSIVE", 1) + BUILDER + f""",
+rs AS (SELECT exchange, symbol, s.seq, CAST(sum((trouble IS NOT NULL)::INT) AS BIGINT) AS resyncs,
+         count(*) FILTER (kind = 'snap' AND before > 0) AS resyncs_ok, CAST(sum(failed - was_failed) AS BIGINT) AS resyncs_failed FROM (
+  SELECT st.*, ms.seq, CASE WHEN st.resyncs > lag(st.resyncs, 1, 0) OVER w THEN 1 END AS trouble, lag(st.failed, 1, 0) OVER w AS was_failed,
+         lag(st.attempt, 1, 0) OVER w AS before
+  FROM st JOIN ms ON ms.exchange = st.exchange AND ms.symbol = st.symbol AND ms.nth = CASE WHEN kind IN ('buffering', 'resync', 'error') THEN st.nth + 1 ELSE st.nth END
+  WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY st.exchange, st.symbol ORDER BY st.nth, kind NOT IN ('snap', 'hold', 'gap', 'apply'), st.since)) s GROUP BY ALL)
+SELECT fl.exchange, fl.symbol, fl.ts_us // {100 * DAY} * {100 * DAY} AS window_us, count(*) AS updates, round(count(*) / {100 * DAY / 1e6}, 10) AS updates_per_second,
   count(*) FILTER (is_snapshot) AS snapshots, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (has_gap) AS gaps, CAST(sum(missing) AS BIGINT) AS missing,
-  count(*) FILTER (has_gap) AS resyncs, count(*) FILTER (violation = 'crossed') AS crossed, 0::BIGINT AS invalid,
-  count(*) FILTER (violation = 'non_monotonic') AS stale, count(*) FILTER (NOT checksum_ok) AS checksum_failures, max(ts_us) AS last_update_us
-FROM fl GROUP BY ALL""")
+  CAST(sum(rs.resyncs) AS BIGINT) AS resyncs, CAST(sum(rs.resyncs_ok) AS BIGINT) AS resyncs_ok, CAST(sum(rs.resyncs_failed) AS BIGINT) AS resyncs_failed, count(*) FILTER (violation = 'crossed') AS crossed, 0::BIGINT AS invalid,
+  count(*) FILTER (violation = 'non_monotonic') AS stale, count(*) FILTER (NOT checksum_ok) AS checksum_failures, max(fl.ts_us) AS last_update_us
+FROM fl JOIN rs ON rs.exchange = fl.exchange AND rs.symbol = fl.symbol AND rs.seq = fl.seq GROUP BY ALL""")
 def _(spark, d):
-    return r(o.book_metrics(flagged(spark, d), 100 * DAY), 10, "updates_per_second")
+    states = builder_states(flagged_messages(spark, d), CHUNK, BUFFER, TIMEOUT / 1e6, ATTEMPTS, BACKOFF // 1000, REST / 1e6)
+    counted = flagged(spark, d).join(states.select("exchange", "symbol", "seq", "new_resyncs", "new_ok", "new_failed"), ["exchange", "symbol", "seq"])
+    return r(o.book_metrics(counted, 100 * DAY), 10, "updates_per_second")
 
 
 @query("health_check", FLAGGED + f""", h AS (

@@ -21,7 +21,7 @@ from tickloom.functions import book as bk
 from tickloom.operators.accepted import LastAccepted
 from tickloom.operators.replay import replayed
 from tickloom.plans.ordered import (
-    CHUNK, Run, chunk_of, cummax, cummin, cumsum, drop_halo, ffill, following, frame_window, interval_join, prev, scan,
+    CHUNK, Run, chunk_of, cummax, cumsum, drop_halo, ffill, following, frame_window, interval_join, prev, scan,
     with_halo,
 )
 from tickloom.plans.streamfold import streamed_fold
@@ -209,47 +209,6 @@ def pu_chain(updates: DataFrame, chunk: int) -> DataFrame:
     return broken.withColumn("synchronised", ok).drop("_last", "_bad")
 
 
-def builder_states(
-    updates: DataFrame, chunk: int, max_buffer: int = 10_000, snapshot_timeout_s: int = 30, max_attempts: int = 5,
-) -> DataFrame:
-    """State of the book builder after each update.
-
-    buffering until the first snapshot (timeout after `snapshot_timeout_s` or a full buffer
-    turns it into resync), live while ids continue, resync from a gap to the next snapshot,
-    error once a key has used up `max_attempts` resyncs without a snapshot in between.
-    """
-    at = chunk_of("seq", chunk)
-    gaps = seq_gaps(updates, chunk)
-    marked = scan(
-        gaps, KEY, ["seq"], at, keep_chunk=True,
-        epoch=cummax(F.when(F.col("is_snapshot"), F.col("seq"))),
-        first_ts=cummin(F.col("ts_us")), nth=cumsum(F.lit(1)),
-        gap_total=cumsum(F.col("has_gap").cast("long")),
-    )
-    state = scan(
-        marked, KEY, ["seq"], F.col(CHUNK),
-        _last_gap=cummax(F.when(F.col("has_gap"), F.col("seq"))),
-        _gaps_at_epoch=ffill(F.when(F.col("is_snapshot"), F.col("gap_total"))),
-    )
-    waiting = F.col("epoch").isNull()
-    timed_out = F.col("ts_us") - F.col("first_ts") > F.lit(snapshot_timeout_s * 1_000_000)
-    broken = F.col("_last_gap") > F.col("epoch")
-    attempts = F.col("gap_total") - F.coalesce(F.col("_gaps_at_epoch"), F.lit(0))
-    name = (
-        F.when(waiting & (timed_out | (F.col("nth") > max_buffer)), "resync")
-        .when(waiting, "buffering")
-        .when(broken & (attempts > max_attempts), "error")
-        .when(broken, "resync").otherwise("live")
-    )
-    reason = (
-        F.when(waiting & timed_out, "timeout").when(waiting & (F.col("nth") > max_buffer), "buffer_full")
-        .when(~waiting & broken, "gap")
-    )
-    return state.withColumns({"state": name, "reason": reason, "resync_attempts": attempts}).drop(
-        "_last_gap", "_gaps_at_epoch", "first_ts", "nth"
-    )
-
-
 def snapshot_delta_sync(snapshots: DataFrame, deltas: DataFrame, chunk: int) -> DataFrame:
     """Verdict per buffered delta against the snapshot in force before it.
 

@@ -19,12 +19,17 @@ def bucket(ts: str, width_us: int) -> Column:
 
 def book_metrics(updates: DataFrame, window_us: int) -> DataFrame:
     """Builder counters per key and window from flagged updates (is_snapshot, has_gap, missing,
-    violation, checksum_ok, bytes)."""
+    violation, checksum_ok, bytes). Rows of `builder.builder_states` tell resyncs from gaps, and those that
+    succeeded from those given up."""
     v = F.col("violation")
+    if "new_resyncs" in updates.columns:
+        resyncs = {"resyncs": F.sum("new_resyncs"), "resyncs_ok": F.sum("new_ok"), "resyncs_failed": F.sum("new_failed")}
+    else:
+        resyncs = {"resyncs": _n(F.col("has_gap"))}
     return updates.groupBy(*KEY, bucket("ts_us", window_us).alias("window_us")).agg(
         F.count(F.lit(1)).alias("updates"), (F.count(F.lit(1)) / F.lit(window_us / 1e6)).alias("updates_per_second"),
         _n(F.col("is_snapshot")).alias("snapshots"), F.sum("bytes").alias("bytes"), _n(F.col("has_gap")).alias("gaps"),
-        F.sum("missing").alias("missing"), _n(F.col("has_gap")).alias("resyncs"),
+        F.sum("missing").alias("missing"), *[c.alias(n) for n, c in resyncs.items()],
         _n(v == "crossed").alias("crossed"), _n(v.isin("invalid_price", "invalid_quantity")).alias("invalid"),
         _n(v.isin("stale", "non_monotonic")).alias("stale"), _n(~F.col("checksum_ok")).alias("checksum_failures"),
         F.max("ts_us").alias("last_update_us"),
