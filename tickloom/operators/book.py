@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import book as bk
+from tickloom.functions.ratios import imbalance
 from tickloom.operators.accepted import LastAccepted
 from tickloom.operators.replay import replayed
 from tickloom.plans.ordered import (
-    CHUNK, Run, chunk_of, cummax, cumsum, drop_halo, ffill, following, frame_window, interval_join, prev, scan,
-    with_halo,
+    CHUNK, Run, chunk_of, cummax, cumsum, ffill, following, interval_join, prev, scan,
 )
+from tickloom.plans.sliding import sliding, total
 from tickloom.plans.streamfold import streamed_fold
 from tickloom.session import ship_by_value
 
@@ -286,11 +287,8 @@ def order_flow_imbalance_l3(order_events: DataFrame, lookback_ms: int) -> DataFr
         F.sum(F.when(adds & (F.col("side") == "ask"), F.col("quantity")).otherwise(0.0)).alias("sell"),
     )
     look = lookback_ms * 1000
-    spread = with_halo(per, "ts_us", look, 4 * look)
-    w = frame_window(KEY, "ts_us", look)
-    from tickloom.functions.ratios import imbalance
-
-    return drop_halo(spread.withColumn("order_flow_imbalance", imbalance(F.sum("buy").over(w), F.sum("sell").over(w))))
+    out = sliding(per, KEY, "ts_us", look, 4 * look, _b=total(F.col("buy")), _s=total(F.col("sell")))
+    return out.withColumn("order_flow_imbalance", imbalance(F.col("_b"), F.col("_s"))).drop("_b", "_s")
 
 
 # --- fixed depth -----------------------------------------------------------------------------

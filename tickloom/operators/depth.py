@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import book as bk
-from tickloom.functions.ratios import imbalance, ratio
+from tickloom.functions.ratios import imbalance, ratio, where
 from tickloom.operators.replay import band_name
-from tickloom.plans.ordered import CHUNK, HALO, chunk_of, drop_halo, ffill, frame_window, scan, with_halo
+from tickloom.plans.ordered import chunk_of, ffill, prev, scan
+from tickloom.plans.sliding import earliest, greatest, least, rows, sliding, spread, total
 
 KEY = ["exchange", "symbol"]
 
@@ -161,39 +162,25 @@ def asof_trades_to_books(
 
     Books and trades are one tagged stream; books keep their columns, trades only add up.
     """
+    width = chunk_us or 4 * window_us
     payload = F.struct(*[F.col(c) for c in books.columns])
     probes = books.select(*KEY, "ts_us", payload.alias("_book"))
-    ticks = trades.select(*KEY, "ts_us", "side", "price", "quantity", F.struct("ts_us", *order).alias("_pos"))
+    ordered = scan(trades, KEY, ["ts_us", *order], chunk_of("ts_us", width), _p=prev(F.col("price")))
+    move = F.coalesce(F.signum(F.col("price") - F.col("_p")), F.lit(0.0))
+    ticks = ordered.select(*KEY, "ts_us", "side", "price", "quantity", F.struct("ts_us", *order).alias("_pos"), move.alias("_m"))
     merged = probes.unionByName(ticks, allowMissingColumns=True)
-    spread = with_halo(merged, "ts_us", window_us, chunk_us or 4 * window_us)
-
-    from pyspark.sql import Window
-
-    inner = Window.partitionBy(*KEY, CHUNK).orderBy("_pos")
-    is_trade = F.col("_pos").isNotNull()
-    move = F.when(is_trade, F.coalesce(F.signum(F.col("price") - F.lag("price").over(inner)), F.lit(0.0)))
-    spread = spread.withColumn("_m", move)
-    w = frame_window(KEY, "ts_us", window_us)
-    buy, sell = F.col("side") == "buy", F.col("side") == "sell"
+    is_trade, buy, sell = F.col("_pos").isNotNull(), F.col("side") == "buy", F.col("side") == "sell"
     notional = F.col("price") * F.col("quantity")
-    up, down = F.when(F.col("_m") > 0, 1).otherwise(0), F.when(F.col("_m") < 0, 1).otherwise(0)
-
-    def part(condition: Column, amount: Column) -> Column:
-        return F.sum(F.when(condition, amount).otherwise(0.0)).over(w)
-
-    first = F.min(F.when(is_trade, F.struct("_pos", up.alias("u"), down.alias("d")))).over(w)
-    state = spread.withColumns({
-        "_first": first, "trades": F.count("_pos").over(w), "buys": F.count(F.when(buy, 1)).over(w),
-        "sells": F.count(F.when(sell, 1)).over(w), "buy_qty": part(buy, F.col("quantity")),
-        "sell_qty": part(sell, F.col("quantity")), "buy_notional": part(buy, notional),
-        "sell_notional": part(sell, notional), "_u": F.sum(up).over(w), "_d": F.sum(down).over(w),
-    })
-    state = state.filter(F.col("_book").isNotNull() & ~F.col(HALO))
-    zero = F.lit(0)
+    up, down = F.when(F.col("_m") > 0, 1.0).otherwise(0.0), F.when(F.col("_m") < 0, 1.0).otherwise(0.0)
+    state = sliding(
+        merged, KEY, "ts_us", window_us, width, ["_pos"], trades=rows(is_trade), buys=rows(buy), sells=rows(sell),
+        buy_qty=total(where(buy, F.col("quantity"))), sell_qty=total(where(sell, F.col("quantity"))), buy_notional=total(where(buy, notional)),
+        sell_notional=total(where(sell, notional)), _u=total(up), _d=total(down), _fu=earliest(F.when(is_trade, up)), _fd=earliest(F.when(is_trade, down)),
+    ).filter(F.col("_book").isNotNull())
+    zero = F.lit(0.0)
     return state.select(
         "_book.*", "trades", "buys", "sells", "buy_qty", "sell_qty", "buy_notional", "sell_notional",
-        (F.col("_u") - F.coalesce("_first.u", zero)).alias("up_moves"),
-        (F.col("_d") - F.coalesce("_first.d", zero)).alias("down_moves"),
+        (F.col("_u") - F.coalesce("_fu", zero)).cast("long").alias("up_moves"), (F.col("_d") - F.coalesce("_fd", zero)).cast("long").alias("down_moves"),
     )
 
 
@@ -207,12 +194,10 @@ def wap_momentum(books: DataFrame, lag_ms: int, depth_bps: float = 10, chunk_us:
 def wap_rolling_stats(books: DataFrame, window_us: int, depth_bps: float = 10) -> DataFrame:
     """Mean, population deviation, extremes, count and z-score of the WAP over the window."""
     thin = books.select(*KEY, "seq", "ts_us", Measures(books).wap(depth_bps).alias("wap"))
-    spread = with_halo(thin, "ts_us", window_us, 4 * window_us)
-    w = frame_window(KEY, "ts_us", window_us)
-    out = drop_halo(spread.withColumns({
-        "wap_mean": F.avg("wap").over(w), "wap_std": F.stddev_pop("wap").over(w), "wap_min": F.min("wap").over(w),
-        "wap_max": F.max("wap").over(w), "wap_count": F.count("wap").over(w),
-    }))
+    value = F.col("wap")
+    out = sliding(
+        thin, KEY, "ts_us", window_us, 4 * window_us, wap_mean=total(value), wap_std=spread(value), wap_min=least(value), wap_max=greatest(value),
+        wap_count=rows(value.isNotNull())).withColumn("wap_mean", F.col("wap_mean") / F.col("wap_count"))
     z = F.when(F.col("wap_std") > 1e-9, (F.col("wap") - F.col("wap_mean")) / F.col("wap_std"))
     return out.withColumn("wap_zscore", z)
 

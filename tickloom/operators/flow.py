@@ -1,20 +1,19 @@
 """Trade-flow features over a trailing time window ending at each trade.
 
-All of them are range frames on `ts_us`. Rows are partitioned by key and time chunk with
-a halo of one window length (`plans.ordered.with_halo`), so a hot symbol is spread over
-as many tasks as it has chunks.
+All of them are range frames on `ts_us`, evaluated by `plans.sliding`: rows are dealt by key and
+time chunk with a halo of one window length, so a hot symbol is spread over as many tasks
+as it has chunks, and the cost of a row does not depend on how full its window is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.ratios import imbalance, ratio, signed, where
 from tickloom.operators.accepted import LastAccepted
-from tickloom.plans.ordered import (
-    CHUNK, chunk_of, cummax, drop_halo, frame_window, prev, scan, with_halo,
-)
+from tickloom.plans.ordered import chunk_of, cummax, prev, scan
+from tickloom.plans.sliding import Measure, earliest, rows, sliding, total, upper_part
 from tickloom.plans.streamfold import streamed_fold
 
 KEY = ["exchange", "symbol"]
@@ -33,23 +32,14 @@ def _notional() -> Column:
     return F.col("price") * F.col("quantity")
 
 
-def windowed(trades: DataFrame, window_us: int, keys=KEY, chunk_us: int | None = None, **aggs) -> DataFrame:
-    """Add aggregates (functions window -> Column) over the trailing window of each row."""
-    spread = with_halo(trades, "ts_us", window_us, chunk_us or CHUNKS_PER_WINDOW * window_us)
-    frame = frame_window(list(keys), "ts_us", window_us)
-    return drop_halo(spread.withColumns({name: make(frame) for name, make in aggs.items()}))
-
-
-def _sum(value: Column):
-    return lambda w: F.sum(value).over(w)
+def windowed(trades: DataFrame, window_us: int, keys=KEY, chunk_us: int | None = None, **measures: Measure) -> DataFrame:
+    """Add measures over the trailing window of each trade."""
+    order = [c for c in ("trade_id",) if c in trades.columns]
+    return sliding(trades, list(keys), "ts_us", window_us, chunk_us or CHUNKS_PER_WINDOW * window_us, order, **measures)
 
 
 def tick_flow_by_side(trades: DataFrame, window_us: int = 1_000_000) -> DataFrame:
-    out = windowed(
-        trades, window_us,
-        _b=lambda w: F.count(F.when(_buy(), 1)).over(w), _s=lambda w: F.count(F.when(_sell(), 1)).over(w),
-        _n=lambda w: F.count(F.lit(1)).over(w),
-    )
+    out = windowed(trades, window_us, _b=rows(_buy()), _s=rows(_sell()), _n=rows())
     return out.withColumn("tick_flow_imbalance", (F.col("_b") - F.col("_s")) / F.col("_n")).drop("_b", "_s", "_n")
 
 
@@ -58,26 +48,16 @@ def tick_flow_updown(trades: DataFrame, window_us: int = 15_000_000) -> DataFram
 
     The first trade of a window has its predecessor outside, so its own move is taken off.
     """
-    spread = with_halo(trades, "ts_us", window_us, CHUNKS_PER_WINDOW * window_us)
-    inner = Window.partitionBy(*KEY, CHUNK).orderBy("ts_us", "trade_id")
-    frame = frame_window(KEY, "ts_us", window_us)
-    at = F.struct("ts_us", "trade_id")  # trades often share a timestamp
-    move = F.coalesce(F.signum(F.col("price") - F.lag("price").over(inner)), F.lit(0.0))
-    spread = spread.withColumn("_m", move)
-    up, down = where(F.col("_m") > 0, F.lit(1.0)), where(F.col("_m") < 0, F.lit(1.0))
-    spread = spread.withColumn("_u", up).withColumn("_d", down).withColumns(
-        {
-            "up": F.sum("_u").over(frame) - F.min_by("_u", at).over(frame),
-            "down": F.sum("_d").over(frame) - F.min_by("_d", at).over(frame),
-        }
-    )
-    return drop_halo(
-        spread.withColumn("tick_flow_imbalance", imbalance(F.col("up"), F.col("down"))).drop("_m", "_u", "_d")
-    )
+    moved = scan(trades, KEY, ["ts_us", "trade_id"], chunk_of("ts_us", CHUNKS_PER_WINDOW * window_us), _p=prev(F.col("price")))
+    move = F.coalesce(F.signum(F.col("price") - F.col("_p")), F.lit(0.0))
+    up, down = where(move > 0, F.lit(1.0)), where(move < 0, F.lit(1.0))
+    out = windowed(moved, window_us, _u=total(up), _d=total(down), _fu=earliest(up), _fd=earliest(down)).withColumns(
+        {"up": F.col("_u") - F.col("_fu"), "down": F.col("_d") - F.col("_fd")})
+    return out.withColumn("tick_flow_imbalance", imbalance(F.col("up"), F.col("down"))).drop("_p", "_u", "_d", "_fu", "_fd")
 
 
 def _side_flow(trades: DataFrame, window_us: int, amount: Column, name: str) -> DataFrame:
-    out = windowed(trades, window_us, _b=_sum(where(_buy(), amount)), _s=_sum(where(_sell(), amount)))
+    out = windowed(trades, window_us, _b=total(where(_buy(), amount)), _s=total(where(_sell(), amount)))
     return out.withColumn(name, imbalance(F.col("_b"), F.col("_s"))).drop("_b", "_s")
 
 
@@ -91,50 +71,35 @@ def trade_flow_notional(trades: DataFrame, window_us: int = 15_000_000) -> DataF
 
 def order_flow_imbalance_trades(trades: DataFrame, window_us: int = 15_000_000) -> DataFrame:
     """Signed notional of the recent trades over their total notional."""
-    out = windowed(trades, window_us, _net=_sum(signed(F.col("side"), _notional())), _all=_sum(_notional()))
+    out = windowed(trades, window_us, _net=total(signed(F.col("side"), _notional())), _all=total(_notional()))
     return out.withColumn("order_flow_imbalance", ratio(F.col("_net"), F.col("_all"))).drop("_net", "_all")
 
 
-def _vwap(window_us: int):
-    return lambda w: F.sum(_notional()).over(w) / F.sum("quantity").over(w)
-
-
 def rolling_vwap(trades: DataFrame, window_us: int) -> DataFrame:
-    return windowed(trades, window_us, vwap=lambda w: ratio(F.sum(_notional()).over(w), F.sum("quantity").over(w)))
+    out = windowed(trades, window_us, _v=total(_notional()), _q=total(F.col("quantity")))
+    return out.withColumn("vwap", ratio(F.col("_v"), F.col("_q"))).drop("_v", "_q")
 
 
 def trade_intensity(trades: DataFrame, window_us: int) -> DataFrame:
-    seconds = window_us / 1_000_000
-    return windowed(trades, window_us, trades_per_second=lambda w: F.count(F.lit(1)).over(w) / F.lit(seconds))
+    out = windowed(trades, window_us, _n=rows())
+    return out.withColumn("trades_per_second", F.col("_n") / F.lit(window_us / 1_000_000)).drop("_n")
 
 
 def large_trade_imbalance(trades: DataFrame, window_us: int, pct: float) -> DataFrame:
-    """Side imbalance among trades at or above the pct-quantile size of their window.
-
-    The list per trade is one window of trades, as bounded as the window is.
-    """
-    net = signed(F.col("side"), F.col("quantity"))
-    out = windowed(trades, window_us, _w=lambda w: F.collect_list(net).over(w))
-    n = F.size("_w")
-    rank = F.least(F.floor(n * F.lit(pct)).cast("int"), n - 1)
-    sizes = F.sort_array(F.transform("_w", lambda x: F.abs(x)))
-    out = out.withColumn("size_threshold", F.get(sizes, rank))
-    large = F.filter("_w", lambda x: F.abs(x) >= F.col("size_threshold"))
-    both = F.aggregate(
-        large, F.struct(F.lit(0.0).alias("net"), F.lit(0.0).alias("all")),
-        lambda acc, x: F.struct((acc["net"] + x).alias("net"), (acc["all"] + F.abs(x)).alias("all")),
-    )
-    out = out.withColumn("_s", both)
-    return out.withColumn("large_trade_imbalance", ratio(F.col("_s.net"), F.col("_s.all"))).drop("_w", "_s")
+    """Side imbalance among trades at or above the pct-quantile size of their window."""
+    size, net, both = upper_part(signed(F.col("side"), F.col("quantity")), pct)
+    out = windowed(trades.filter(F.col("quantity").isNotNull()), window_us, size_threshold=size, _net=net, _all=both)
+    return out.withColumn("large_trade_imbalance", ratio(F.col("_net"), F.col("_all"))).drop("_net", "_all")
 
 
 def price_momentum(trades: DataFrame, fast_us: int, slow_us: int) -> DataFrame:
     """(fast VWAP - slow VWAP) / slow VWAP; both frames share one exchange."""
-    spread = with_halo(trades, "ts_us", slow_us, CHUNKS_PER_WINDOW * slow_us)
-    for name, width in (("fast_vwap", fast_us), ("slow_vwap", slow_us)):
-        spread = spread.withColumn(name, _vwap(width)(frame_window(KEY, "ts_us", width)))
+    sums = {f"_{n}{w}": total(v, w) for n, v in (("v", _notional()), ("q", F.col("quantity"))) for w in (fast_us, slow_us)}
+    out = windowed(trades, max(fast_us, slow_us), **sums)
+    for name, w in (("fast_vwap", fast_us), ("slow_vwap", slow_us)):
+        out = out.withColumn(name, ratio(F.col(f"_v{w}"), F.col(f"_q{w}")))
     change = ratio(F.col("fast_vwap") - F.col("slow_vwap"), F.col("slow_vwap"))
-    return drop_halo(spread.withColumn("price_momentum", change))
+    return out.withColumn("price_momentum", change).drop(*sums)
 
 
 def event_history(
