@@ -247,9 +247,29 @@ def _(spark, d):
     return out.select("exchange", "symbol", "seq", "buy", "sell", F.round("order_flow_imbalance", 8).alias("order_flow_imbalance"))
 
 
-@query("fixed_depth_book")
+# Row by row, every span at once: the held levels are a list, best first; every 17th message repeats an older id.
+FIXED = """
+, fd AS (SELECT *, CASE WHEN seq % 17 = 0 THEN update_id - 5 ELSE update_id END AS uid FROM ep WHERE epoch IS NOT NULL),
+fm AS (SELECT exchange, symbol, epoch, seq, max(uid) AS uid FROM fd GROUP BY ALL),
+fk AS (SELECT exchange, symbol, seq FROM (SELECT *, max(uid) OVER (PARTITION BY exchange, symbol, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM fm)
+  WHERE newest IS NULL OR uid > newest),
+fr AS MATERIALIZED (SELECT exchange, symbol, side, epoch, seq, quantity, CASE side WHEN 'bid' THEN -price_ticks ELSE price_ticks END AS k,
+  row_number() OVER (PARTITION BY exchange, symbol, side, epoch ORDER BY seq, price_ticks) AS nth,
+  row_number() OVER (PARTITION BY exchange, symbol, side, seq ORDER BY price_ticks DESC) = 1 AS emits FROM fd SEMI JOIN fk USING (exchange, symbol, seq)),
+ff AS (
+  SELECT exchange, symbol, side, epoch, 0::BIGINT AS nth, 0::BIGINT AS seq, false AS emits, []::STRUCT(k BIGINT, q DOUBLE)[] AS held FROM fr WHERE nth = 1
+  UNION ALL
+  SELECT r.exchange, r.symbol, r.side, r.epoch, r.nth, r.seq, r.emits,
+    list_sort(list_filter(f.held, lambda x: x.k <> r.k) || CASE WHEN r.quantity > 0 THEN [{'k': r.k, 'q': r.quantity}] ELSE [] END)[1:20]
+  FROM ff f JOIN fr r ON r.exchange = f.exchange AND r.symbol = f.symbol AND r.side = f.side AND r.epoch = f.epoch AND r.nth = f.nth + 1)
+SELECT exchange, symbol, side, epoch, seq, len(held) AS levels, abs(held[1].k) AS best_ticks, coalesce(list_sum(list_transform(held, lambda x: x.q)), 0.0) AS quantity
+FROM ff WHERE emits"""
+
+
+@query("fixed_depth_book", L2.replace("WITH", "WITH RECURSIVE", 1) + FIXED)
 def _(spark, d):
-    return b.fixed_depth_book(levels(spark, d), CHUNK, 20)
+    old = F.when(F.col("seq") % 17 == 0, F.col("update_id") - 5).otherwise(F.col("update_id"))
+    return b.fixed_depth_book(levels(spark, d).withColumn("update_id", old), CHUNK, 20)
 
 
 NUM = "rtrim(rtrim(CAST(CAST({} AS DECIMAL(28,8)) AS VARCHAR), '0'), '.')"
@@ -265,7 +285,15 @@ def _(spark, d):
     return out.select("exchange", "symbol", "seq", "checksum")
 
 
-@query("book_checksum_crc32")
+# CRC-32 in SQL: the table of its 256 steps, then a fold over the bytes of the text.
+CRC = """, tb AS (SELECT list(list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), n) ORDER BY n) AS steps FROM range(256) r(n)),
+tx AS (SELECT exchange, symbol, seq, coalesce(string_agg(spell, ':' ORDER BY rk, side DESC) FILTER (rk <= 25 AND side IS NOT NULL), '') AS text
+  FROM (SELECT *, """ + SPELL + """ AS spell FROM lv) GROUP BY ALL)
+SELECT exchange, symbol, seq, lpad(lower(to_hex(xor(list_reduce([4294967295] || list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT),
+  lambda c, x: xor(c >> 8, steps[xor(c, x) % 256 + 1])), 4294967295))), 8, '0') AS checksum FROM tx, tb"""
+
+
+@query("book_checksum_crc32", BOOK + CRC)
 def _(spark, d):
     out = b.book_checksum(replayed(levels(spark, d), CHUNK, checksums=("crc32",)), "crc32")
     return out.select("exchange", "symbol", "seq", "checksum")

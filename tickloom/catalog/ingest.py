@@ -301,7 +301,20 @@ def side_packets(spark, d):
     )
 
 
-@query("merge_book_sides")
+# Packet by packet: the newest list of each side, and both cleared by a last packet that finds both.
+SIDES = "WITH RECURSIVE " + duck("fx_base").removeprefix("WITH ") + """,
+pk AS MATERIALIZED (SELECT exchange, symbol, event_id AS seq, k % 2 = 0 AS is_bid, cents % 3 <> 0 AS is_last, [cents] AS levels,
+  row_number() OVER (PARTITION BY exchange, symbol ORDER BY event_id) AS nth FROM fx_base),
+hs AS (
+  SELECT exchange, symbol, 0::BIGINT AS nth, 0::BIGINT AS seq, false AS emits, NULL::BIGINT[] AS bids, NULL::BIGINT[] AS asks FROM pk WHERE nth = 1
+  UNION ALL
+  SELECT p.exchange, p.symbol, p.nth, p.seq, p.is_last AND (p.is_bid OR (NOT h.emits AND h.bids IS NOT NULL)) AND (NOT p.is_bid OR (NOT h.emits AND h.asks IS NOT NULL)),
+    CASE WHEN p.is_bid THEN p.levels WHEN NOT h.emits THEN h.bids END, CASE WHEN NOT p.is_bid THEN p.levels WHEN NOT h.emits THEN h.asks END
+  FROM hs h JOIN pk p ON p.exchange = h.exchange AND p.symbol = h.symbol AND p.nth = h.nth + 1)
+SELECT exchange, symbol, seq, bids, asks FROM hs WHERE emits"""
+
+
+@query("merge_book_sides", SIDES)
 def _(spark, d):
     from tickloom.plans.ordered import chunk_of
 

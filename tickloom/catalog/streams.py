@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import query
+from tickloom.catalog.ingest import SIDES
 from tickloom.catalog.positions import FOLD, ORDER
 from tickloom.catalog.quality import PK
 from tickloom.catalog.venues import CONT, Q, STALE_MS
@@ -113,7 +114,7 @@ def _(spark, d):
     return r(r(out.groupBy("exchange", "symbol").agg(last).select("exchange", "symbol", "s.*"), 4, "avg_price"), 2, "realised_pnl")
 
 
-@query("stream_merge_book_sides")
+@query("stream_merge_book_sides", SIDES)
 def _(spark, d):
     rows = stream(spark, d, "fx_base").select(
         "exchange", "symbol", F.col("event_id").alias("seq"), F.when(F.col("k") % 2 == 0, "bid").otherwise("ask").alias("side"),

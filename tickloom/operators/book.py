@@ -327,9 +327,14 @@ def fixed_depth_book(levels: DataFrame, chunk: int, depth: int = 20) -> DataFram
 
     Forgetting depends on the whole path since the snapshot, so one span between snapshots
     of one side is folded in order. Rows stream through in Arrow batches and the state is at
-    most `depth` levels; nothing of a span is collected.
+    most `depth` levels; nothing of a span is collected. A message whose update_id is not above all
+    before it in its span is an old one: it is skipped and has no row.
     """
     rows = with_epoch(levels, chunk)
+    if "update_id" in levels.columns:
+        newest = cummax(F.col("update_id"), "range_before")
+        rows = scan(rows, [*KEY, "epoch"], ["seq"], chunk_of("seq", chunk), _newest=newest)
+        rows = rows.filter(F.col("_newest").isNull() | F.col("update_id").isNull() | (F.col("update_id") > F.col("_newest"))).drop("_newest")
     lasts = rows.groupBy(*KEY, "side", "seq").agg(F.max("price_ticks").alias("_hi"))
     marked = rows.join(lasts, [*KEY, "side", "seq"]).withColumn(
         "last_in_message", F.col("price_ticks") == F.col("_hi")

@@ -1,153 +1,129 @@
-"""Exact sequential folds without giving a whole key to one task.
-
-Some results depend on the whole path of a key (average cost, paired book sides). If the
-effect of a chunk of rows on the state can be summarised in a small row, the fold runs in
-three steps: summarise every (key, chunk) in parallel, run through the summaries of a key
-(one row per chunk), replay every chunk from its known entry state. A task only ever sees one
-chunk; chunks are bounded by the width the caller picks.
-"""
+"""Exact sequential folds of a key, chunk by chunk (`plans.streamfold`)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.ordered import CHUNK
+from tickloom.plans.streamfold import Fold, streamed_fold
 from tickloom.session import ship_by_value
 
-ship_by_value(__name__)
+_BOTH = 3  # state of a half-collected book: bit 0 bids held, bit 1 asks held
+
 
+class CompleteBooks(Fold):
+    """Whether a row completes a book: the last packet of a burst finds both sides, and both clear.
 
-def two_pass_fold(
-    df: DataFrame,
-    keys: list[str],
-    chunk: Column,
-    order: list[str],
-    needs: list[str],
-    summarize: Callable[[pd.DataFrame], tuple],
-    summary_fields: str,
-    start: tuple,
-    advance: Callable[[tuple, pd.Series], tuple],
-    state_fields: str,
-    replay: Callable[[pd.DataFrame, tuple], pd.DataFrame],
-    out_fields: str,
-) -> DataFrame:
-    """Rows of `df` with the columns `replay` computes.
-
-    summarize(rows of a chunk in order) -> values of summary_fields
-    advance(state, summary row) -> state after that chunk
-    replay(rows of a chunk in order, entry state) -> frame with the columns of out_fields
+    The state is two bits, so a chunk is described by where each of the four states ends.
     """
-    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    base = df.withColumn(CHUNK, chunk.cast("long"))
-    summary_names = [f.split()[0] for f in summary_fields.split(",")]
-    state_names = [f.split()[0] for f in state_fields.split(",")]
-    slot = [*keys, CHUNK]
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable")
-        head = [rows[k].iloc[0] for k in slot]
-        return pd.DataFrame([[*head, *summarize(rows)]], columns=[*slot, *summary_names])
+    start = 0
+    outputs = "emits boolean"
 
-    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = start, []
-        for _, row in pdf.sort_values(CHUNK).iterrows():
-            out.append([*[row[k] for k in slot], *state])
-            state = advance(state, row)
-        return pd.DataFrame(out, columns=[*slot, *state_names])
+    def step(self, state: int, is_bid: bool, is_last: bool) -> tuple[int, tuple]:
+        state |= 1 if is_bid else 2
+        return (0, (True,)) if is_last and state == _BOTH else (state, (False,))
 
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        state = tuple(rows[n].iloc[0] for n in state_names)
-        extra = replay(rows, state)
-        kept = rows.drop(columns=[*state_names, CHUNK])
-        return pd.concat([kept, extra.reset_index(drop=True)], axis=1)
+    def describe(self) -> _Ends:
+        return _Ends(self)
 
-    thin = base.select(*slot, *[c for c in needs if c not in slot])
-    summaries = thin.groupBy(*slot).applyInPandas(first, f"{key_schema}, {CHUNK} long, {summary_fields}")
-    entries = summaries.groupBy(*keys).applyInPandas(middle, f"{key_schema}, {CHUNK} long, {state_fields}")
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", " + out_fields
-    return base.join(entries, slot).groupBy(*slot).applyInPandas(last, out_schema)
+    def advance(self, state: int, ends: list[int]) -> int:
+        return ends[state]
 
 
-# Packed state of a half-collected book: bit 0 bids held, bit 1 asks held.
-_HELD = 4
+class _Ends:
+    def __init__(self, fold: CompleteBooks):
+        self.fold, self.ends = fold, [0, 1, 2, _BOTH]
 
+    def add(self, *values) -> None:
+        self.ends = [self.fold.step(e, *values)[0] for e in self.ends]
 
-def _step(state: int, is_bid: bool, is_last: bool) -> tuple[int, bool]:
-    state |= 1 if is_bid else 2
-    if is_last and state == 3:
-        return 0, True
-    return state, False
+    def result(self) -> list[int]:
+        return self.ends
 
 
 def complete_books(df: DataFrame, keys: list[str], chunk: Column, order: list[str]) -> DataFrame:
-    """Add `emits`: whether a row (side, is_last) completes a book, both sides clearing on it.
+    """Add `emits`: whether a row (side, is_last) completes a book, both sides clearing on it."""
+    inputs = {"is_bid": F.col("side") == "bid", "is_last": F.col("is_last")}
+    return streamed_fold(df, keys, chunk, order, inputs, CompleteBooks())
 
-    The state is two bits, so a chunk is summarised by where each of the four states ends.
-    """
-    def summarize(rows: pd.DataFrame) -> tuple:
-        ends = []
-        bids, lasts = (rows["side"] == "bid").to_numpy(), rows["is_last"].to_numpy()
-        for state in range(_HELD):
-            for b, last in zip(bids, lasts):
-                state, _ = _step(state, b, last)
-            ends.append(state)
-        return tuple(ends)
-
-    def advance(state: tuple, row: pd.Series) -> tuple:
-        return (int(row[f"t{state[0]}"]),)
-
-    def replay(rows: pd.DataFrame, state: tuple) -> pd.DataFrame:
-        now, out = int(state[0]), np.zeros(len(rows), dtype=bool)
-        for i, (b, last) in enumerate(zip((rows["side"] == "bid").to_numpy(), rows["is_last"].to_numpy())):
-            now, out[i] = _step(now, b, last)
-        return pd.DataFrame({"emits": out})
-
-    return two_pass_fold(
-        df, keys, chunk, order, [*order, "side", "is_last"], summarize, "t0 int, t1 int, t2 int, t3 int", (0,), advance,
-        "held int", replay, "emits boolean",
-    )
-
-
-def average_cost(df: DataFrame, keys: list[str], chunk: Column, order: list[str]) -> DataFrame:
-    """Add avg_before and avg_after of an average-cost position.
-
-    Rows carry signed quantity `dq`, `price` and the exact running quantity `q_before`, `q_after`.
-    Each fill maps the average linearly (keep, blend or restart), so a chunk is one pair (a, b).
+
+BITS = 100
+ONE = 1 << BITS
+
+
+def fixed(price: float) -> int:
+    """A price in units of 2^-100, exact down to that."""
+    return int(price * float(ONE))
+
+
+class AverageCost(Fold):
+    """Average entry price and realised profit by average cost.
+
+    A row brings the whole quantities before and after it, exact counts of a smallest unit, and its price. Growing blends
+    the average, shrinking keeps it, flipping restarts it at the price, closing ends it. Each of these is linear in the average so far, and
+    so is the profit; a chunk is therefore four numbers. They are integers of 100 binary places, so that cutting
+    the path into other chunks moves a result by far less than a double can show.
     """
-    def maps(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        before, after = rows["q_before"].to_numpy(float), rows["q_after"].to_numpy(float)
-        dq, price = rows["dq"].to_numpy(float), rows["price"].to_numpy(float)
-        same = before * after > 0
-        adds = same & (np.abs(after) > np.abs(before))
-        size = np.where(after == 0, 1.0, np.abs(after))
-        a = np.where(adds, np.abs(before) / size, np.where(same, 1.0, 0.0))
-        b = np.where(adds, price * np.abs(dq) / size, np.where(same | (after == 0), 0.0, price))
-        return a, b
-
-    def summarize(rows: pd.DataFrame) -> tuple:
-        total_a, total_b = 1.0, 0.0
-        for a, b in zip(*maps(rows)):
-            total_a, total_b = a * total_a, a * total_b + b
-        return total_a, total_b
-
-    def advance(state: tuple, row: pd.Series) -> tuple:
-        return (row["a"] * state[0] + row["b"],)
-
-    def replay(rows: pd.DataFrame, state: tuple) -> pd.DataFrame:
-        avg, before, after = float(state[0]), [], []
-        for a, b in zip(*maps(rows)):
-            before.append(avg)
-            avg = a * avg + b
-            after.append(avg)
-        return pd.DataFrame({"avg_before": before, "avg_after": after}, dtype=float)
-
-    return two_pass_fold(
-        df, keys, chunk, order, [*order, "dq", "price", "q_before", "q_after"], summarize, "a double, b double", (0.0,),
-        advance, "entry_avg double", replay, "avg_before double, avg_after double",
-    )
+
+    start = (0, 0)
+    outputs = "avg_before double, avg_after double, closed_units long, realised double, realised_total double"
+
+    def __init__(self, units: int):
+        self.scale = ONE * units
+
+    def effect(self, before: int, after: int, price: int) -> tuple[int, int, int]:
+        """(a, b, closed): the average becomes a x average + b, closed units (signed as the position) realise profit."""
+        old, new = abs(before), abs(after)
+        if before * after > 0 and new > old:
+            return (old << BITS) // new, price * (new - old) // new, 0
+        closed = (old - new if before * after > 0 else old) * (1 if before > 0 else -1)
+        if before * after > 0:
+            return ONE, 0, closed
+        return 0, price if after else 0, closed
+
+    def step(self, state: tuple[int, int], before: int | None, after: int | None, price: float | None) -> tuple[tuple[int, int], tuple]:
+        average, total = state
+        if before is None or after is None or price is None:
+            shown = average / ONE
+            return state, (shown, shown, 0, 0.0, total / self.scale)
+        at = fixed(price)
+        a, b, closed = self.effect(before, after, at)
+        gain = closed * (at - average)
+        now = (a * average >> BITS) + b
+        return (now, total + gain), (average / ONE, now / ONE, abs(closed), gain / self.scale, (total + gain) / self.scale)
+
+    def describe(self) -> _Linear:
+        return _Linear(self)
+
+    def advance(self, state: tuple[int, int], description: tuple[int, int, int, int]) -> tuple[int, int]:
+        average, total = state
+        a, b, gain_a, gain_b = description
+        return (a * average >> BITS) + b, total + (gain_a * average >> BITS) + gain_b
+
+
+class _Linear:
+    def __init__(self, fold: AverageCost):
+        self.fold = fold
+        self.a, self.b, self.gain_a, self.gain_b = ONE, 0, 0, 0
+
+    def add(self, before: int | None, after: int | None, price: float | None) -> None:
+        if before is None or after is None or price is None:
+            return
+        at = fixed(price)
+        a, b, closed = self.fold.effect(before, after, at)
+        self.gain_a -= closed * self.a
+        self.gain_b += closed * (at - self.b)
+        self.a, self.b = a * self.a >> BITS, (a * self.b >> BITS) + b
+
+    def result(self) -> tuple[int, int, int, int]:
+        return self.a, self.b, self.gain_a, self.gain_b
+
+
+def average_cost(df: DataFrame, keys: list[str], chunk: Column, order: list[str], units: int) -> DataFrame:
+    """Add avg_before, avg_after, closed_units, realised and realised_total to rows with `units_before`, `units_after` and `price`."""
+    inputs = {"before": F.col("units_before"), "after": F.col("units_after"), "price": F.col("price").cast("double")}
+    return streamed_fold(df, keys, chunk, order, inputs, AverageCost(units))
+
+
+ship_by_value(__name__)

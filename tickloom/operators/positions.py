@@ -13,21 +13,28 @@ KEY = ["exchange", "symbol"]
 DAY_US = 86_400_000_000
 
 
-def position_path(fills: DataFrame, order: list[str], chunk_us: int = 30 * DAY_US, keys: list[str] = KEY) -> DataFrame:
+UNITS = 100_000_000
+ROWS = 100_000
+
+
+def position_path(
+    fills: DataFrame, order: list[str], chunk_us: int = 30 * DAY_US, keys: list[str] = KEY, units: int = UNITS, rows: int = ROWS,
+) -> DataFrame:
     """Every fill with the position after it and what it realised, by average cost.
 
     A fill against the position first closes it (that part realises profit); what is left
-    opens the other way at the fill's price.
+    opens the other way at the fill's price. Quantities count in whole units of 1 / `units`, so 0.1 + 0.2 - 0.3
+    is flat; positions of 9.2e18 units and more fail. The path is folded in chunks of `rows` fills and is the same for any.
     """
-    at = chunk_of("ts_us", chunk_us)
-    rows = fills.withColumn("dq", signed(F.col("side"), F.col("quantity")))
-    rows = scan(rows, keys, order, at, q_after=cumsum(F.col("dq")), nth=cumsum(F.lit(1)))
-    rows = rows.withColumn("q_before", F.col("q_after") - F.col("dq"))
-    path = average_cost(rows, keys, at, order)
-    against = F.col("q_before") * F.col("dq") < 0
-    closed = F.when(against, F.least(F.abs("dq"), F.abs("q_before"))).otherwise(F.lit(0.0))
-    gain = closed * (F.col("price") - F.col("avg_before")) * F.signum("q_before")
-    return path.withColumns({"closed": closed, "realised": gain})
+    unit = F.round(F.col("quantity") * units).cast("long")
+    counted = fills.withColumn("_du", signed(F.col("side"), unit))
+    counted = scan(counted, keys, order, chunk_of("ts_us", chunk_us), units_after=cumsum(F.col("_du")), nth=cumsum(F.lit(1)))
+    counted = counted.withColumn("units_before", F.col("units_after") - F.col("_du"))
+    path = average_cost(counted, keys, F.floor(F.col("nth") / rows), order, units)
+    return path.withColumns({
+        "dq": F.col("_du") / units, "q_before": F.col("units_before") / units, "q_after": F.col("units_after") / units,
+        "closed": F.col("closed_units") / units,
+    }).drop("_du", "units_before", "units_after", "closed_units")
 
 
 def positions(fills: DataFrame, order: list[str], chunk_us: int = 30 * DAY_US) -> DataFrame:
@@ -35,7 +42,7 @@ def positions(fills: DataFrame, order: list[str], chunk_us: int = 30 * DAY_US) -
     path = position_path(fills, order, chunk_us)
     return path.groupBy(*KEY).agg(
         F.max_by("q_after", "nth").alias("quantity"), F.max_by("avg_after", "nth").alias("avg_price"),
-        F.sum("realised").alias("realised_pnl"), F.max("ts_us").alias("last_ts_us"), F.count(F.lit(1)).alias("fills"),
+        F.max_by("realised_total", "nth").alias("realised_pnl"), F.max("ts_us").alias("last_ts_us"), F.count(F.lit(1)).alias("fills"),
     )
 
 
