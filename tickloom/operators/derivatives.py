@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.ratios import ratio
 from tickloom.plans.ordered import chunk_of, cumsum, drop_halo, frame_window, order_statistics, prev, scan, with_halo
+from tickloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 # Underlying codes of Korean futures and options.
 FUTURES_UNDERLYING = {
@@ -244,23 +245,97 @@ def var_95(realtime: DataFrame, since_us: int, z: float = 1.645) -> DataFrame:
     return out.withColumn("var_95", F.col("portfolio_return") - z * F.col("portfolio_vol"))
 
 
-def return_correlation(realtime: DataFrame, symbols: list[str], since_us: int, bucket_us: int = 1_000_000) -> DataFrame:
-    """Pairwise correlation of change_rate (mean per symbol and time cell) over a list of symbols."""
-    cells = realtime.filter((F.col("ts_us") > since_us) & F.col("symbol").isin(*symbols)).groupBy(
-        F.floor(F.col("ts_us") / bucket_us).alias("cell")).pivot("symbol", symbols).agg(F.avg("change_rate"))
-    pairs = list(combinations(symbols, 2))
-    both = [F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull() for a, b in pairs]
-    stats = cells.agg(*[
-        agg for i, (a, b) in enumerate(pairs) for agg in (
-            F.corr(F.when(both[i], F.col(f"`{a}`")), F.when(both[i], F.col(f"`{b}`"))).alias(f"c{i}"),
-            F.count(F.when(both[i], 1)).alias(f"n{i}"),
-        )
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("symbol1"), F.lit(b).alias("symbol2"), F.col(f"c{i}").alias("correlation"), F.col(f"n{i}").alias("cells"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return stats.select(F.inline(rows))
+TILE, BLOCK_CELLS = 64, 1_024
+_PAIR = "a int, b int, n long, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def _gram(tile: int):
+    """Moments of the pairs of two tiles of symbols from rows (i, j, slab, cell, idx, v) sorted by these, a block of cells at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in _PAIR.split(", ")]
+
+    def moments(cells, columns, values):
+        found, row = np.unique(cells, return_inverse=True)
+        x, seen = np.zeros((len(found), 2 * tile)), np.zeros((len(found), 2 * tile))
+        x[row, columns], seen[row, columns] = values, 1.0
+        left, right = slice(0, tile), slice(tile, 2 * tile)
+        return np.stack([
+            seen[:, left].T @ seen[:, right], x[:, left].T @ seen[:, right], seen[:, left].T @ x[:, right], (x[:, left] ** 2).T @ seen[:, right],
+            seen[:, left].T @ x[:, right] ** 2, x[:, left].T @ x[:, right]])
+
+    def finished(i: int, j: int, sums) -> pa.RecordBatch:
+        a, b = np.nonzero(sums[0])
+        keep = a + i * tile < b + j * tile
+        a, b = a[keep], b[keep]
+        values = [pa.array((a + i * tile).astype(np.int32)), pa.array((b + j * tile).astype(np.int32)), pa.array(sums[0, a, b].astype(np.int64))]
+        return pa.record_batch([*values, *[pa.array(sums[k, a, b]) for k in range(1, 6)]], names=names)
+
+    def run(batches):
+        here, sums, held = None, None, []
+
+        def flush():
+            nonlocal sums, held
+            if held:
+                cells, columns, values = (np.concatenate(c) for c in zip(*held))
+                sums, held = sums + moments(cells, columns, values), []
+
+        for batch in batches:
+            i, j, slab, cell, idx, v = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            edges = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(slab) != 0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(i)]):
+                if hi == lo:
+                    continue
+                if here != (i[lo], j[lo], slab[lo]):
+                    flush()
+                    if here is not None:
+                        yield finished(here[0], here[1], sums)
+                    here, sums = (i[lo], j[lo], slab[lo]), np.zeros((6, tile, tile))
+                at = idx[lo:hi]
+                column = np.where(at // tile == here[0], at % tile, tile + at % tile)
+                held.append((cell[lo:hi], column, v[lo:hi]))
+                if here[0] == here[1]:  # a tile with itself stands on both sides
+                    held.append((cell[lo:hi], tile + at % tile, v[lo:hi]))
+                # cut only between cells
+                if sum(len(h[0]) for h in held) > BLOCK_CELLS * tile:
+                    cells, columns, values = (np.concatenate(c) for c in zip(*held))
+                    done = cells < cells.max()
+                    if done.any():
+                        sums = sums + moments(cells[done], columns[done], values[done])
+                    held = [(cells[~done], columns[~done], values[~done])]
+        flush()
+        if here is not None:
+            yield finished(here[0], here[1], sums)
+
+    return run
+
+
+def return_correlation(realtime: DataFrame, symbols: list[str], since_us: int, bucket_us: int = 1_000_000, slab_cells: int = 1_000_000) -> DataFrame:
+    """Pairwise correlation of change_rate (mean per symbol and time cell) over a list of symbols.
+
+    A pair counts the cells in which both have a value; pairs without one are left out, and without spread the correlation is NULL.
+    The plan does not grow with the list: symbols are numbered and cut into tiles, every two tiles and slab of cells meet once, and
+    the moments of all their pairs come from matrix products over blocks of cells.
+    """
+    spark = realtime.sparkSession
+    numbers = spark.createDataFrame([(s, n) for n, s in enumerate(symbols)], "symbol string, idx int")
+    tiles = -(-max(len(symbols), 1) // TILE)
+    cells = realtime.filter(F.col("ts_us") > since_us).join(numbers, "symbol").groupBy(
+        "idx", F.floor(F.col("ts_us") / bucket_us).alias("cell")).agg(F.avg("change_rate").alias("v")).filter(F.col("v").isNotNull())
+    # less its mean, so that the moments do not cancel
+    centred = cells.join(cells.groupBy("idx").agg(F.avg("v").alias("m")), "idx").select("idx", "cell", (F.col("v") - F.col("m")).alias("v"))
+    own = F.floor(F.col("idx") / TILE).cast("int")
+    meets = centred.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
+        F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), F.floor(F.col("cell") / slab_cells).alias("slab"), "cell", "idx", "v")
+    sorted_ = meets.repartition("i", "j", "slab").sortWithinPartitions("i", "j", "slab", "cell")
+    sums = sorted_.mapInArrow(_gram(TILE), _PAIR).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    across, along, down = (n * F.col(c) - F.col(p) * F.col(q) for c, p, q in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
+    spread = F.sqrt(along) * F.sqrt(down)
+    value = F.when((n > 1) & (along > 0) & (down > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), across / spread)))
+    first, second = (numbers.select(F.col("idx").alias(i), F.col("symbol").alias(s)) for i, s in (("a", "symbol1"), ("b", "symbol2")))
+    return sums.join(first, "a").join(second, "b").select("symbol1", "symbol2", value.alias("correlation"), n.alias("cells"))
 
 
 def momentum_signal(realtime: DataFrame, k: int = 5, chunk_us: int = DAY_US) -> DataFrame:

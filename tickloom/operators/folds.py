@@ -57,6 +57,11 @@ def fixed(price: float) -> int:
     return int(price * float(ONE))
 
 
+def shown(value: int, scale: int) -> float:
+    """value / scale as a double, first rounded to 2^-72: what the order of composing left beyond that is no difference."""
+    return ((value << 73) // scale + 1 >> 1) / float(1 << 72)
+
+
 class AverageCost(Fold):
     """Average entry price and realised profit by average cost.
 
@@ -85,13 +90,13 @@ class AverageCost(Fold):
     def step(self, state: tuple[int, int], before: int | None, after: int | None, price: float | None) -> tuple[tuple[int, int], tuple]:
         average, total = state
         if before is None or after is None or price is None:
-            shown = average / ONE
-            return state, (shown, shown, 0, 0.0, total / self.scale)
+            same = shown(average, ONE)
+            return state, (same, same, 0, 0.0, shown(total, self.scale))
         at = fixed(price)
         a, b, closed = self.effect(before, after, at)
         gain = closed * (at - average)
         now = (a * average >> BITS) + b
-        return (now, total + gain), (average / ONE, now / ONE, abs(closed), gain / self.scale, (total + gain) / self.scale)
+        return (now, total + gain), (shown(average, ONE), shown(now, ONE), abs(closed), shown(gain, self.scale), shown(total + gain, self.scale))
 
     def describe(self) -> _Linear:
         return _Linear(self)
