@@ -73,3 +73,51 @@ def test_chunks_of_any_width_give_the_path_row_by_row(spark, seed):
         got = builder_states(spark.createDataFrame(rows, SCHEMA), chunk, backoff_ms=1, **options).collect()
         for r in got:
             assert [r[n] for n in names if n != "held"] == [v for n, v in zip(names, want[r.seq]) if n != "held"], (chunk, r.seq)
+
+
+# --- live ------------------------------------------------------------------------------------
+
+LIVE = "exchange string, symbol string, seq long, ts_us long, update_id long, first_update_id long, is_snapshot boolean, side string, price_ticks long, quantity double, pos long"
+
+
+def live(spark, tmp_path, batches, timers=False, **options):
+    from pyspark.sql import functions as F
+
+    from tickloom.streaming import jobs
+
+    for i, rows in enumerate(batches):
+        full = [("x", "s", seq, int(t * SECOND), u, first, snap, side, tick, q, seq) for seq, t, u, first, snap, side, tick, q in rows]
+        spark.createDataFrame(full, LIVE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LIVE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    if timers:
+        stream = stream.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", "0 seconds")
+    out = jobs.run_available_now(spark, jobs.stream_book_builder(stream, timers=timers, **options), "live")
+    return sorted(out.collect(), key=lambda r: (r.seq is None, r.seq or 0))
+
+
+def test_held_deltas_are_replayed_after_an_older_snapshot(spark, tmp_path):
+    """Deltas 11 to 13 wait over two micro-batches; the snapshot stands at 11, so 12 and 13 are applied to it, a range as well."""
+    got = live(spark, tmp_path, [
+        [(1, 1, 11, 0, False, "bid", 100, 9.0), (2, 2, 12, 0, False, "bid", 101, 2.0)],
+        [(3, 3, 13, 0, False, "bid", 90, 0.0), (4, 4, 11, 0, True, "bid", 90, 5.0), (5, 5, 16, 14, False, "ask", 110, 1.0)],
+        [(6, 6, 17, 0, False, "ask", 110, 0.0), (7, 7, 19, 0, False, "bid", 102, 1.0), (8, 7.05, 20, 0, False, "bid", 103, 1.0)],
+    ])
+    assert [(r.state, r.reason, r.levels, r.best_bid_ticks, r.replayed) for r in got] == [
+        ("buffering", "initial", 0, None, 0), ("buffering", "initial", 0, None, 0), ("buffering", "initial", 0, None, 0), ("live", None, 1, 101, 2),
+        ("live", None, 2, 101, 0), ("live", None, 1, 101, 0), ("resync", "gap", 0, None, 0), ("resync", "gap", 0, None, 0)]
+    assert [[(c.side, c.price_ticks, c.quantity) for c in r.changed] for r in got[3:6]] == [
+        [("bid", 90, 0.0), ("bid", 101, 2.0)], [("ask", 110, 1.0)], [("ask", 110, 0.0)]]
+
+
+def test_a_full_live_buffer_keeps_its_newest(spark, tmp_path):
+    rows = [(i, i, 100 + i, 0, False, "bid", i, 1.0) for i in range(1, 21)]
+    got = live(spark, tmp_path, [rows[:9], rows[9:], [(30, 21, 100, 0, True, "ask", 999, 1.0)]], max_buffer=4)
+    assert (got[-1].state, got[-1].replayed, got[-1].levels, got[-1].best_bid_ticks) == ("live", 4, 5, 20)
+
+
+def test_timers_speak_for_a_silent_builder(spark, tmp_path):
+    """The watermark of other rows' times runs the wait out; the row without seq says so."""
+    got = live(spark, tmp_path, [[(i, 1000 + t, i, 0, False, "bid", 1, 1.0)] for i, t in ((1, 0), (2, 15), (3, 100))],
+               timers=True, snapshot_timeout_s=10)
+    silent = [(r.state, r.reason) for r in got if r.seq is None]
+    assert len([r for r in got if r.seq is not None]) == 3 and ("resync", "timeout") in silent

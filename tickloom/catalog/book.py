@@ -144,32 +144,36 @@ DAY_US = 86_400_000_000
 TIMEOUT, BACKOFF, REST, ATTEMPTS, BUFFER = 6 * DAY_US, DAY_US, 5 * DAY_US, 2, 4
 
 # One step at a time: a timer that has run out by the next message, else that message.
-BUILDER = f"""
+def builder_sql(wrong: str, timeout: int = TIMEOUT, backoff: int = BACKOFF, rest: int = REST, attempts: int = ATTEMPTS) -> str:
+    """Table `st`: one row per step of a builder over the messages `msg`; `wrong` says what is wrong with a message, or NULL."""
+    return f"""
 , ms AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS nth, CASE WHEN seq % 97 = 0 THEN 'checksum' WHEN seq % 113 = 0 THEN 'crossed'
-         WHEN seq % 131 = 0 THEN 'manual' END AS wrong FROM msg),
+  SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS nth, {wrong} AS wrong FROM msg),
 st AS (
   SELECT exchange, symbol, 0 AS nth, NULL::VARCHAR AS kind, NULL::VARCHAR AS met, 'buffering' AS mode, 'initial' AS reason, 0 AS attempt, ts_us AS since, ts_us AS cycle,
          NULL::BIGINT AS last_id, 0 AS applied, 0 AS gaps, 0 AS resyncs, 0 AS ok, 0 AS failed, 0 AS n FROM ms WHERE nth = 1
   UNION ALL
   SELECT exchange, symbol, CASE WHEN due <= ts_us THEN nth ELSE nth + 1 END, kind, mode,
-    CASE WHEN trouble IS NOT NULL THEN CASE WHEN used >= {ATTEMPTS} THEN 'error' ELSE 'resync' END WHEN kind IN ('resync', 'error') THEN 'buffering'
+    CASE WHEN trouble IS NOT NULL THEN CASE WHEN used >= {attempts} THEN 'error' ELSE 'resync' END WHEN kind IN ('resync', 'error') THEN 'buffering'
          WHEN kind IN ('snap', 'apply') THEN 'live' ELSE mode END,
     CASE WHEN trouble IS NOT NULL THEN trouble WHEN kind = 'error' THEN 'initial' WHEN kind = 'snap' THEN NULL ELSE reason END,
     used + (trouble IS NOT NULL)::INT, CASE WHEN trouble IS NOT NULL OR kind IN ('resync', 'error', 'snap') THEN moment ELSE since END,
     CASE WHEN trouble IS NOT NULL OR kind IN ('error', 'snap') THEN moment ELSE cycle END,
     CASE WHEN kind IN ('snap', 'apply') THEN update_id ELSE last_id END, applied + (kind IN ('snap', 'apply'))::INT, gaps + coalesce((trouble = 'gap')::INT, 0),
-    resyncs + (trouble IS NOT NULL)::INT, ok + (kind = 'snap' AND attempt > 0)::INT, failed + (trouble IS NOT NULL AND used >= {ATTEMPTS})::INT,
+    resyncs + (trouble IS NOT NULL)::INT, ok + (kind = 'snap' AND attempt > 0)::INT, failed + (trouble IS NOT NULL AND used >= {attempts})::INT,
     CASE WHEN kind = 'hold' THEN n + 1 WHEN trouble IS NOT NULL OR kind IN ('error', 'snap') THEN 0 ELSE n END
   FROM (SELECT *, CASE WHEN kind IN ('buffering', 'resync', 'error') THEN due ELSE ts_us END AS moment, CASE WHEN kind IN ('snap', 'error') THEN 0 ELSE attempt END AS used,
           CASE WHEN kind IN ('snap', 'apply') THEN wrong WHEN kind = 'gap' THEN 'gap' WHEN kind = 'buffering' THEN 'timeout' END AS trouble
     FROM (SELECT *, CASE WHEN due <= ts_us THEN mode WHEN is_snapshot THEN 'snap' WHEN mode <> 'live' THEN 'hold' WHEN update_id <> last_id + 1 THEN 'gap' ELSE 'apply' END AS kind
-      FROM (SELECT s.* EXCLUDE (kind, met), m.ts_us, m.update_id, m.is_snapshot, m.wrong, since + CASE mode WHEN 'buffering' THEN {TIMEOUT} WHEN 'resync' THEN {BACKOFF} * attempt
-              WHEN 'error' THEN {REST} END AS due
+      FROM (SELECT s.* EXCLUDE (kind, met), m.ts_us, m.update_id, m.is_snapshot, m.wrong, since + CASE mode WHEN 'buffering' THEN {timeout} WHEN 'resync' THEN {backoff} * attempt
+              WHEN 'error' THEN {rest} END AS due
             FROM st s JOIN ms m ON m.exchange = s.exchange AND m.symbol = s.symbol AND m.nth = s.nth + 1))))
 """
 
 
+BUILDER = builder_sql("CASE WHEN seq % 97 = 0 THEN 'checksum' WHEN seq % 113 = 0 THEN 'crossed' WHEN seq % 131 = 0 THEN 'manual' END")
+
+
 @query("builder_states", L2.replace("WITH", "WITH RECURSIVE", 1) + BUILDER + f"""
 SELECT exchange, symbol, seq, mode AS state, reason, attempt, since AS since_us, kind = 'snap' AND met <> 'live' AS initialised, applied, gaps, resyncs,
        ok AS resyncs_ok, failed AS resyncs_failed, CAST(n - dropped AS BIGINT) AS buffered, CAST(dropped AS BIGINT) AS dropped

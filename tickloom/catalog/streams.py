@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import query
+from tickloom.catalog.book import MSG, builder_sql
 from tickloom.catalog.ingest import SIDES
 from tickloom.catalog.positions import FOLD, ORDER
 from tickloom.catalog.quality import PK
@@ -76,18 +77,25 @@ def raw_levels(df):
     ).withColumn("is_snapshot", F.col("seq") % 50 == 0)
 
 
-@query("stream_book_builder", duck("fx_l2") + """, msg AS (SELECT exchange, symbol, seq, max(ts_us) AS ts_us, bool_or(is_snapshot) AS snap FROM fx_l2 GROUP BY ALL),
-g AS (SELECT *, max(CASE WHEN snap THEN seq END) OVER w AS epoch, min(ts_us) OVER w AS fts, coalesce(NOT snap AND seq <> lag(seq) OVER w + 1, false) AS gap FROM msg
-  WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq)),
-s AS (SELECT *, CASE WHEN epoch IS NULL THEN CASE WHEN ts_us - fts > 864000000000 THEN 'resync' ELSE 'buffering' END
-  WHEN bool_or(gap) OVER (PARTITION BY exchange, symbol, epoch ORDER BY seq) THEN 'resync' ELSE 'live' END AS state FROM g),
-lv AS (SELECT s.exchange, s.symbol, s.seq, l.side, l.price_ticks, arg_max(l.quantity, l.seq) AS q FROM s JOIN fx_l2 l ON s.exchange = l.exchange AND s.symbol = l.symbol
-  AND l.seq BETWEEN s.epoch AND s.seq WHERE s.state = 'live' GROUP BY ALL)
-SELECT s.exchange, s.symbol, s.seq, s.state, max(price_ticks) FILTER (side = 'bid' AND q > 0) AS best_bid_ticks, min(price_ticks) FILTER (side = 'ask' AND q > 0) AS best_ask_ticks,
-  count(*) FILTER (q > 0) AS levels FROM s LEFT JOIN lv ON s.exchange = lv.exchange AND s.symbol = lv.symbol AND s.seq = lv.seq GROUP BY ALL""")
+DAY = 86_400_000_000
+
+
+@query("stream_book_builder", duck("fx_l2", extra={"msg": MSG}).replace("WITH", "WITH RECURSIVE", 1) + builder_sql("NULL::VARCHAR", 10 * DAY, DAY, 5 * DAY, 2) + """,
+s AS (SELECT st.exchange, st.symbol, ms.seq, st.mode AS state, st.reason, st.attempt, max(CASE WHEN ms.is_snapshot THEN ms.seq END) OVER (
+    PARTITION BY st.exchange, st.symbol ORDER BY ms.seq) AS epoch
+  FROM st JOIN ms ON ms.exchange = st.exchange AND ms.symbol = st.symbol AND ms.nth = st.nth WHERE kind IN ('snap', 'hold', 'gap', 'apply')),
+lv AS (SELECT s.exchange, s.symbol, s.seq, l.side, l.price_ticks, arg_max(l.quantity, l.seq) AS q, max(l.seq) AS latest FROM s JOIN fx_l2 l ON s.exchange = l.exchange
+  AND s.symbol = l.symbol AND l.seq BETWEEN s.epoch AND s.seq WHERE s.state = 'live' GROUP BY ALL)
+SELECT s.exchange, s.symbol, s.seq, s.state, any_value(s.reason) AS reason, CAST(any_value(s.attempt) AS BIGINT) AS attempt,
+  max(price_ticks) FILTER (side = 'bid' AND q > 0) AS best_bid_ticks, min(price_ticks) FILTER (side = 'ask' AND q > 0) AS best_ask_ticks,
+  count(*) FILTER (q > 0) AS levels, count(*) FILTER (latest = s.seq AND s.seq <> s.epoch) AS changed
+FROM s LEFT JOIN lv ON s.exchange = lv.exchange AND s.symbol = lv.symbol AND s.seq = lv.seq GROUP BY ALL""")
 def _(spark, d):
     rows = raw_levels(stream(spark, d, "lineitem"))
-    return run(spark, jobs.stream_book_builder(rows, 864_000, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), "builder")
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = run(spark, jobs.stream_book_builder(rows, 864_000, order, 2, DAY // 1000, 5 * 86_400), "builder")
+    # a snapshot also closes the levels before it; the rows it brings alone would need the book before
+    return out.withColumn("changed", F.when(F.col("seq") % 50 == 0, 0).otherwise(F.size("changed")).cast("long")).drop("replayed")
 
 
 @query("stream_inversions", PK + """

@@ -85,27 +85,27 @@ class Builder(Fold):
     def wait(self, s: State, ts: int) -> State:
         """Every timer that has run out by ts."""
         while s.mode != "live":
+            if s.mode == "buffering" and s.attempt == 0 and self.round > 0 and ts - s.since >= self.round:
+                n = (ts - s.since) // self.round
+                at = s.since + n * self.round
+                s = s._replace(reason="initial", since=at, cycle=at, resyncs=s.resyncs + n * (self.most + 1), resyncs_failed=s.resyncs_failed + n)
+            due = self.due(s)
+            if due > ts:
+                break
             if s.mode == "buffering":
-                if s.attempt == 0 and self.round > 0 and ts - s.since >= self.round:
-                    n = (ts - s.since) // self.round
-                    at = s.since + n * self.round
-                    s = s._replace(reason="initial", since=at, cycle=at, resyncs=s.resyncs + n * (self.most + 1), resyncs_failed=s.resyncs_failed + n)
-                due = s.since + self.timeout
-                if due > ts:
-                    break
                 s = self.troubled(s, "timeout", due)
             elif s.mode == "resync":
-                due = s.since + self.backoff * s.attempt
-                if due > ts:
-                    break
                 s = s._replace(mode="buffering", since=due)
             else:
-                due = s.since + self.rest
-                if due > ts:
-                    break
                 s = s._replace(mode="buffering", reason="initial", attempt=0, since=due, cycle=due)
         return s
 
+    def due(self, s: State) -> int | None:
+        """When the current wait runs out; a live builder waits for nothing."""
+        if s.mode == "live":
+            return None
+        return s.since + {"buffering": self.timeout, "resync": self.backoff * s.attempt, "error": self.rest}[s.mode]
+
     def synced(self, s: State, row: Row) -> State:
         s = s._replace(
             mode="live", reason=None, attempt=0, since=row.ts, cycle=row.ts, last_id=row.update_id, applied=s.applied + 1,
@@ -204,6 +204,10 @@ class _Chunk:
         return self.facts
 
 
+def machine(snapshot_timeout_s: float = 30, max_attempts: int = 5, backoff_ms: int = 100, error_wait_s: float = 5) -> Builder:
+    return Builder(int(snapshot_timeout_s * 1_000_000), max_attempts, int(backoff_ms * 1000), int(error_wait_s * 1_000_000))
+
+
 def builder_states(
     updates: DataFrame, chunk: int, max_buffer: int = 10_000, snapshot_timeout_s: float = 30, max_attempts: int = 5, backoff_ms: int = 100,
     error_wait_s: float = 5,
@@ -216,7 +220,7 @@ def builder_states(
     resyncs, resyncs_ok, resyncs_failed) and what the last three grew by since the row before (new_*), and how many updates the
     buffer holds and has dropped since cycle_us: a full buffer drops its 100 oldest.
     """
-    fold = Builder(int(snapshot_timeout_s * 1_000_000), max_attempts, backoff_ms * 1000, int(error_wait_s * 1_000_000))
+    fold = machine(snapshot_timeout_s, max_attempts, backoff_ms, error_wait_s)
 
     def given(name: str, kind: str) -> Column:
         return F.col(name).cast(kind) if name in updates.columns else F.lit(None).cast(kind)

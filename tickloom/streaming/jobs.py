@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as s
 from tickloom.functions.ratios import imbalance, where
+from tickloom.operators.builder import machine
 from tickloom.session import STATE_STORE, shared_dir
 from tickloom.streaming import processors as p
 
@@ -45,9 +46,14 @@ def _keyed(df: DataFrame, keys: list[str], processor, time_mode: str = "None") -
         statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode=time_mode)
 
 
-def stream_book_builder(levels: DataFrame, snapshot_timeout_s: int = 30, order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """`order` places the entries of one message; the last entry of a price wins."""
-    return _keyed(levels, KEY, p.BookBuilder(snapshot_timeout_s, order))
+def stream_book_builder(
+    levels: DataFrame, snapshot_timeout_s: float = 30, order: tuple[str, ...] = ("pos",), max_attempts: int = 5, backoff_ms: int = 100,
+    error_wait_s: float = 5, max_buffer: int = 10_000, timers: bool = False,
+) -> DataFrame:
+    """`order` places the entries of one message; the last entry of a price wins. update_id (default seq), first_update_id,
+    checksum_ok, crossed and manual are read where they are. `timers` needs a watermark on event time."""
+    rules = machine(snapshot_timeout_s, max_attempts, backoff_ms, error_wait_s)
+    return _keyed(levels, KEY, p.BookBuilder(rules, order, max_buffer, timers), "EventTime" if timers else "None")
 
 
 def stream_inversions(packets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickloom.operators.builder import Builder, Row, State
 from tickloom.session import ship_by_value
 
 ship_by_value(__name__)
@@ -45,59 +46,133 @@ class Inversions(StatefulProcessor):
 
 
 class BookBuilder(StatefulProcessor):
-    """Level rows to book states: buffering until a snapshot, live, resync from a gap to the next
-    snapshot. The ladder is map state from (side, tick) to quantity; only touched levels are
-    written back."""
+    """Level rows to book states, by the state machine of `operators.builder`.
+
+    While the builder waits, deltas are held in list state; the snapshot that ends the wait replays those with newer ids.
+    The ladder is map state from (side, tick) to quantity. Only touched levels are written back, and a message's row carries just
+    the levels it changed: all of them after a snapshot, none while out of step. With `timers`, a builder whose wait runs out without
+    rows says so itself: a row without seq once the watermark has passed that time.
+    """
 
     schema = (
-        "exchange string, symbol string, seq long, state string, best_bid_ticks long, best_ask_ticks long, levels long"
+        "exchange string, symbol string, seq long, state string, reason string, attempt long, best_bid_ticks long, best_ask_ticks long, levels long, "
+        "replayed long, changed array<struct<side:string,price_ticks:long,quantity:double>>"
     )
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {c: "Int64" for c in ("seq", "attempt", "best_bid_ticks", "best_ask_ticks", "levels", "replayed")}
 
-    def __init__(self, snapshot_timeout_s: int = 30, order: tuple[str, ...] = ("pos",)):
-        self.order = ["seq", *order]
-        self.timeout_us = snapshot_timeout_s * 1_000_000
+    def __init__(self, machine: Builder, order: tuple[str, ...] = ("pos",), max_buffer: int = 10_000, timers: bool = False):
+        self.machine, self.order, self.max_buffer, self.timers = machine, ["seq", *order], max_buffer, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.levels = handle.getMapState("levels", "side string, tick long", "quantity double")
-        self.sync = handle.getValueState("sync", "last_id long, state string, first_us long")
+        self.buffer = handle.getListState("buffer", "seq long, update_id long, side string, tick long, quantity double")
+        self.sync = handle.getValueState(
+            "sync", "mode string, reason string, attempt long, since long, cycle long, last_id long, applied long, gaps long, resyncs long, "
+            "resyncs_ok long, resyncs_failed long, buffered long")
+
+    def _loaded(self) -> tuple[State | None, int]:
+        if not self.sync.exists():
+            return None, 0
+        *state, buffered = self.sync.get()
+        return State(*state), buffered
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last_id, state, first_us = self.sync.get() if self.sync.exists() else (None, "buffering", None)
+        state, buffered = self._loaded()
         held = {tuple(k): v[0] for k, v in self.levels.iterator()}
-        touched, out = set(), []
+        before, out = dict(held), []
         frame = in_order(rows, self.order)
-        for seq, msg in frame.groupby("seq", sort=True):
-            ts, snap = int(msg["ts_us"].max()), bool(msg["is_snapshot"].any())
-            first_us = ts if first_us is None else first_us
-            if snap:
-                touched |= held.keys()
-                held, state = {}, "live"
-            elif state == "live" and last_id is not None and seq != last_id + 1:
-                state = "resync"
-            elif state == "buffering" and ts - first_us > self.timeout_us:
-                state = "resync"
-            last_id = int(seq)
-            if state == "live":
-                for side, tick, quantity in zip(msg["side"], msg["price_ticks"].tolist(), msg["quantity"].tolist()):
-                    level = (side, tick)
-                    touched.add(level)
-                    if quantity == 0:
-                        held.pop(level, None)
-                    else:
-                        held[level] = quantity
-            live = state == "live"
-            bids = [t for s, t in held if s == "bid"] if live else []
-            asks = [t for s, t in held if s == "ask"] if live else []
-            out.append((*key, int(seq), state, max(bids, default=None), min(asks, default=None), len(bids) + len(asks)))
-        for level in touched:
-            if level in held:
-                self.levels.updateValue(level, (held[level],))
-            elif self.levels.containsKey(level):
-                self.levels.removeKey(level)
-        self.sync.update((last_id, state, first_us))
-        names = [c.split()[0] for c in self.schema.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({"best_bid_ticks": "Int64", "best_ask_ticks": "Int64"})
+        for seq, message in frame.groupby("seq", sort=True):
+            row = self._row(message)
+            entries = list(zip(message["side"], message["price_ticks"].tolist(), message["quantity"].tolist()))
+            met = self.machine.wait(State("buffering", "initial", 0, row.ts, row.ts) if state is None else state, row.ts)
+            state, replayed, changed = self.machine.after(met, row), 0, {}
+            if row.snapshot:
+                changed = {level: 0.0 for level in held}
+                held = {}
+                self._apply(held, changed, entries)
+                if state.mode == "live":
+                    state, replayed = self._replay(state, held, changed)
+                if buffered:
+                    self.buffer.clear()
+                    buffered = 0
+            elif met.mode != "live":
+                buffered = self._hold(int(seq), row.update_id, entries, buffered)
+            elif state.applied > met.applied:
+                self._apply(held, changed, entries)
+            out.append(self._said(key, int(seq), state, held, replayed, changed))
+        for level in before.keys() - held.keys():
+            self.levels.removeKey(level)
+        for level, quantity in held.items():
+            if before.get(level) != quantity:
+                self.levels.updateValue(level, (quantity,))
+        self.sync.update((*state, buffered))
+        if self.timers:
+            self._wake(state)
+        yield pd.DataFrame(out, columns=self.names).astype(self.kinds)
+
+    def _row(self, message: pd.DataFrame) -> Row:
+        def one(name, default=None):
+            return message[name].iloc[0] if name in message.columns and not pd.isna(message[name].iloc[0]) else default
+
+        ids = int(one("update_id", message["seq"].iloc[0]))
+        flags = [None if one(c) is None else bool(one(c)) for c in ("checksum_ok", "crossed", "manual")]
+        return Row(int(message["ts_us"].max()), ids, int(one("first_update_id", 0)), bool(message["is_snapshot"].any()), *flags)
+
+    @staticmethod
+    def _apply(held: dict, changed: dict, entries: list[tuple]) -> None:
+        for side, tick, quantity in entries:
+            level = (side, tick)
+            if quantity == 0:
+                held.pop(level, None)
+            else:
+                held[level] = quantity
+            changed[level] = quantity
+
+    def _replay(self, state: State, held: dict, changed: dict) -> tuple[State, int]:
+        """Held deltas that are newer than the snapshot, oldest first."""
+        newer: dict[tuple[int, int], list[tuple]] = {}
+        for seq, update_id, side, tick, quantity in (tuple(r) for r in self.buffer.get()):
+            if update_id > state.last_id:
+                newer.setdefault((seq, update_id), []).append((side, tick, quantity))
+        kept = sorted(newer)[-self.max_buffer :]
+        for at in kept:
+            self._apply(held, changed, newer[at])
+        if kept:
+            state = state._replace(last_id=max(u for _, u in kept), applied=state.applied + len(kept))
+        return state, len(kept)
+
+    def _hold(self, seq: int, update_id: int, entries: list[tuple], buffered: int) -> int:
+        self.buffer.appendList([(seq, update_id, side, int(tick), float(quantity)) for side, tick, quantity in entries])
+        if buffered + 1 < 2 * self.max_buffer:
+            return buffered + 1
+        rows = [tuple(r) for r in self.buffer.get()]
+        newest = set(sorted({r[:2] for r in rows})[-self.max_buffer :])
+        self.buffer.put([r for r in rows if r[:2] in newest])
+        return len(newest)
+
+    def _said(self, key, seq: int | None, state: State, held: dict, replayed: int, changed: dict) -> tuple:
+        live = state.mode == "live"
+        bids = [t for s, t in held if s == "bid"] if live else []
+        asks = [t for s, t in held if s == "ask"] if live else []
+        levels = [{"side": s, "price_ticks": int(t), "quantity": float(q)} for (s, t), q in sorted(changed.items())] if live else []
+        return (*key, seq, state.mode, state.reason, state.attempt, max(bids, default=None), min(asks, default=None), len(bids) + len(asks), replayed, levels)
+
+    def _wake(self, state: State) -> None:
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        due = self.machine.due(state)
+        if due is not None:
+            self.handle.registerTimer(-(-due // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, buffered = self._loaded()
+        now = self.machine.wait(state, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        self.sync.update((*now, buffered))
+        self._wake(now)
+        if now != state:
+            yield pd.DataFrame([self._said(key, None, now, {}, 0, {})], columns=self.names).astype(self.kinds)
 
     def close(self) -> None:
         pass
