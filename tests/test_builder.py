@@ -86,7 +86,7 @@ def live(spark, tmp_path, batches, timers=False, **options):
     from tickloom.streaming import jobs
 
     for i, rows in enumerate(batches):
-        full = [("x", "s", seq, int(t * SECOND), u, first, snap, side, tick, q, seq) for seq, t, u, first, snap, side, tick, q in rows]
+        full = [((*key, "x")[0], "s", seq, int(t * SECOND), u, first, snap, side, tick, q, seq) for seq, t, u, first, snap, side, tick, q, *key in rows]
         spark.createDataFrame(full, LIVE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(LIVE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     if timers:
@@ -116,8 +116,8 @@ def test_a_full_live_buffer_keeps_its_newest(spark, tmp_path):
 
 
 def test_timers_speak_for_a_silent_builder(spark, tmp_path):
-    """The watermark of other rows' times runs the wait out; the row without seq says so."""
-    got = live(spark, tmp_path, [[(i, 1000 + t, i, 0, False, "bid", 1, 1.0)] for i, t in ((1, 0), (2, 15), (3, 100))],
+    """Another key's rows move the watermark past the end of the wait; the row without seq says so."""
+    got = live(spark, tmp_path, [[(i, 1000 + t, i, 0, False, "bid", 1, 1.0, key)] for i, t, key in ((1, 0, "x"), (2, 9, "y"), (3, 10.05, "y"), (4, 10.06, "y"))],
                timers=True, snapshot_timeout_s=10)
-    silent = [(r.state, r.reason) for r in got if r.seq is None]
-    assert len([r for r in got if r.seq is not None]) == 3 and ("resync", "timeout") in silent
+    assert [(r.exchange, r.state, r.reason, r.attempt) for r in got if r.seq is None] == [("x", "resync", "timeout", 1)]
+    assert [r.seq for r in got if r.seq is not None] == [1, 2, 3, 4]
