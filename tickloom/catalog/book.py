@@ -108,6 +108,13 @@ def _(spark, d):
     return summary(b.book_snapshots(levels(spark, d), CHUNK, 50, 10), "nth")
 
 
+@query("restored_books", BOOK + """, nth AS (
+  SELECT exchange, symbol, max(seq) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS n FROM msg) WHERE n % 50 = 0 GROUP BY ALL)"""
+       + SUMMARY + "FROM lv JOIN nth USING (exchange, symbol) WHERE seq >= kept GROUP BY ALL")
+def _(spark, d):
+    return summary(b.restored_books(b.book_snapshots(levels(spark, d), CHUNK, 50, 10), levels(spark, d), CHUNK))
+
+
 @query("seq_gaps", L2 + """
 SELECT exchange, symbol, seq, is_snapshot, last_id, has_gap, CASE WHEN has_gap THEN update_id - last_id - 1 ELSE 0 END AS missing
 FROM (SELECT *, coalesce(NOT is_snapshot AND update_id <> last_id + 1, false) AS has_gap FROM (

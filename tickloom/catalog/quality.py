@@ -53,6 +53,14 @@ def _(spark, d):
     return q.latency_percentiles(packets(spark, d), exact=True, value_chunk_ms=1_000_000)
 
 
+@query("latency_percentiles_of_n", PK + """, n AS (
+  SELECT exchange, latency_ms, row_number() OVER (PARTITION BY exchange ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY exchange) AS n FROM a)
+SELECT exchange, n, max(latency_ms) FILTER (i = n * 50 // 100) AS p50_ms, max(latency_ms) FILTER (i = n * 95 // 100) AS p95_ms,
+       max(latency_ms) FILTER (i = n * 99 // 100) AS p99_ms FROM n GROUP BY ALL""")
+def _(spark, d):
+    return q.latency_percentiles(packets(spark, d), exact=True, value_chunk_ms=1_000_000, of="n")
+
+
 INV = """count(*) AS packets, count(*) FILTER (inverted) AS inversions,
        round(count(*) FILTER (inverted) / count(*) * 100, 6) AS inversion_pct, max(inversion_ms) AS max_inversion_ms,
        round(avg(inversion_ms), 4) AS mean_inversion_ms, min(inversion_ms) AS min_inversion_ms"""
@@ -130,6 +138,19 @@ def _(spark, d):
     return q.inversion_diagnosis(packets(spark, d))
 
 
+@query("inversion_causes", PK + """, nx AS (
+  SELECT *, lead(inverted) OVER w AS ninv, lead(recv_ms) OVER w AS nms, lead(event_id) OVER w AS nid FROM a WINDOW w AS (PARTITION BY exchange, symbol ORDER BY recv_ms, event_id)),
+hit AS (SELECT *, coalesce(lag(exchange) OVER g = exchange AND lag(symbol) OVER g = symbol, false) AS consecutive FROM nx WHERE inverted WINDOW g AS (ORDER BY recv_ms, event_id)),
+brk AS (SELECT *, coalesce(lag(consecutive) OVER g AND NOT coalesce(NOT lag(ninv) OVER g AND (lag(nms) OVER g < recv_ms OR (lag(nms) OVER g = recv_ms AND lag(nid) OVER g < event_id)),
+    false), false) AS running FROM hit WINDOW g AS (ORDER BY recv_ms, event_id)),
+c AS (SELECT count(*) AS inversions, count(*) FILTER (inversion_ms < 10) AS tiny_inversions, count(*) FILTER (inversion_ms >= 1000) AS large_inversions,
+  count(*) FILTER (consecutive) AS consecutive, count(*) FILTER (NOT consecutive AND NOT running) AS isolated, count(DISTINCT exchange) AS venues FROM brk)
+SELECT *, CASE WHEN inversions = 0 THEN 'clean' WHEN tiny_inversions > inversions * 7 // 10 THEN 'network' WHEN large_inversions > inversions // 3 THEN 'timestamps'
+  WHEN consecutive > isolated THEN 'buffering' WHEN venues = 1 THEN 'single_venue' ELSE 'mixed' END AS verdict FROM c""")
+def _(spark, d):
+    return q.inversion_causes(packets(spark, d))
+
+
 @query("packet_integrity", PK + """
 SELECT exchange, count(*) AS packets, count(*) FILTER (size_bytes > 1400) AS oversized, count(*) FILTER (size_bytes > 1500) AS fragmented,
        count(*) FILTER (event_id % 50 = 0) AS clock_implausible, count(*) FILTER (event_id % 23 = 0) AS parse_errors,

@@ -169,18 +169,25 @@ def book_snapshots(levels: DataFrame, chunk: int, every: int = 1000, keep: int =
 
 
 def restore_from_snapshots(snapshots: DataFrame, levels: DataFrame) -> DataFrame:
-    """Latest snapshot of each key plus the level updates that follow it, to be replayed."""
+    """Latest snapshot of each key plus the level updates that follow it, to be replayed; an empty book is one row without a level."""
     last = snapshots.groupBy(*KEY).agg(
         F.max("seq").alias("snapshot_seq"), F.max_by(F.struct("bids", "asks"), "seq").alias("book")
     )
     tail = levels.join(last.select(*KEY, "snapshot_seq"), KEY).filter(F.col("seq") > F.col("snapshot_seq"))
-    base = last.select(*KEY, "snapshot_seq", F.explode(F.concat(
+    base = last.select(*KEY, "snapshot_seq", F.explode_outer(F.concat(
         F.transform("book.bids", lambda lv: F.struct(F.lit("bid").alias("side"), lv["price"].alias("price"), lv["quantity"].alias("quantity"))),
         F.transform("book.asks", lambda lv: F.struct(F.lit("ask").alias("side"), lv["price"].alias("price"), lv["quantity"].alias("quantity"))),
     )).alias("lv")).select(*KEY, F.col("snapshot_seq").alias("seq"), F.lit(True).alias("is_snapshot"), "lv.*")
     return base.unionByName(tail.select(*KEY, "seq", "is_snapshot", "side", "price", "quantity"))
 
 
+def restored_books(snapshots: DataFrame, levels: DataFrame, chunk: int, tick: float = 0.01) -> DataFrame:
+    """Books from each key's latest persisted snapshot on: that book, and the one after every later message."""
+    times = snapshots.select(*KEY, "seq", "ts_us").unionByName(messages(levels).select(*KEY, "seq", "ts_us")).groupBy(*KEY, "seq").agg(F.max("ts_us").alias("ts_us"))
+    rows = restore_from_snapshots(snapshots, levels).join(times, [*KEY, "seq"])
+    return books(rows.withColumn("price_ticks", F.round(F.col("price") / tick).cast("long")), chunk)
+
+
 # --- sequence checks -------------------------------------------------------------------------
 
 

@@ -55,13 +55,13 @@ def nanos_to_unit(df: DataFrame, unit_col: str = "timestamp_unit") -> DataFrame:
 
 
 def normalize_ts(df: DataFrame, dim_format: DataFrame | None = None) -> DataFrame:
-    """Timestamp to milliseconds by the venue's known unit, else by its number of digits."""
+    """Timestamp to milliseconds by the venue's known unit (its name in any case), else by its number of digits."""
     guess = s.unit_of_digits(s.digits_of(F.col("timestamp")))
     if dim_format is not None:
         df = df.join(dim_format.select("exchange", F.col("unit").alias("_unit")), "exchange", "left")
         known = F.col("_unit")
     else:
-        known = F.create_map(*[F.lit(x) for kv in s.VENUE_UNITS.items() for x in kv])[F.col("exchange")]
+        known = F.create_map(*[F.lit(x) for venue, unit in s.VENUE_UNITS.items() for x in (venue.lower(), unit)])[F.lower("exchange")]
     unit = F.coalesce(known, guess)
     return df.withColumn("ts_ms", s.to_millis(F.col("timestamp"), unit)).drop("_unit")
 

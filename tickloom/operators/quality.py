@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.ordered import (
-    chunk_of, cumsum, drop_halo, frame_window, order_statistics, prev, scan, with_halo,
+    CHUNK, chunk_of, cumsum, drop_halo, following, frame_window, order_statistics, prev, scan, with_halo,
 )
 
 KEY = ["exchange", "symbol"]
@@ -56,16 +56,17 @@ def latency_stats(packets: DataFrame) -> DataFrame:
 
 def latency_percentiles(
     packets: DataFrame, ps: tuple[int, ...] = (50, 95, 99), exact: bool = False, keys: tuple[str, ...] = ("exchange",),
-    value_chunk_ms: int = 60_000,
+    value_chunk_ms: int = 60_000, of: str = "n-1",
 ) -> DataFrame:
-    """p50/p95/p99 of latency per key: exact nearest rank at index floor((n-1)p/100), or sketched."""
+    """p50/p95/p99 of latency per key: exact at index floor((n-1)p/100), with `of="n"` at floor(n p/100), or sketched."""
     rows = packets.withColumn("latency_ms", F.col("recv_ms") - F.col("exchange_ms"))
     if not exact:
         return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
             *[F.percentile_approx("latency_ms", p / 100, 10_000).alias(f"p{p}_ms") for p in ps],
         )
-    ranks = {f"p{p}_ms": F.floor((F.col("n") - 1) * p / 100) for p in ps}
+    size = {"n-1": F.col("n") - 1, "n": F.col("n")}[of]
+    ranks = {f"p{p}_ms": F.least(F.floor(size * p / 100), F.col("n") - 1) for p in ps}
     return order_statistics(rows, list(keys), "latency_ms", ranks, chunk_of("latency_ms", value_chunk_ms))
 
 
@@ -178,6 +179,35 @@ def inversion_diagnosis(packets: DataFrame) -> DataFrame:
     return total.withColumn("verdict", verdict)
 
 
+def inversion_causes(packets: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
+    """One-row verdict by the size and the succession of inversions.
+
+    Inversions of all keys follow one another in arrival order. One of the same key as the one before is consecutive; one of another
+    key is isolated unless it breaks off a row of consecutive ones, which ends as well with the key's next packet in order.
+    First that holds: over 7 in 10 under 10 ms `network`; over 1 in 3 of a second and more `timestamps`; more consecutive than isolated
+    `buffering`; one venue alone `single_venue`; else `mixed`.
+    """
+    at = F.struct(*ARRIVAL)
+    seen = arrivals(packets, chunk_ms=chunk_ms)
+    later = scan(seen, KEY, ARRIVAL, chunk_of("recv_ms", chunk_ms), _next=following(F.struct(at.alias("at"), F.col("inverted").alias("inverted"))))
+    ends = F.when(~F.col("_next.inverted"), F.col("_next.at"))
+    hits = later.filter("inverted").select(*ARRIVAL, "inversion_ms", "exchange", F.struct(*KEY).alias("k"), ends.alias("ends"))
+    one = scan(hits, [], ARRIVAL, chunk_of("recv_ms", chunk_ms), keep_chunk=True, _k=prev(F.col("k")))
+    one = one.withColumn("consecutive", F.coalesce(F.col("k") == F.col("_k"), F.lit(False)))
+    two = scan(one, [], ARRIVAL, F.col(CHUNK), _p=prev(F.struct("consecutive", "ends")))
+    running = F.coalesce(F.col("_p.consecutive") & ~F.coalesce(F.col("_p.ends") < at, F.lit(False)), F.lit(False))
+    out = two.agg(
+        F.count(F.lit(1)).alias("inversions"), _n(F.col("inversion_ms") < 10).alias("tiny_inversions"), _n(F.col("inversion_ms") >= 1000).alias("large_inversions"),
+        _n(F.col("consecutive")).alias("consecutive"), _n(~F.col("consecutive") & ~running).alias("isolated"), F.countDistinct("exchange").alias("venues"),
+    )
+    n = F.col("inversions")
+    verdict = (
+        F.when(n == 0, "clean").when(F.col("tiny_inversions") > F.floor(n * 7 / 10), "network").when(F.col("large_inversions") > F.floor(n / 3), "timestamps")
+        .when(F.col("consecutive") > F.col("isolated"), "buffering").when(F.col("venues") == 1, "single_venue").otherwise("mixed")
+    )
+    return out.withColumn("verdict", verdict)
+
+
 def packet_integrity(packets: DataFrame) -> DataFrame:
     """Oversized (>1400 B), fragmented (>1500 B), clock-implausible (>1 year off) and unparsable packets."""
     off = F.abs(F.col("recv_ms") - F.col("exchange_ms")) > 365 * DAY_MS

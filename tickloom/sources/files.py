@@ -95,15 +95,14 @@ def sink_ops_tables(df: DataFrame, path: str, max_len: int = 800) -> None:
     rows.write.mode("append").partitionBy("table", "date").parquet(path)
 
 
-def sink_market_tables(df: DataFrame, path: str, files_per_day: int = 8) -> None:
+def sink_market_tables(df: DataFrame, path: str) -> None:
     """Trades or books by date and exchange, sorted by symbol and time for range reads.
 
-    A salt spreads a busy venue-day over several files and tasks.
+    Rows are dealt in ranges of about equal size, so a busy venue-day is written by as many tasks as it has of the rows.
     """
-    rows = df.withColumn("date", F.to_date("ts")).withColumn("_salt", F.pmod(F.xxhash64("symbol", "ts"), F.lit(files_per_day)))
-    rows.repartition("date", "exchange", "_salt").drop("_salt").sortWithinPartitions("date", "exchange", "symbol", "ts").write.mode(
-        "append"
-    ).partitionBy("date", "exchange").parquet(path)
+    order = ["date", "exchange", "symbol", "ts"]
+    rows = df.withColumn("date", F.to_date("ts")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("append").partitionBy("date", "exchange").parquet(path)
 
 
 def export_report(tables: dict[str, DataFrame], path: str | None, as_of_us: int) -> DataFrame:
