@@ -10,6 +10,7 @@ task grows with the input and no piece is ever dropped.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,31 @@ FAN_IN = 8
 HANDED = 20_000
 
 
+class Generations(dict):
+    """A bounded memory for `make`: what was asked for lately, and what was before that, so what is common stays."""
+
+    LIMIT, LONG = 160_000, 64
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(self) > self.LIMIT:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.LONG:
+            self[key] = found
+        return found
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of whole texts, word by word: a word's ids do not depend on its neighbours.
 
@@ -37,7 +63,6 @@ class Encoder:
     their runs go to the tokenizer's model; any other word goes through the whole tokenizer.
     """
 
-    LIMIT = 160_000
     # Latin-1 letters have fixed lower-case forms and are already composed
     EASY = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ÿ]+")
@@ -47,48 +72,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        # words and runs seen lately, and those seen before them: what is common stays
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-        self.old_runs: dict[str, bytes] = {}
+        self.words, self.runs = Generations(self.word), Generations(self.run)
         # byte-level models name bytes by printable characters: those that are printable name themselves
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            if len(self.runs) > self.LIMIT:
-                self.runs, self.old_runs = {}, self.runs
-            found = self.old_runs.get(run)
-        if found is None:
-            named = run if run.isascii() else "".join(map(self.names.__getitem__, run.encode()))
-            found = np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
-            if len(run) <= 64:
-                self.runs[run] = found
-        return found
+        named = run if run.isascii() else "".join(map(self.names.__getitem__, run.encode()))
+        return packed([t.id for t in self.model.tokenize(named)])
 
     def word(self, word: bytes) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > self.LIMIT:
-                self.words, self.old_words = {}, self.words
-            found = self.old_words.get(word)
-            if found is not None:
-                self.words[word] = found
-        if found is None:
-            text = word.decode("utf-8", "replace")
-            if self.EASY.fullmatch(text) and "<|" not in text:
-                found = b"".join(map(self.run, self.RUNS.findall(text.lower())))
-            else:
-                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
+        if word.isalpha():  # ASCII letters are one run
+            return self.run(word.lower().decode())
+        text = word.decode("utf-8", "replace")
+        if self.EASY.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.runs.__getitem__, self.RUNS.findall(text.lower())))
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: bytes | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.word, (text or b"").split())), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, (text or b"").split())), "<u4")
 
 
 def encoder(path: str) -> Encoder:
