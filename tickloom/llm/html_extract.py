@@ -6,7 +6,8 @@ few counts, and labels every block in the light of all the others. Content block
 
 The network is numpy, trained on the driver on at most `SAMPLE` pages (those with the smallest hash of
 their html) whose semantic tags say what is content. Copies of these pages with other tag names, and with
-menus, comments, notices, forms and adverts added, teach it pages without such tags.
+menus, comments, notices, forms and adverts added, teach it pages without such tags. Where no page of the sample has such
+tags, labels come from the density of text.
 """
 
 from __future__ import annotations
@@ -47,14 +48,32 @@ WORD = re.compile(r"\w+")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: tuple[str, ...]  # tag names and words of class and id of the nearest elements around it, outermost first
     linked: int
+    main: bool = False  # some element around it is one of CONTENT
+    other: bool = False  # some element around it is one of OTHER
+
+
+NEAREST, NAMED = 16, 16
+
+
+@dataclass(frozen=True)
+class Element:
+    name: str
+    names: tuple[str, ...]
+    main: bool
+    other: bool
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Non-empty blocks in page order, white space collapsed, character references decoded."""
+    """Non-empty blocks in page order, white space collapsed, character references decoded.
+
+    A block names its NEAREST elements, with NAMED words of class and id each, and what the outer ones hand down is two flags: time and
+    space stay in proportion to the page, however deep it nests.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    open_names: dict[str, int] = {}
     parts: list[str] = []
     linked, in_link = 0, 0
 
@@ -62,15 +81,25 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, tuple(x for _, names in stack for x in names), linked))
+            top = stack[-1] if stack else Element("", (), False, False)
+            found.append(Block(text, tuple(x for e in stack[-NEAREST:] for x in e.names), linked, top.main, top.other))
         parts.clear()
         linked = 0
 
+    def pop() -> Element:
+        gone = stack.pop()
+        open_names[gone.name] -= 1
+        return gone
+
     def pop_to(name: str) -> None:
-        nonlocal stack
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-        if at is not None:
-            stack = stack[:at]
+        if open_names.get(name):
+            while pop().name != name:
+                pass
+
+    def push(name: str, names: tuple[str, ...]) -> None:
+        above = stack[-1] if stack else Element("", (), False, False)
+        stack.append(Element(name, names, above.main or bool(CONTENT & set(names)), above.other or bool(OTHER & set(names))))
+        open_names[name] = open_names.get(name, 0) + 1
 
     at, page = 0, page or ""
     for m in TOKEN.finditer(page):
@@ -93,14 +122,14 @@ def blocks(page: str | None) -> list[Block]:
             pop_to(name)
             continue
         if name in CLOSED_BY_SIBLING:
-            last = stack[-1][0] if stack else ""
+            last = stack[-1].name if stack else ""
             if last in CLOSED_BY_SIBLING[name].split():
-                stack.pop()
-        if name in NOT_IN_P and stack and stack[-1][0] == "p":
-            stack.pop()
+                pop()
+        if name in NOT_IN_P and stack and stack[-1].name == "p":
+            pop()
         if name not in VOID and not m[4].endswith("/"):
             words = [w for g in NAMES.findall(m[4]) for w in re.split(r"[^a-z]+", "".join(g).lower()) if w]
-            stack.append((name, (name, *(f".{w}" for w in words))))
+            push(name, (name, *(f".{w}" for w in words[:NAMED])))
     parts.append(page[at:])
     flush()
     return found
@@ -230,7 +259,7 @@ class Labeller:
 
 
 # fixed values: element names, and words of class and id, that say what a part of a page is
-CONTENT = ("article", "main")
+CONTENT = frozenset(("article", "main"))
 OTHER = frozenset(
     "nav header footer aside form head title button select label fieldset menu dialog .ad .ads .advert .advertisement .sponsored .promo .banner .menu .nav .navbar .navigation "
     ".header .footer .sidebar .widget .comment .comments .reply .replies .respond .cookie .cookies .consent .notice .alert .popup .modal .newsletter .subscribe .signup .login "
@@ -246,7 +275,23 @@ ADDED = [
 
 def silver(found: list[Block]) -> np.ndarray:
     """Content as the semantic tags have it."""
-    return np.array([bool(set(b.path) & set(CONTENT)) and not set(b.path) & OTHER for b in found], bool)
+    return np.array([b.main and not b.other for b in found], bool)
+
+
+DENSE_WORDS, LINKED = 10, 0.3
+
+
+def dense(found: list[Block]) -> np.ndarray:
+    """Content as the density of text has it, for pages whose tags say nothing: sentences that are no links, and what stands short between two of them."""
+    full = np.array([
+        not b.other and b.text.count(" ") + 1 >= DENSE_WORDS and b.linked <= LINKED * len(b.text) and any(c in b.text for c in ".!?。！？؟।") for b in found], bool)
+    out = full.copy()
+    for i in range(1, len(found) - 1):
+        out[i] |= full[i - 1] and full[i + 1] and not found[i].other and found[i].linked <= LINKED * len(found[i].text)
+    # a heading right before the first sentences belongs to them
+    for i in range(len(found) - 1):
+        out[i] |= bool(full[i + 1]) and found[i].path[-1:] in {("h1",), ("h2",), ("h3",)} and not found[i].other
+    return out
 
 
 def varied(found: list[Block], labels: np.ndarray, others: list[str], rng) -> tuple[list[Block], np.ndarray]:
@@ -255,7 +300,7 @@ def varied(found: list[Block], labels: np.ndarray, others: list[str], rng) -> tu
     out = []
     for b, y in zip(found, labels):
         path = tuple(x for t in b.path for x in (name if t in CONTENT else (t,)))
-        out.append((Block(b.text, path, b.linked), y))
+        out.append((Block(b.text, path[-NEAREST * (NAMED + 1) :], b.linked), y))
     for _ in range(rng.integers(1, 4)):
         extra = ADDED[rng.integers(len(ADDED))]
         inside = rng.random() < 0.3  # a part inside the main one
@@ -270,13 +315,16 @@ def varied(found: list[Block], labels: np.ndarray, others: list[str], rng) -> tu
 
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """A labeller from at most `sample` pages, of which the first 200,000 characters and 400 blocks are learnt; without any page, an untrained one."""
+    """A labeller from at most `sample` pages, of which the first 200,000 characters and 400 blocks are learnt; without any page, an untrained one.
+
+    Pages whose tags name no main part say nothing and are not learnt from; where none does, the density of text is what is learnt.
+    """
     some = hashed_sample(pages.select(F.substring(html_col, 1, 200_000).alias("h")), "h", sample)
     rng, seen = np.random.default_rng(11), [b for b in (blocks(h)[:400] for h in some) if b]
     if not seen:
         return Labeller()
     texts = [b.text for page in seen for b in page]
-    pairs = [(b, silver(b)) for b in seen]
+    pairs = [(b, y) for b, y in ((b, silver(b)) for b in seen) if y.any()] or [(b, dense(b)) for b in seen]
     pairs += [varied(b, y, texts, rng) for b, y in pairs]
     return Labeller().fit([features(b) for b, _ in pairs], [y for _, y in pairs])
 
