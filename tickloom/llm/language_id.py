@@ -49,7 +49,7 @@ def grams(joined: bytes) -> np.ndarray:
 @dataclass(frozen=True)
 class Filter:
     languages: list[str]
-    slots: np.ndarray  # a bit per language
+    slots: np.ndarray  # (slot, word): a bit per language, 64 languages a word
     chance: np.ndarray  # of each language to contain an n-gram that it does not
 
     def masks(self, g: np.ndarray) -> np.ndarray:
@@ -69,14 +69,14 @@ class Filter:
         starts = np.r_[0, np.cumsum(sizes[full])[:-1]]
         found = self.masks(grams(b"".join(texts)))
         for k in range(len(self.languages)):
-            bit = (found >> found.dtype.type(k)) & found.dtype.type(1)
+            bit = (found[:, k // 64] >> found.dtype.type(k % 64)) & found.dtype.type(1)
             counts[full, k] = np.add.reduceat(bit.astype(np.int64), starts)
         chance = self.chance[None, :]
         return np.maximum(0, (counts - sizes[:, None] * chance) / (1 - chance))
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filter:
-    """Count the n-grams of all labelled texts and build the filter. At most 64 languages."""
+    """Count the n-grams of all labelled texts and build the filter."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
@@ -100,26 +100,28 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     counts = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > 64:
-        raise ValueError("a slot holds 64 languages")
     if not languages:
-        return Filter([], np.zeros(1, np.uint8), np.zeros(0))
+        return Filter([], np.zeros((1, 1), np.uint8), np.zeros(0))
+    words = -(-len(languages) // 64)
     share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, float(totals[k]))]), F.col("lang"))
     kept = counts.withColumn("share", share).groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("by"))
-    mask = F.aggregate(
-        F.filter("by", lambda x: (x["share"] >= RARE) & (x["share"] >= RATIO * F.col("most"))), F.lit(0).cast("long"),
-        lambda a, x: a.bitwiseOR(F.element_at(F.create_map(*[v for i, k in enumerate(languages) for v in (F.lit(k), F.expr(f"shiftleft(1L, {i})"))]), x["lang"])),
-    )
-    table = kept.where(F.col("most") >= RARE).select("gram", mask.alias("mask")).toPandas()
-    gram, mask = table["gram"].to_numpy(np.int64).astype(U64), table["mask"].to_numpy(np.int64).view(U64)
+    contains = F.filter("by", lambda x: (x["share"] >= RARE) & (x["share"] >= RATIO * F.col("most")))
+
+    def mask(word: int):
+        bits = F.create_map(*[v for i, k in enumerate(languages) for v in (F.lit(k), F.expr(f"shiftleft(1L, {i % 64})") if i // 64 == word else F.lit(0).cast("long"))])
+        return F.aggregate(contains, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.element_at(bits, x["lang"]))).alias(f"m{word}")
+
+    table = kept.where(F.col("most") >= RARE).select("gram", *map(mask, range(words))).toPandas()
+    gram = table["gram"].to_numpy(np.int64).astype(U64)
+    masks = np.stack([table[f"m{w}"].to_numpy(np.int64).view(U64) for w in range(words)], axis=1)
     size = 1 << 16
     while size < 8 * len(gram):
         size *= 2
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize)
-    slots = np.zeros(size, kind)
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * np.dtype(t).itemsize), np.uint64)
+    slots = np.zeros((size, words), kind)
     for i in range(HASHES):
-        np.bitwise_or.at(slots, spread(gram, i, size), mask.astype(kind))
-    fill = np.array([((slots >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
+        np.bitwise_or.at(slots, spread(gram, i, size), masks.astype(kind))
+    fill = np.array([((slots[:, k // 64] >> kind(k % 64)) & kind(1)).mean() for k in range(len(languages))])
     return Filter(languages, slots, fill**HASHES)
 
 
