@@ -25,16 +25,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_key`, a hash of the whole row: ids may be null or repeated, and a row is more than its id."""
+    names = docs.columns
+    return docs.withColumn("_key", F.xxhash64(*[F.col(c) for c in names], *[F.col(c).isNull() for c in names]))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id."""
-    dropped = ngram_join(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays, that with the smallest id, nulls last; of equal rows with words one stays."""
+    rows = keyed(docs)
+    found = ngram_join(rows, id_col="_key").where("n_shingles > 0").groupBy("_key").agg(F.min("component_id").alias("component"), F.count("*").alias("copies"))
+    ids = rows.select("_key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = found.join(ids, "_key").groupBy("component").agg(F.min_by("_key", order).alias("first"))
+    marks = found.join(first, "component").where((F.col("_key") != F.col("first")) | (F.col("copies") > 1))
+    marks = stored(marks.select("_key", (F.col("_key") == F.col("first")).alias("repeated")), "marks")
+    marked = rows.join(marks, "_key", "left")
+    once = marked.where("repeated").dropDuplicates(["_key"])
+    return marked.where("repeated is null").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    leaks = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
+    return rows.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
