@@ -235,7 +235,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shards_sql(count: int = 40) -> str:
     """One table of the nodes of both topologies; the smallest draw among the children of a node wins, level by level."""
-    nodes = sorted({(s.shard, s.region, s.rack) for s in topology(count + 1)})
+    nodes = sorted({(s.shard, s.region, s.rack) for s in topology(count, 1)})
     rows = ", ".join(f"({n}, '{region}', '{rack}')" for n, region, rack in nodes)
     key = "coalesce(cast(doc_id as varchar), '-')"
 
@@ -271,5 +271,5 @@ from documents x join a3 using (doc_id) join b3 using (doc_id), crc"""
 
 @query("op13_sharding", shards_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharded(table(spark, sf_dir, "documents"), topology(40), topology(41))
+    rows = sharded(table(spark, sf_dir, "documents"), topology(40), topology(40, 1))
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -28,14 +28,13 @@ class Shard:
     weight: float = 1.0
 
 
-def topology(count: int) -> list[Shard]:
-    """Shards of equal weight: full regions of 4 racks with 5 shards, each further one a region of its own.
+def topology(count: int, added: int = 0) -> list[Shard]:
+    """`count` shards of equal weight, 5 to a rack and 4 racks to a region, and `added` later ones, each a region of its own.
 
-    So one more shard takes rows only into itself, but where it completes a region; then the region is drawn anew.
+    So every shard added takes rows only into itself.
     """
-    full = count // REGION * REGION
-    inside = [Shard(f"region{i // REGION}", f"rack{i // RACK}", i) for i in range(full)]
-    return inside + [Shard(f"single{i}", f"rack{i}", i) for i in range(full, count)]
+    inside = [Shard(f"region{i // REGION}", f"rack{i // RACK}", i) for i in range(count)]
+    return inside + [Shard(f"single{i}", f"rack{i}", i) for i in range(count, count + added)]
 
 
 def draw(key: Column, node: str, weight: float) -> Column:
