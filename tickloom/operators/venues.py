@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.ratios import ratio
-from tickloom.plans.ordered import chunk_of, ffill, scan
+from tickloom.plans.ordered import chunk_of
+from tickloom.plans.streamfold import Fold, streamed_fold
+from tickloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 QUOTE = ["best_bid", "bid_qty", "best_ask", "ask_qty"]
 
@@ -113,6 +117,49 @@ def _derive(df: DataFrame) -> DataFrame:
     )
 
 
+class BestPrices(Fold):
+    """The best fresh bid and ask over the latest quotes of all venues. A chunk is described by its last quote of each venue."""
+
+    start: dict = {}
+    names = ("num_checked", "num_exchanges", "best_bid", "bid_qty", "bid_exchange", "best_ask", "ask_qty", "ask_exchange")
+    outputs = (
+        "now_num_checked long, now_num_exchanges long, now_best_bid double, now_bid_qty double, now_bid_exchange string, now_best_ask double, "
+        "now_ask_qty double, now_ask_exchange string"
+    )
+
+    def __init__(self, max_stale_ms: int):
+        self.max_stale_ms = max_stale_ms
+
+    def describe(self) -> _LastQuotes:
+        return _LastQuotes()
+
+    def advance(self, state: dict, last: dict) -> dict:
+        return {**state, **last}
+
+    def step(self, state: dict, exchange: str | None, ts: int, *quote: float | None) -> tuple[dict, tuple]:
+        if exchange is not None:
+            state = {**state, exchange: (ts, *quote)} if state is self.start else state
+            state[exchange] = (ts, *quote)
+        fresh = [(venue, q) for venue, q in state.items() if (ts - q[0]) // 1000 <= self.max_stale_ms]
+        bids = [(-q[1], venue, q[2]) for venue, q in fresh if q[1] is not None]
+        asks = [(q[3], venue, q[4]) for venue, q in fresh if q[3] is not None]
+        bid, bid_venue, bid_qty = min(bids, key=lambda b: b[:2]) if bids else (None, None, None)
+        ask, ask_venue, ask_qty = min(asks, key=lambda a: a[:2]) if asks else (None, None, None)
+        return state, (len(state), len(fresh), None if bid is None else -bid, bid_qty, bid_venue, ask, ask_qty, ask_venue)
+
+
+class _LastQuotes:
+    def __init__(self):
+        self.last: dict = {}
+
+    def add(self, exchange: str | None, ts: int, *quote: float | None) -> None:
+        if exchange is not None:
+            self.last[exchange] = (ts, *quote)
+
+    def result(self) -> dict:
+        return self.last
+
+
 def nbbo(
     quotes: DataFrame, max_stale_ms: int, as_of: int | None = None, mode: str = "continuous",
     chunk_us: int = 86_400_000_000,
@@ -120,9 +167,8 @@ def nbbo(
     """National best bid and offer over venues whose latest quote is fresh.
 
     `snapshot`: one row per symbol as of a time. `continuous`: one row per quote, the state
-    just after it; venues are forward-filled by `scan`, so a hot symbol is split by time. The venues
-    are those in the quotes: their names, as for any pivot, are read before the plan is made, and
-    the plan has a column for each. A quote without a venue has its row but never a best price.
+    just after it: a map from venue to its latest quote, folded by chunks of time, so a hot symbol is split
+    and the plan is the same for any number of venues. A quote without a venue has its row but never a best price.
     Ties go to the smallest venue name.
     """
     if mode == "snapshot":
@@ -143,34 +189,10 @@ def nbbo(
         )
         return _derive(flat)
 
-    quote = F.struct("best_bid", "bid_qty", "best_ask", "ask_qty", "ts_us", "exchange")
-    venues = sorted(r["exchange"] for r in quotes.select("exchange").distinct().collect() if r["exchange"] is not None)
-    runs = {
-        f"_v{i}": ffill(F.when(F.col("exchange") == venue, quote)) for i, venue in enumerate(venues)
-    }
-    runs = runs or {"_v0": ffill(F.when(F.lit(False), quote))}
-    state = scan(
-        quotes.select("symbol", "exchange", "ts_us", "seq", *QUOTE), ["symbol"], ["ts_us", "seq"],
-        chunk_of("ts_us", chunk_us), **runs,
-    )
-    known = F.filter(F.array(*[F.col(n) for n in runs]), lambda v: v.isNotNull())
-    fresh = F.filter(F.col("_known"), lambda v: F.floor((F.col("ts_us") - v["ts_us"]) / 1000) <= max_stale_ms)
-    bids = F.transform(F.col("_fresh"), lambda v: F.struct((-v["best_bid"]).alias("k"), v["exchange"].alias("x"), v["bid_qty"].alias("q")))
-    asks = F.transform(F.col("_fresh"), lambda v: F.struct(v["best_ask"].alias("k"), v["exchange"].alias("x"), v["ask_qty"].alias("q")))
-    flat = (
-        state.select("symbol", F.col("ts_us"), "seq", known.alias("_known"))
-        .withColumn("_fresh", fresh)
-        .select(
-            "symbol", "ts_us", "seq", F.size("_known").cast("long").alias("num_checked"),
-            F.size("_fresh").cast("long").alias("num_exchanges"),
-            F.array_min(bids).alias("_b"), F.array_min(asks).alias("_a"),
-        )
-        .select(
-            "symbol", "ts_us", "seq", "num_checked", "num_exchanges", (-F.col("_b.k")).alias("best_bid"),
-            F.col("_b.q").alias("bid_qty"), F.col("_b.x").alias("bid_exchange"), F.col("_a.k").alias("best_ask"),
-            F.col("_a.q").alias("ask_qty"), F.col("_a.x").alias("ask_exchange"),
-        )
-    )
+    rows = quotes.select("symbol", "exchange", "ts_us", "seq", *QUOTE)
+    inputs = {"exchange": F.col("exchange"), "ts": F.col("ts_us"), **{c: F.col(c).cast("double") for c in QUOTE}}
+    walked = streamed_fold(rows, ["symbol"], chunk_of("ts_us", chunk_us), ["ts_us", "seq"], inputs, BestPrices(max_stale_ms))
+    flat = walked.select("symbol", "ts_us", "seq", *[F.col(f"now_{c}").alias(c) for c in BestPrices.names])
     return _derive(flat)
 
 
