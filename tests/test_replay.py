@@ -153,3 +153,51 @@ def test_book_validation_against_the_last_accepted_mid(spark):
     for chunk in (1, 3, 100):
         got = {r.seq: r.violation for r in b.book_validation(df, chunk, 5.0, 10**9, F.lit(10)).collect()}
         assert got == {0: None, 1: "outlier", 2: None, 3: None, 4: None, 5: "outlier", 6: None}
+
+
+# --- ladders that forget ---------------------------------------------------------------------
+
+
+def forgetful(rows, depth):
+    held, out, epoch = {}, {}, {}
+    for key, symbol, seq, _, _, snap, side, tick, _, q in sorted(rows, key=lambda r: (str(r[0]), r[2], r[6], r[7])):
+        if snap and epoch.get(key) != seq:
+            epoch[key] = seq
+            held[key] = {"bid": {}, "ask": {}}
+        if key not in epoch:
+            continue
+        mine = held[key][side]
+        if q == 0:
+            mine.pop(tick, None)
+        else:
+            mine[tick] = q
+            if len(mine) > depth:
+                mine.pop(min(mine) if side == "bid" else max(mine))
+        out[key, side, seq] = (epoch[key], len(mine), (max(mine) if side == "bid" else min(mine)) if mine else None, sum(mine.values()))
+    return out
+
+
+def deep_rows(seed, n=240, snapshots=(0,)):
+    """Many levels and few kept ones, so that levels are forgotten and better ones go away later."""
+    rnd, out = random.Random(seed), []
+    for seq in range(n):
+        key = "hot" if seq % 4 or seq in snapshots else None
+        for tick in sorted({rnd.randint(1, 40) for _ in range(rnd.randint(1, 3))}):
+            side = rnd.choice(["bid", "ask"])
+            out.append((key, "s", seq, seq, seq, seq in snapshots, side, tick, tick / 100, rnd.choice([0.0, 0.0, 1.0, 2.0, 3.0])))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 9])
+def test_forgetting_ladders_equal_the_fold_in_order(spark, rounds):
+    rows = deep_rows(3, snapshots=(0, 150)) + [(None, "s", 1000 + i, i, 1000 + i, i == 0, "bid", 5 + i % 9, 0.05, float(i % 3)) for i in range(60)]
+    df, want = spark.createDataFrame(rows, LEVELS), forgetful(rows, 4)
+    for chunk in (10, 60):
+        got = {(r.exchange, r.side, r.seq): (r.epoch, r.levels, r.best_ticks, r.quantity) for r in b.fixed_depth_book(df, chunk, 4, rounds).collect()}
+        assert got == want, chunk
+
+
+def test_old_messages_are_skipped_by_a_forgetting_ladder(spark):
+    rows = [("x", "s", seq, seq, ids, seq == 1, "bid", tick, tick / 100, 1.0) for seq, ids, tick in ((1, 10, 5), (2, 12, 6), (3, 11, 9), (4, 12, 9), (5, 13, 7))]
+    got = b.fixed_depth_book(spark.createDataFrame(rows, LEVELS), 2, 20).orderBy("seq").collect()
+    assert [(r.seq, r.best_ticks) for r in got] == [(1, 5), (2, 6), (5, 7)]

@@ -11,15 +11,13 @@ nor a long stretch without snapshot ends in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import book as bk
 from tickloom.functions.ratios import imbalance
 from tickloom.operators.accepted import LastAccepted
+from tickloom.operators.ladders import truncated
 from tickloom.operators.replay import replayed
 from tickloom.plans.ordered import (
     CHUNK, Run, chunk_of, cummax, cumsum, ffill, following, interval_join, prev, scan,
@@ -301,60 +299,18 @@ def order_flow_imbalance_l3(order_events: DataFrame, lookback_ms: int) -> DataFr
 # --- fixed depth -----------------------------------------------------------------------------
 
 
-def _fold_partition(depth: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = None, {}
-        for batch in batches:
-            rows = []
-            for ex, sym, side, epoch, seq, tick, quantity, last in zip(
-                batch["exchange"], batch["symbol"], batch["side"], batch["epoch"], batch["seq"], batch["price_ticks"],
-                batch["quantity"], batch["last_in_message"],
-            ):
-                key = (ex, sym, side, epoch)
-                if key != current:
-                    current, held = key, {}
-                if quantity == 0:
-                    held.pop(tick, None)
-                else:
-                    held[tick] = quantity
-                    if len(held) > depth:
-                        held.pop(min(held) if side == "bid" else max(held))
-                if last:
-                    best = (max(held) if side == "bid" else min(held)) if held else None
-                    rows.append((ex, sym, side, epoch, seq, len(held), best, float(sum(held.values()))))
-            yield pd.DataFrame(
-                rows, columns=["exchange", "symbol", "side", "epoch", "seq", "levels", "best_ticks", "quantity"]
-            ).astype({"best_ticks": "Int64", "levels": "int64"})
-
-    return run
-
-
-def fixed_depth_book(levels: DataFrame, chunk: int, depth: int = 20) -> DataFrame:
+def fixed_depth_book(levels: DataFrame, chunk: int, depth: int = 20, rounds: int = 4) -> DataFrame:
     """Side summary after each message of a book that forgets levels beyond `depth`.
 
-    Forgetting depends on the whole path since the snapshot, so one span between snapshots
-    of one side is folded in order. Rows stream through in Arrow batches and the state is at
-    most `depth` levels; nothing of a span is collected. A message whose update_id is not above all
-    before it in its span is an old one: it is skipped and has no row.
+    Segments of `chunk` are replayed in parallel from guessed entries until they fit together (`operators.ladders`). A
+    message whose update_id is not above all before it in its span is an old one: it is skipped and has no row.
     """
     rows = with_epoch(levels, chunk)
     if "update_id" in levels.columns:
         newest = cummax(F.col("update_id"), "range_before")
         rows = scan(rows, [*KEY, "epoch"], ["seq"], chunk_of("seq", chunk), _newest=newest)
         rows = rows.filter(F.col("_newest").isNull() | F.col("update_id").isNull() | (F.col("update_id") > F.col("_newest"))).drop("_newest")
-    lasts = rows.groupBy(*KEY, "side", "seq").agg(F.max("price_ticks").alias("_hi"))
-    marked = rows.join(lasts, [*KEY, "side", "seq"]).withColumn(
-        "last_in_message", F.col("price_ticks") == F.col("_hi")
-    )
-    span = [*KEY, "side", "epoch"]
-    ordered = (
-        marked.select(*span, "seq", "price_ticks", "quantity", "last_in_message")
-        .repartition(*[F.col(c) for c in span]).sortWithinPartitions(*span, "seq", "price_ticks")
-    )
-    return ordered.mapInPandas(
-        _fold_partition(depth),
-        "exchange string, symbol string, side string, epoch long, seq long, levels long, best_ticks long, quantity double",
-    )
+    return truncated(rows, chunk, depth, rounds)
 
 
 # --- checksums and validation ----------------------------------------------------------------
