@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.ratios import ratio
-from tickloom.plans.ordered import chunk_of, cumsum, drop_halo, frame_window, order_statistics, prev, scan, with_halo
+from tickloom.plans.ordered import chunk_of, cumsum, order_statistics, prev, scan
+from tickloom.plans.sliding import rows as rows_in
+from tickloom.plans.sliding import sliding, total
 from tickloom.session import ship_by_value
 
 ship_by_value(__name__)
@@ -349,8 +351,9 @@ def momentum_signal(realtime: DataFrame, k: int = 5, chunk_us: int = DAY_US) ->
 def mean_reversion_signal(realtime: DataFrame, n: int = 10, z: float = 2, chunk_us: int = DAY_US, rows_per_chunk: int = 100_000):
     """z of the change against the mean of the last n rows and the deviation of its symbol; |z| > limit."""
     rows = scan(realtime, ["symbol"], ["ts_us", "id"], chunk_of("ts_us", chunk_us), _rn=cumsum(F.lit(1)))
-    spread = with_halo(rows, "_rn", n - 1, rows_per_chunk)
-    out = drop_halo(spread.withColumn("recent_avg", F.avg("change_rate").over(frame_window(["symbol"], "_rn", n - 1))))
+    seen = F.col("change_rate")
+    out = sliding(rows, ["symbol"], "_rn", n - 1, rows_per_chunk, _t=total(seen), _n=rows_in(seen.isNotNull()))
+    out = out.withColumn("recent_avg", F.col("_t") / F.col("_n")).drop("_t", "_n")
     std = realtime.groupBy("symbol").agg(F.stddev_samp("change_rate").alias("_sd"))
     score = ratio(F.col("change_rate") - F.col("recent_avg"), F.col("_sd"))
     out = out.join(std, "symbol").withColumn("z_score", score).filter(F.abs("z_score") > z)

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.ordered import (
-    CHUNK, chunk_of, cumsum, drop_halo, following, frame_window, order_statistics, prev, scan, with_halo,
+    CHUNK, chunk_of, cumsum, following, order_statistics, prev, scan,
 )
+from tickloom.plans.sliding import rows as rows_in
+from tickloom.plans.sliding import sliding
 
 KEY = ["exchange", "symbol"]
 DAY_MS = 86_400_000
@@ -249,9 +251,7 @@ def timestamp_format_report(packets: DataFrame, samples: int = 3, chunk_ms: int
 def burst_inversions(packets: DataFrame, window_ms: int = 1000, min_count: int = 3) -> DataFrame:
     """Each inversion as burst (more than min_count of the key inside the window) or isolated."""
     hits = arrivals(packets).filter("inverted")
-    spread = with_halo(hits, "recv_ms", window_ms - 1, 4 * window_ms)
-    recent = F.count(F.lit(1)).over(frame_window(KEY, "recv_ms", window_ms - 1))
-    out = drop_halo(spread.withColumn("recent", recent))
+    out = sliding(hits, KEY, "recv_ms", window_ms - 1, 4 * window_ms, recent=rows_in())
     return out.withColumn("kind", F.when(F.col("recent") > min_count, "burst").otherwise("isolated"))
 
 
