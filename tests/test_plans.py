@@ -33,7 +33,7 @@ def test_filter_reaches_the_scan(spark, sf):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(l_quantity", text)
 
 
-@pytest.mark.parametrize("name", ["rolling_vwap", "l3_events", "inversion_stats", "trade_validation", "nbbo", "seq_gaps"])
+@pytest.mark.parametrize("name", ["rolling_vwap", "l3_events", "inversion_stats", "trade_validation", "seq_gaps"])
 def test_row_windows_carry_the_chunk(spark, sf, name):
     """Windows over rows are partitioned by key and chunk; those without a chunk run on summaries
     (their sort is by the chunk itself)."""
@@ -45,3 +45,12 @@ def test_row_windows_carry_the_chunk(spark, sf, name):
 def test_trades_window_uses_one_row_shuffle(spark, sf):
     text = plan(flow.price_momentum(view(spark, sf, "fx_trades"), 3_600_000_000, 7_200_000_000))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["nbbo", "trade_validation", "positions"])
+def test_folds_deal_rows_by_key_and_chunk(spark, sf, name):
+    """Rows are dealt by key and chunk before every pass over them; by key alone only the descriptions of chunks are."""
+    text = plan(registry()[name].build(spark, sf))
+    dealt = re.findall(r"MapInArrow _(\w+)\(|Exchange hashpartitioning\(([^)]*)\), REPARTITION_BY_COL", text)
+    by_key_alone = [keys for _, keys in dealt if keys and "_chunk" not in keys]
+    assert len(by_key_alone) <= 1 and sum("_chunk" in keys for _, keys in dealt) >= 2

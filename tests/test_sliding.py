@@ -86,8 +86,21 @@ def test_cost_does_not_grow_with_what_a_frame_holds():
     assert took[1] < 5 * took[0] + 0.05
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_totals_and_counts_equal_a_list_per_frame(spark, seed):
+    rows = rows_of(seed)
+    df, want, narrow = spark.createDataFrame(rows, SCHEMA), plain(rows, 40, 0.5), plain(rows, 7, 0.5)
+    v, seen = F.col("v"), []
+    for chunk in (40, 170, 10**6):
+        got = sl.sliding(df, ["k"], "ts", 40, chunk, t=sl.total(v), n=sl.rows(), up=sl.rows(F.col("w") > 0), near=sl.total(v, 7)).collect()
+        for r in got:
+            assert (r.t, r.n, r.up) == pytest.approx(want[r.id][:3], abs=1e-6) and r.near == pytest.approx(narrow[r.id][0], abs=1e-6), (chunk, r.id)
+        seen.append({r.id: tuple(r) for r in got})
+    assert len(seen[0]) == len(rows) and seen[0] == seen[1] == seen[2]
+
+
 def test_windows_leave_no_sliding_frame_in_the_plan(spark):
     trades = spark.createDataFrame([("x", "s", 1, 1, "buy", 1.0, 1.0)], "exchange string, symbol string, ts_us long, trade_id long, side string, price double, quantity double")
     for op in (flow.rolling_vwap(trades, 10), flow.large_trade_imbalance(trades, 10, 0.9), flow.price_momentum(trades, 5, 10)):
         plan = op._jdf.queryExecution().executedPlan().toString()
-        assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+        assert "RangeFrame, -" not in plan and plan.count("Exchange hashpartitioning") == 1

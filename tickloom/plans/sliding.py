@@ -2,7 +2,7 @@
 
 Spark evaluates a sliding range frame anew for every row. Here rows are dealt by key and time chunk with a halo of one frame
 length (`plans.ordered.with_halo`), sorted, and worked on as arrays: a frame is a stretch [start, end) of them, found by one
-binary search. Sums are differences of prefix sums, extremes come from doubling stretches, order statistics from a wavelet
+binary search (frames of totals and counts only: by a probe and a forward fill in the JVM). Sums are differences of prefix sums, extremes come from doubling stretches, order statistics from a wavelet
 matrix. Prefix sums are kept in integers (whole units, 1e-8 and 1e-16), so they are exact and a result depends on the
 rows of its frame alone, not on the chunk width. Several groups are worked on at once; one group at least is held whole,
 as large as a chunk and its halo are.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.ordered import CHUNK, HALO, with_halo
@@ -220,11 +220,62 @@ def _worker(keys: list[str], ts: str, lookback: int, width: int, measures: list[
     return run
 
 
+def _sums(df: DataFrame, keys: list[str], ts: str, lookback: int, chunk_width: int, measures: dict[str, Measure]) -> DataFrame:
+    """Totals and counts as differences of running sums, all windows on one shuffle.
+
+    Running sums in whole units and 1e-8 are exact integers. Each row also sends a probe to the instant before its frame begins; one
+    forward fill over rows and probes gives the running sums there.
+    """
+    whole, count = "long", F.lit(0).cast("long")
+    columns: dict[str, Column] = {}
+    for i, m in enumerate(measures.values()):
+        value = m.value.cast("double")
+        columns[f"_n{i}"] = F.when(value.isNotNull(), F.lit(1).cast("long")).otherwise(count)
+        if m.kind == "total":
+            finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+            floor = F.floor(value).cast(whole)
+            columns[f"_h{i}"] = F.when(finite, floor).otherwise(count)
+            columns[f"_l{i}"] = F.when(finite, F.round((value - floor) * UNIT).cast(whole)).otherwise(count)
+            columns[f"_b{i}"] = F.when(value.isNotNull() & ~finite, F.lit(1).cast("long")).otherwise(count)
+    running = Window.partitionBy(*keys, CHUNK).orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = with_halo(df.withColumns(columns), ts, lookback, chunk_width)
+    rows = rows.withColumns({c: F.sum(c).over(running) for c in columns})
+    kept = [c for c in df.columns if c not in measures]
+    widths = sorted({lookback if m.width is None else m.width for m in measures.values()})
+    filling = Window.partitionBy(*keys, CHUNK).orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = {}
+    for k, width in enumerate(widths):
+        own = F.struct(F.lit(False).alias("_probe"), F.col(ts).cast("long").alias("_at"))
+        probe = F.struct(F.lit(True).alias("_probe"), (F.col(ts).cast("long") - width - 1).alias("_at"))
+        entries = F.when(F.col(HALO), F.array(own)).otherwise(F.array(own, probe))
+        rows = rows.withColumn("_e", F.explode(entries)).select("*", "_e.*").drop("_e")
+        seen = F.last(F.when(~F.col("_probe"), F.struct(*columns)), ignorenulls=True).over(filling)
+        rows = rows.withColumn(f"_w{k}", seen).where(F.col("_probe") | F.col(HALO)).drop("_probe", "_at")
+        before[width] = f"_w{k}"
+    out = {}
+    for i, (name, m) in enumerate(measures.items()):
+        past = before[lookback if m.width is None else m.width]
+
+        def inside(c: str, past: str = past) -> Column:
+            return F.col(c) - F.coalesce(F.col(f"{past}.{c}"), count)
+
+        n = inside(f"_n{i}")
+        if m.kind == "rows":
+            out[name] = n
+        else:
+            value = inside(f"_h{i}").cast("double") + inside(f"_l{i}") / UNIT
+            out[name] = F.when(n > 0, F.when(inside(f"_b{i}") > 0, F.lit(float("nan"))).otherwise(value))
+    return rows.where(~F.col(HALO)).select(*kept, *[c.alias(n) for n, c in out.items()])
+
+
 def sliding(df: DataFrame, keys: list[str], ts: str, lookback: int, chunk_width: int, order: list[str] | None = None, **measures: Measure) -> DataFrame:
     """Rows of `df` with one column per measure over the rows of their key in [ts - width, ts], rows of the same ts included.
 
     No measure may be wider than `lookback`. `order` settles which of the rows with one ts is first. Rows without ts are left out.
+    Totals and counts alone stay in the JVM, so only the columns that are read later are read at all.
     """
+    if all(m.kind in ("total", "rows") for m in measures.values()):
+        return _sums(df, keys, ts, lookback, chunk_width, measures)
     from pyspark.sql.types import StructType
 
     sources: dict[str, str] = {}
