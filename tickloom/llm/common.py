@@ -10,6 +10,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +32,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def process_cache(name: str, make):
-    """One object per Python worker process, kept over its tasks."""
+    """One object per Python worker process, kept over its tasks. What the task before did not ask for is cleared.
+
+    Workers go from stage to stage, so without that each would hold the memories of all of them; likewise what Arrow keeps of freed buffers.
+    """
     home = sys.modules.setdefault("_tickloom_process_cache", types.ModuleType("_tickloom_process_cache"))
-    return home.__dict__.setdefault(name, None) or home.__dict__.update({name: make()}) or home.__dict__[name]
+    task = TaskContext.get()
+    now = task.taskAttemptId() if task else None
+    if "kept" not in home.__dict__:
+        home.kept, home.used, home.task = {}, set(), now
+    if home.task != now:
+        for other in home.kept.keys() - home.used:
+            home.kept[other].clear()
+        pa.default_memory_pool().release_unused()
+        home.used, home.task = set(), now
+    home.used.add(name)
+    if name not in home.kept:
+        home.kept[name] = make()
+    return home.kept[name]
 
 
 class WordKeys(dict):
     """Word (bytes) -> 64-bit key; 2^-64 is the chance that two words share one. Emptied when it grows large."""
 
-    LIMIT, LONG = 200_000, 64
+    LIMIT, LONG = 100_000, 64
 
     def __missing__(self, word: bytes) -> int:
         key = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")

@@ -77,6 +77,11 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
+    def clear(self) -> None:
+        for memory in (self.words, self.runs):
+            memory.clear()
+            memory.old = {}
+
     def run(self, run: str) -> bytes:
         named = run if run.isascii() else "".join(map(self.names.__getitem__, run.encode()))
         return packed([t.id for t in self.model.tokenize(named)])
