@@ -1,5 +1,6 @@
-"""Keyed state of the live operators. Rows of a key arrive as pandas frames per micro-batch;
-state is read once and written once per key and batch."""
+"""Keyed state of the live operators. Rows of a key arrive as short pandas frames, already in the order
+of the processor (`jobs._keyed` has Spark sort them), and go on frame by frame, so a worker never holds a key's
+micro-batch. State is read once and written once per key and batch."""
 
 from __future__ import annotations
 
@@ -13,11 +14,7 @@ from tickloom.session import ship_by_value
 
 ship_by_value(__name__)
 
-
-def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """All rows of the key in this micro-batch, sorted; a batch is bounded by the source limits."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
-
+MESSAGES = 1_024  # rows with their changed levels that wait to go out
 
 class Inversions(StatefulProcessor):
     """Running inversion counters per key; one row per key and micro-batch."""
@@ -27,17 +24,19 @@ class Inversions(StatefulProcessor):
         "last_ms long"
     )
     state = "last_ms long, packets long, inversions long, max_ms long, sum_ms long"
+    order = ("recv_ms", "event_id")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", self.state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, n, inv, top, total = self.seen.get() if self.seen.exists() else (None, 0, 0, 0, 0)
-        for ms in in_order(rows, ["recv_ms", "event_id"])["exchange_ms"].tolist():
-            n += 1
-            if last is not None and ms < last:
-                inv, top, total = inv + 1, max(top, last - ms), total + last - ms
-            last = ms
+        for frame in rows:
+            for ms in frame["exchange_ms"].tolist():
+                n += 1
+                if last is not None and ms < last:
+                    inv, top, total = inv + 1, max(top, last - ms), total + last - ms
+                last = ms
         self.seen.update((last, n, inv, top, total))
         yield pd.DataFrame([(*key, n, inv, top, total, last)], columns=[c.split()[0] for c in self.schema.split(", ")])
 
@@ -62,7 +61,7 @@ class BookBuilder(StatefulProcessor):
     kinds = {c: "Int64" for c in ("seq", "attempt", "best_bid_ticks", "best_ask_ticks", "levels", "replayed")}
 
     def __init__(self, machine: Builder, order: tuple[str, ...] = ("pos",), max_buffer: int = 10_000, timers: bool = False):
-        self.machine, self.order, self.max_buffer, self.timers = machine, ["seq", *order], max_buffer, timers
+        self.machine, self.order, self.max_buffer, self.timers = machine, ("seq", *order), max_buffer, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -82,10 +81,7 @@ class BookBuilder(StatefulProcessor):
         state, buffered = self._loaded()
         held = {tuple(k): v[0] for k, v in self.levels.iterator()}
         before, out = dict(held), []
-        frame = in_order(rows, self.order)
-        for seq, message in frame.groupby("seq", sort=True):
-            row = self._row(message)
-            entries = list(zip(message["side"], message["price_ticks"].tolist(), message["quantity"].tolist()))
+        for seq, row, entries in self._messages(rows):
             met = self.machine.wait(State("buffering", "initial", 0, row.ts, row.ts) if state is None else state, row.ts)
             state, replayed, changed = self.machine.after(met, row), 0, {}
             if row.snapshot:
@@ -102,6 +98,9 @@ class BookBuilder(StatefulProcessor):
             elif state.applied > met.applied:
                 self._apply(held, changed, entries)
             out.append(self._said(key, int(seq), state, held, replayed, changed))
+            if len(out) >= MESSAGES:
+                yield pd.DataFrame(out, columns=self.names).astype(self.kinds)
+                out = []
         for level in before.keys() - held.keys():
             self.levels.removeKey(level)
         for level, quantity in held.items():
@@ -112,6 +111,22 @@ class BookBuilder(StatefulProcessor):
             self._wake(state)
         yield pd.DataFrame(out, columns=self.names).astype(self.kinds)
 
+    def _messages(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Row, list[tuple]]]:
+        """seq, row and entries of each message, of which a level's last entry counts; a message may span frames."""
+        seq, row, levels = None, None, {}
+        for frame in rows:
+            for at, part in frame.groupby("seq", sort=False):
+                more = self._row(part)
+                if row is None or at != seq:
+                    if row is not None:
+                        yield seq, row, [(*level, q) for level, q in levels.items()]
+                    seq, row, levels = at, more, {}
+                else:
+                    row = row._replace(ts=max(row.ts, more.ts), snapshot=row.snapshot or more.snapshot)
+                levels.update(zip(zip(part["side"], part["price_ticks"].tolist()), part["quantity"].tolist()))
+        if row is not None:
+            yield seq, row, [(*level, q) for level, q in levels.items()]
+
     def _row(self, message: pd.DataFrame) -> Row:
         def one(name, default=None):
             return message[name].iloc[0] if name in message.columns and not pd.isna(message[name].iloc[0]) else default
@@ -186,6 +201,7 @@ class Nbbo(StatefulProcessor):
         "symbol string, ts_us long, seq long, num_exchanges long, num_checked long, best_bid double, bid_qty double, "
         "bid_exchange string, best_ask double, ask_qty double, ask_exchange string"
     )
+    order = ("ts_us", "seq")
 
     def __init__(self, max_stale_ms: int, ttl_ms: int | None = None):
         self.max_stale_ms, self.ttl_ms = max_stale_ms, ttl_ms
@@ -196,22 +212,23 @@ class Nbbo(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         tops = {k[0]: tuple(v) for k, v in self.tops.iterator()}
-        changed, out = set(), []
-        frame = in_order(rows, ["ts_us", "seq"])
-        for ex, ts, seq, bid, bq, ask, aq in zip(
-            frame["exchange"], frame["ts_us"].tolist(), frame["seq"].tolist(), frame["best_bid"].tolist(),
-            frame["bid_qty"].tolist(), frame["best_ask"].tolist(), frame["ask_qty"].tolist(),
-        ):
-            tops[ex] = (bid, bq, ask, aq, ts)
-            changed.add(ex)
-            fresh = [(x, t) for x, t in tops.items() if (ts - t[4]) // 1000 <= self.max_stale_ms]
-            bx, b = min(fresh, key=lambda e: (-e[1][0], e[0]))
-            ax, a = min(fresh, key=lambda e: (e[1][2], e[0]))
-            if b[0] > 0:
-                out.append((key[0], ts, seq, len(fresh), len(tops), b[0], b[1], bx, a[2], a[3], ax))
+        changed = set()
+        for frame in rows:
+            out = []
+            for ex, ts, seq, bid, bq, ask, aq in zip(
+                frame["exchange"], frame["ts_us"].tolist(), frame["seq"].tolist(), frame["best_bid"].tolist(),
+                frame["bid_qty"].tolist(), frame["best_ask"].tolist(), frame["ask_qty"].tolist(),
+            ):
+                tops[ex] = (bid, bq, ask, aq, ts)
+                changed.add(ex)
+                fresh = [(x, t) for x, t in tops.items() if (ts - t[4]) // 1000 <= self.max_stale_ms]
+                bx, b = min(fresh, key=lambda e: (-e[1][0], e[0]))
+                ax, a = min(fresh, key=lambda e: (e[1][2], e[0]))
+                if b[0] > 0:
+                    out.append((key[0], ts, seq, len(fresh), len(tops), b[0], b[1], bx, a[2], a[3], ax))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.schema.split(", ")])
         for ex in changed:
             self.tops.updateValue((ex,), tops[ex])
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.schema.split(", ")])
 
     def close(self) -> None:
         pass
@@ -223,26 +240,26 @@ class Positions(StatefulProcessor):
     schema = "exchange string, symbol string, quantity double, avg_price double, realised_pnl double, fills long"
 
     def __init__(self, order: list[str]):
-        self.order = order
+        self.order = tuple(order)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.position = handle.getValueState("position", "quantity double, avg double, realised double, fills long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         q, avg, realised, n = self.position.get() if self.position.exists() else (0.0, 0.0, 0.0, 0)
-        frame = in_order(rows, self.order)
-        for side, quantity, price in zip(frame["side"], frame["quantity"].tolist(), frame["price"].tolist()):
-            dq = quantity if side == "buy" else -quantity
-            if q * dq < 0:
-                realised += min(abs(dq), abs(q)) * (price - avg) * (1 if q > 0 else -1)
-            after = q + dq
-            if after == 0:
-                avg = 0.0
-            elif q * after <= 0:
-                avg = price
-            elif abs(after) > abs(q):
-                avg = (avg * abs(q) + price * abs(dq)) / abs(after)
-            q, n = after, n + 1
+        for frame in rows:
+            for side, quantity, price in zip(frame["side"], frame["quantity"].tolist(), frame["price"].tolist()):
+                dq = quantity if side == "buy" else -quantity
+                if q * dq < 0:
+                    realised += min(abs(dq), abs(q)) * (price - avg) * (1 if q > 0 else -1)
+                after = q + dq
+                if after == 0:
+                    avg = 0.0
+                elif q * after <= 0:
+                    avg = price
+                elif abs(after) > abs(q):
+                    avg = (avg * abs(q) + price * abs(dq)) / abs(after)
+                q, n = after, n + 1
         self.position.update((q, avg, realised, n))
         yield pd.DataFrame([(*key, q, avg, realised, n)], columns=[c.split()[0] for c in self.schema.split(", ")])
 
@@ -254,6 +271,7 @@ class BookSides(StatefulProcessor):
     """Bids and asks arriving as separate rows; a book goes out when an `is_last` row finds both."""
 
     schema = "exchange string, symbol string, seq long, bids array<long>, asks array<long>"
+    order = ("seq",)
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -263,19 +281,19 @@ class BookSides(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = {s: (v.get()[0] if v.exists() else None) for s, v in self.sides.items()}
-        out = []
-        frame = in_order(rows, ["seq"])
-        for seq, side, last, levels in zip(frame["seq"].tolist(), frame["side"], frame["is_last"], frame["levels"]):
-            held[side] = list(levels)
-            if last and held["bid"] is not None and held["ask"] is not None:
-                out.append((*key, seq, held["bid"], held["ask"]))
-                held = {"bid": None, "ask": None}
+        for frame in rows:
+            out = []
+            for seq, side, last, levels in zip(frame["seq"].tolist(), frame["side"], frame["is_last"], frame["levels"]):
+                held[side] = list(levels)
+                if last and held["bid"] is not None and held["ask"] is not None:
+                    out.append((*key, seq, held["bid"], held["ask"]))
+                    held = {"bid": None, "ask": None}
+            yield pd.DataFrame(out, columns=["exchange", "symbol", "seq", "bids", "asks"])
         for side, value in self.sides.items():
             if held[side] is None:
                 value.clear()
             else:
                 value.update(([int(x) for x in held[side]],))
-        yield pd.DataFrame(out, columns=["exchange", "symbol", "seq", "bids", "asks"])
 
     def close(self) -> None:
         pass
@@ -285,6 +303,7 @@ class Reorder(StatefulProcessor):
     """Packets of one flush window, held until it is over and sent out in source-time order."""
 
     schema = "exchange string, symbol string, flush long, event_id long, arrival_pos long, emit_pos long"
+    order = ()
 
     def __init__(self, window_ms: int):
         self.window_ms = window_ms
@@ -294,8 +313,8 @@ class Reorder(StatefulProcessor):
         self.held = handle.getListState("held", "event_id long, recv_ms long, exchange_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        self.held.appendList([tuple(map(int, r)) for r in frame[["event_id", "recv_ms", "exchange_ms"]].itertuples(index=False)])
+        for frame in rows:
+            self.held.appendList([tuple(map(int, r)) for r in frame[["event_id", "recv_ms", "exchange_ms"]].itertuples(index=False)])
         self.handle.registerTimer((int(key[2]) + 1) * self.window_ms)
         yield from ()
 
