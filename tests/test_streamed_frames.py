@@ -46,3 +46,40 @@ def test_nbbo_answers_each_frame_before_the_next_is_read(spark):
     first = next(out)
     assert taken == [0] and first["best_bid"].tolist() == [1.0, 2.0]
     assert [f["best_bid"].tolist() for f in out] == [[3.0, 4.0], [5.0, 6.0]] and set(one.tops.map) == {("a",), ("b",)}
+
+
+def test_positions_take_frames_one_at_a_time(spark):
+    fills = pd.DataFrame({"side": ["buy", "buy", "sell", "sell"], "quantity": [1.0, 3.0, 2.0, 4.0], "price": [10.0, 14.0, 15.0, 12.0]})
+    one = p.Positions(["ts_us"])
+    one.position, sizes = Value(), []
+
+    class Short(list):
+        def __iter__(self):
+            for frame in (fills[:1], fills[1:3], fills[3:]):
+                sizes.append(one.position.held is None)
+                yield frame.reset_index(drop=True)
+
+    (row,) = list(one.handleInputRows(("x", "s"), iter(Short()), None))
+    assert one.order == ("ts_us",) and sizes == [True] * 3
+    assert row.iloc[0].tolist() == ["x", "s", -2.0, 12.0, 2 * (15 - 13) + 2 * (12 - 13), 4]
+
+
+def test_the_batch_is_sorted_by_spark(spark, tmp_path):
+    """Arrow batches of two rows and files in the wrong order: only a sort of the whole micro-batch gives the right average."""
+    from tickloom.streaming import jobs
+
+    rows = [("x", "s", i, "buy" if i % 3 else "sell", float(i % 5 + 1), 100.0 + i) for i in range(20)]
+    names = "exchange string, symbol string, ts_us long, side string, quantity double, price double"
+    spark.createDataFrame(rows[::-1], names).repartition(3).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        stream = spark.readStream.schema(names).parquet(str(tmp_path / "in"))
+        (got,) = jobs.run_available_now(spark, jobs.stream_positions(stream, ["ts_us"]), "p").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    one = p.Positions(["ts_us"])
+    one.position = Value()
+    (want,) = list(one.handleInputRows(("x", "s"), iter([pd.DataFrame(rows, columns=[c.split()[0] for c in names.split(", ")])]), None))
+    assert list(got) == want.iloc[0].tolist()
+    assert spark.conf.get("spark.sql.streaming.unsupportedOperationCheck", "true") == "true"
