@@ -83,3 +83,17 @@ def test_the_batch_is_sorted_by_spark(spark, tmp_path):
     (want,) = list(one.handleInputRows(("x", "s"), iter([pd.DataFrame(rows, columns=[c.split()[0] for c in names.split(", ")])]), None))
     assert list(got) == want.iloc[0].tolist()
     assert spark.conf.get("spark.sql.streaming.unsupportedOperationCheck", "true") == "true"
+
+
+def test_a_message_may_span_frames(spark):
+    from tickloom.operators.builder import machine
+
+    rows = pd.DataFrame({
+        "seq": [1, 1, 1, 2, 2], "ts_us": [5, 9, 7, 10, 10], "is_snapshot": [False, False, True, False, False], "side": ["bid", "bid", "bid", "ask", "ask"],
+        "price_ticks": [1, 2, 1, 8, 8], "quantity": [1.0, 2.0, 3.0, 4.0, 0.0]})
+    builder, taken = p.BookBuilder(machine(30, 5, 100, 5)), []
+    got = builder._messages(fed([rows[:2], rows[2:4], rows[4:]], taken))
+    seq, row, entries = next(got)
+    assert taken == [0, 1] and (seq, row.ts, row.snapshot, entries) == (1, 9, True, [("bid", 1, 3.0), ("bid", 2, 2.0)])
+    ((seq, row, entries),) = got
+    assert (seq, row.ts, row.snapshot, entries) == (2, 10, False, [("ask", 8, 0.0)]) and builder.order == ("seq", "pos")
