@@ -97,3 +97,13 @@ def test_a_message_may_span_frames(spark):
     assert taken == [0, 1] and (seq, row.ts, row.snapshot, entries) == (1, 9, True, [("bid", 1, 3.0), ("bid", 2, 2.0)])
     ((seq, row, entries),) = got
     assert (seq, row.ts, row.snapshot, entries) == (2, 10, False, [("ask", 8, 0.0)]) and builder.order == ("seq", "pos")
+
+
+def test_sides_meet_over_frames(spark):
+    rows = pd.DataFrame({"seq": [1, 2, 3], "side": ["bid", "ask", "bid"], "is_last": [True, True, True], "levels": [[1], [2], [3]]})
+    one, taken = p.BookSides(), []
+    one.sides = {"bid": Value(), "ask": Value()}
+    out = one.handleInputRows(("x", "s"), fed([rows[i : i + 1] for i in range(3)], taken), None)
+    assert next(out).empty and taken == [0]
+    assert [f[["seq", "bids", "asks"]].values.tolist() for f in out] == [[[2, [1], [2]]], []]
+    assert one.sides["bid"].held == ([3],) and one.sides["ask"].held is None
