@@ -104,3 +104,33 @@ def test_windows_leave_no_sliding_frame_in_the_plan(spark):
     for op in (flow.rolling_vwap(trades, 10), flow.large_trade_imbalance(trades, 10, 0.9), flow.price_momentum(trades, 5, 10)):
         plan = op._jdf.queryExecution().executedPlan().toString()
         assert "RangeFrame, -" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_group_is_not_held_whole(monkeypatch):
+    """One key and chunk in many batches: frames go out as soon as time has passed them, and are those of the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tickloom.plans import sliding as sl
+
+    n, rng = 4 * sl.BLOCK, np.random.default_rng(3)
+    t = np.sort(rng.integers(0, 100_000, n))
+    rows = pa.record_batch({
+        "k": pa.array([None] * n, pa.string()), sl.CHUNK: pa.array(np.zeros(n, np.int64)), "t": pa.array(t), sl.HALO: pa.array(t < 500),
+        "v": pa.array(rng.integers(0, 1000, n).astype(float), mask=rng.random(n) < 0.1)})
+    kinds = [("a", sl.Measure("total", None), "v"), ("b", sl.Measure("least", None, 200), "v"), ("c", sl.Measure("earliest", None), "v"), ("d", sl.Measure("rows", None), "v")]
+    run = sl._worker(["k"], "t", 700, 100_000, kinds, ["t"])
+    read = []
+
+    def batches():
+        for i in range(0, n, 5_000):
+            read.append(i)
+            yield rows.slice(i, 5_000)
+
+    parts = run(batches())
+    first = next(parts)
+    assert len(read) * 5_000 < n / 2 and first.num_rows
+    got = pa.Table.from_batches([first, *parts])
+    monkeypatch.setattr(sl, "BLOCK", 1 << 40)
+    (whole,) = run(iter([rows]))
+    assert got.combine_chunks().equals(pa.Table.from_batches([whole]))

@@ -4,8 +4,8 @@ Spark evaluates a sliding range frame anew for every row. Here rows are dealt by
 length (`plans.ordered.with_halo`), sorted, and worked on as arrays: a frame is a stretch [start, end) of them, found by one
 binary search (frames of totals and counts only: by a probe and a forward fill in the JVM). Sums are differences of prefix sums, extremes come from doubling stretches, order statistics from a wavelet
 matrix. Prefix sums are kept in integers (whole units, 1e-8 and 1e-16), so they are exact and a result depends on the
-rows of its frame alone, not on the chunk width. Several groups are worked on at once; one group at least is held whole,
-as large as a chunk and its halo are.
+rows of its frame alone, not on the chunk width. Several groups are worked on at once; of a large one as many rows are held as
+twice its fullest frame has, `BLOCK` at least.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from tickloom.plans.ordered import CHUNK, HALO, with_halo
 from tickloom.session import ship_by_value
 
 UNIT = 1e8
+BLOCK = 1 << 16
 SPREAD_UNIT = 1e12
 _TYPES = {"total": "double", "rows": "long", "least": "double", "greatest": "double", "earliest": "double", "spread": "double", "upper": "double"}
 
@@ -165,17 +167,32 @@ def measured(m: Measure, values: np.ndarray, missing: np.ndarray, start: np.ndar
 def _worker(keys: list[str], ts: str, lookback: int, width: int, measures: list[tuple[str, Measure, str]], kept: list[str]):
     span = width + 2 * lookback + 1
 
-    def groups(batch: pa.RecordBatch) -> np.ndarray:
+    def opening(batch: pa.RecordBatch) -> np.ndarray:
         """Whether each row opens a group; the first one does."""
-        slots = list(zip(*[batch.column(k).to_pylist() for k in [*keys, CHUNK]]))
-        return np.fromiter((i == 0 or slots[i] != slots[i - 1] for i in range(len(slots))), bool, len(slots))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        group = np.cumsum(groups(batch)) - 1
-        t = batch.column(ts).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = batch.num_rows
+        out = np.zeros(n, bool)
+        out[0] = True
+        for name in [*keys, CHUNK]:
+            a, b = batch.column(name).slice(1), batch.column(name).slice(0, n - 1)
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+            out[1:] |= ~same.to_numpy(zero_copy_only=False)
+        return out
+
+    def times(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(ts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def work(batch: pa.RecordBatch, done: int | None = None, until: int | None = None) -> pa.RecordBatch:
+        """The rows of the batch that are not halo, those of its first group from after `done`, all before `until`."""
+        group = np.cumsum(opening(batch)) - 1
+        t = times(batch)
         chunk = batch.column(CHUNK).to_numpy(zero_copy_only=False).astype(np.int64)
         place = group * span + (t - chunk * width + lookback)
-        own = np.flatnonzero(~batch.column(HALO).to_numpy(zero_copy_only=False).astype(bool))
+        wanted = ~batch.column(HALO).to_numpy(zero_copy_only=False).astype(bool)
+        if done is not None:
+            wanted &= (group > 0) | (t > done)
+        if until is not None:
+            wanted &= t < until
+        own = np.flatnonzero(wanted)
         end = np.searchsorted(place, place[own], "right")
         starts: dict[int, np.ndarray] = {}
         inputs: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -198,24 +215,35 @@ def _worker(keys: list[str], ts: str, lookback: int, width: int, measures: list[
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        held: list[pa.RecordBatch] = []  # of one group: what is not done, and what its frames reach back to
+        last, done, size, most = None, None, 0, BLOCK
         for batch in batches:
             if not batch.num_rows:
                 continue
-            opens = groups(batch)
+            opens = opening(batch)
             first = tuple(batch.column(k)[0].as_py() for k in [*keys, CHUNK])
             opens[0] = first != last
             last = tuple(batch.column(k)[-1].as_py() for k in [*keys, CHUNK])
             at = np.flatnonzero(opens)
             if len(at) and (held or at[-1]):
                 cut = int(at[-1])
-                yield work(joined([*held, batch.slice(0, cut)] if cut else held))
-                held = [batch.slice(cut)]
+                # a group that was begun is the first of what is held
+                yield work(joined([*held, batch.slice(0, cut)] if cut else held), done)
+                held, done, most = [batch.slice(cut)], None, BLOCK
+                size = batch.num_rows - cut
             else:
                 held.append(batch)
+                size += batch.num_rows
+            if size >= most:
+                block = joined(held)
+                t = times(block)
+                yield work(block, done, int(t[-1]))
+                rest = int(np.searchsorted(t, t[-1] - lookback, "left"))
+                # copied, so that the rows before it are let go
+                held, done, size = [block.take(pa.array(np.arange(rest, len(t))))], int(t[-1]) - 1, len(t) - rest
+                most = max(BLOCK, 2 * size)
         if held:
-            yield work(joined(held))
+            yield work(joined(held), done)
 
     return run
 
