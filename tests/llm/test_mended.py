@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 
+from tickloom.llm import lm_scoring
 from tickloom.llm.html_extract import blocks, dense, extract, train
 from tickloom.llm.language_id import language_id, learn, plain
 
@@ -101,3 +103,23 @@ def test_decontamination_goes_by_row(spark, sf):
     rows = [(None, item, "en", "s", 1), (None, clean, "en", "s", 1), (4, item, "en", "s", 1), (4, clean, "en", "s", 1), (5, None, "en", "s", 1)]
     out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, COLUMNS), sf)
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, clean), (4, clean), (5, None)], key=str)
+
+
+def test_lm_learns_from_every_window(spark):
+    """A window in the middle of a long text counts, in any group, however the rows are partitioned."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, 24 * 40).astype(np.uint8) for _ in range(24)]
+    first = lm_scoring.first_weights(np.bincount(np.concatenate(texts), minlength=10))
+
+    def trained(parts, change=None):
+        rows = [(i * 0x1F3D5B79AB1357 % 2**62, x.copy()) for i, x in enumerate(texts)]
+        if change is not None:
+            rows[change][1][24 * 20 : 24 * 20 + 8] = 9
+        df = spark.createDataFrame([(d, x.tobytes()) for d, x in rows], "deal long, symbols binary").repartition(parts)
+        w = lm_scoring.train(df, first, 3_000, group=1_000)
+        return np.concatenate([x.reshape(-1) for x in w.values()])
+
+    whole = trained(1)
+    assert np.isfinite(whole).all() and (whole == trained(5)).all()
+    for change in (0, 11, 23):
+        assert (whole != trained(2, change)).any()
