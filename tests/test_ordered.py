@@ -136,3 +136,11 @@ def test_scan_takes_any_column_and_key_type(spark):
     df = spark.createDataFrame([(1.5, 1, {"a": 1}), (1.5, 700, {"b": 2}), (None, 3, None)], "k double, ts int, m map<string,int>")
     got = od.scan(df, ["k"], ["ts"], F.floor(F.col("ts") / 10).cast("int"), n=od.cumsum(F.lit(1)), last=od.prev(F.col("m")))
     assert sorted((r.ts, r.n, r.last) for r in got.collect()) == [(1, 1, None), (3, 1, None), (700, 2, {"a": 1})]
+
+
+def test_a_scan_read_in_part_deals_its_rows_once(spark):
+    df = spark.createDataFrame([("k", i, float(i), "wide") for i in range(40)], "k string, t long, v double, other string")
+    out = od.scan(df, ["k"], ["t"], od.chunk_of("t", 10), s=od.cumsum(F.col("v"))).agg(F.min("s").alias("low"))
+    assert out.first().low == 0
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("ExistingRDD") == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from itertools import groupby
 
-from tickloom.plans.streamfold import Fold
+from tickloom.plans.streamfold import Description, Fold
 from tickloom.session import ship_by_value
 
 #: Room for rounding at the edges of an interval: what lies that close is decided by the check itself.
@@ -50,7 +50,7 @@ class LastAccepted(Fold):
         return state, (True, state)
 
 
-class _Resets:
+class _Resets(Description):
     def __init__(self, fold: LastAccepted):
         self.fold = fold
         self.rows: list[float] = []

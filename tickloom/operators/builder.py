@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.plans.ordered import CHUNK, chunk_of, cumsum, ffill, prev, scan
-from tickloom.plans.streamfold import Fold, streamed_fold
+from tickloom.plans.streamfold import Description, Fold, streamed_fold
 from tickloom.session import ship_by_value
 
 KEY = ["exchange", "symbol"]
@@ -161,7 +161,7 @@ class Builder(Fold):
         return s if ts is None else self.wait(s, ts)
 
 
-class _Chunk:
+class _Chunk(Description):
     """Rows before the first snapshot as a few facts, the path from it on as the state at its end."""
 
     def __init__(self, fold: Builder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.streamfold import Fold, streamed_fold
+from tickloom.plans.streamfold import Description, Fold, streamed_fold
 from tickloom.session import ship_by_value
 
 _BOTH = 3  # state of a half-collected book: bit 0 bids held, bit 1 asks held
@@ -31,7 +31,7 @@ class CompleteBooks(Fold):
         return ends[state]
 
 
-class _Ends:
+class _Ends(Description):
     def __init__(self, fold: CompleteBooks):
         self.fold, self.ends = fold, [0, 1, 2, _BOTH]
 
@@ -52,14 +52,12 @@ BITS = 100
 ONE = 1 << BITS
 
 
-def fixed(price: float) -> int:
-    """A price in units of 2^-100, exact down to that."""
-    return int(price * float(ONE))
+SHOWN = float(1 << 72)
 
 
-def shown(value: int, scale: int) -> float:
-    """value / scale as a double, first rounded to 2^-72: what the order of composing left beyond that is no difference."""
-    return ((value << 73) // scale + 1 >> 1) / float(1 << 72)
+def shown(value: int, units: int) -> float:
+    """value / (units ONE) as a double, first rounded to 2^-72: what the order of composing left beyond that is no difference."""
+    return ((value >> BITS - 73) // units + 1 >> 1) / SHOWN
 
 
 class AverageCost(Fold):
@@ -75,31 +73,44 @@ class AverageCost(Fold):
     outputs = "avg_before double, avg_after double, closed_units long, realised double, realised_total double"
 
     def __init__(self, units: int):
-        self.scale = ONE * units
-
-    def effect(self, before: int, after: int, price: int) -> tuple[int, int, int]:
-        """(a, b, closed): the average becomes a x average + b, closed units (signed as the position) realise profit."""
-        old, new = abs(before), abs(after)
-        if before * after > 0 and new > old:
-            return (old << BITS) // new, price * (new - old) // new, 0
-        closed = (old - new if before * after > 0 else old) * (1 if before > 0 else -1)
-        if before * after > 0:
-            return ONE, 0, closed
-        return 0, price if after else 0, closed
-
-    def step(self, state: tuple[int, int], before: int | None, after: int | None, price: float | None) -> tuple[tuple[int, int], tuple]:
+        self.units = units
+
+    def step(self, state: tuple[int, int], *values) -> tuple[tuple[int, int], tuple]:
+        state, columns = self.steps(state, *[[v] for v in values])
+        return state, tuple(c[0] for c in columns)
+
+    def steps(self, state: tuple[int, int], befores: list, afters: list, prices: list) -> tuple[tuple[int, int], list[list]]:
+        # one flat loop: this runs once for every fill
         average, total = state
-        if before is None or after is None or price is None:
-            same = shown(average, ONE)
-            return state, (same, same, 0, 0.0, shown(total, self.scale))
-        at = fixed(price)
-        a, b, closed = self.effect(before, after, at)
-        gain = closed * (at - average)
-        now = (a * average >> BITS) + b
-        return (now, total + gain), (shown(average, ONE), shown(now, ONE), abs(closed), shown(gain, self.scale), shown(total + gain, self.scale))
+        mean, profit = shown(average, 1), shown(total, self.units)
+        found = means_before, means_after, closed_units, gains, totals = [], [], [], [], []
+        units, one = self.units, float(ONE)
+        for before, after, price in zip(befores, afters, prices):
+            means_before.append(mean)
+            closed, gain = 0, 0.0
+            if before is not None and after is not None and price is not None:
+                at = int(price * one)
+                was, old, new = average, abs(before), abs(after)
+                if before * after <= 0:
+                    closed, average = before, at if after else 0
+                elif new > old:
+                    average = ((old << BITS) // new * average >> BITS) + at * (new - old) // new
+                else:
+                    closed = before - after
+                if closed:
+                    more = closed * (at - was)
+                    total += more
+                    gain, profit = shown(more, units), shown(total, units)
+                if average != was:
+                    mean = ((average >> BITS - 73) + 1 >> 1) / SHOWN
+            means_after.append(mean)
+            closed_units.append(abs(closed))
+            gains.append(gain)
+            totals.append(profit)
+        return (average, total), list(found)
 
     def describe(self) -> _Linear:
-        return _Linear(self)
+        return _Linear()
 
     def advance(self, state: tuple[int, int], description: tuple[int, int, int, int]) -> tuple[int, int]:
         average, total = state
@@ -107,19 +118,30 @@ class AverageCost(Fold):
         return (a * average >> BITS) + b, total + (gain_a * average >> BITS) + gain_b
 
 
-class _Linear:
-    def __init__(self, fold: AverageCost):
-        self.fold = fold
+class _Linear(Description):
+    """The average becomes a x average + b, and the profit grows by gain_a x average + gain_b."""
+
+    def __init__(self):
         self.a, self.b, self.gain_a, self.gain_b = ONE, 0, 0, 0
 
-    def add(self, before: int | None, after: int | None, price: float | None) -> None:
-        if before is None or after is None or price is None:
-            return
-        at = fixed(price)
-        a, b, closed = self.fold.effect(before, after, at)
-        self.gain_a -= closed * self.a
-        self.gain_b += closed * (at - self.b)
-        self.a, self.b = a * self.a >> BITS, (a * self.b >> BITS) + b
+    def extend(self, befores: list, afters: list, prices: list) -> None:
+        a, b, gain_a, gain_b, one = self.a, self.b, self.gain_a, self.gain_b, float(ONE)
+        for before, after, price in zip(befores, afters, prices):
+            if before is None or after is None or price is None:
+                continue
+            at = int(price * one)
+            old, new = abs(before), abs(after)
+            if before * after <= 0:
+                gain_a -= before * a
+                gain_b += before * (at - b)
+                a, b = 0, at if after else 0
+            elif new > old:
+                kept = (old << BITS) // new
+                a, b = kept * a >> BITS, (kept * b >> BITS) + at * (new - old) // new
+            else:
+                gain_a -= (before - after) * a
+                gain_b += (before - after) * (at - b)
+        self.a, self.b, self.gain_a, self.gain_b = a, b, gain_a, gain_b
 
     def result(self) -> tuple[int, int, int, int]:
         return self.a, self.b, self.gain_a, self.gain_b

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.ratios import ratio
 from tickloom.plans.ordered import chunk_of
-from tickloom.plans.streamfold import Fold, streamed_fold
+from tickloom.plans.streamfold import Description, Fold, streamed_fold
 from tickloom.session import ship_by_value
 
 ship_by_value(__name__)
@@ -148,7 +148,7 @@ class BestPrices(Fold):
         return state, (len(state), len(fresh), None if bid is None else -bid, bid_qty, bid_venue, ask, ask_qty, ask_venue)
 
 
-class _LastQuotes:
+class _LastQuotes(Description):
     def __init__(self):
         self.last: dict = {}
 

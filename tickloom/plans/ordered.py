@@ -168,13 +168,13 @@ def scan(
                 )
             else:
                 final[name] = (F.greatest if run.kind == "max" else F.least)(near, far)
-    # The hash reads every column, so column pruning leaves both readers the same shuffle and Spark
-    # runs it (and all that feeds it) once. The condition itself always holds.
-    whole = F.max(F.hash(*_readable(base)))
-    summary = base.groupBy(*names).agg(*totals, whole.alias("_all")).filter(F.col("_all") >= F.lit(-(2**31)))
+    # The hash reads every column on both sides, so whatever is read later column pruning leaves both readers the same
+    # shuffle and Spark runs it (and all that feeds it) once. The conditions themselves always hold.
+    whole, floor = F.hash(*_readable(base)), F.lit(-(2**31))
+    summary = base.groupBy(*names).agg(*totals, F.max(whole).alias("_all")).filter(F.col("_all") >= floor)
     summary = summary.select(*names, *carried)
     kept = [c for c in df.columns if c not in runs and c != CHUNK] + ([CHUNK] if keep_chunk else [])
-    joined = base.withColumns(local).join(summary, names, "left")
+    joined = base.withColumns(local).filter(whole >= floor).join(summary, names, "left")
     return joined.select(*kept, *[final[n].alias(n) for n in runs])
 
 

@@ -16,7 +16,9 @@ import pickle
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ class Fold:
     start: Any = None
     outputs: str = ""
 
-    def describe(self) -> Any:
-        """A new description: an object with `add(*values)`, called for the rows in order, and `result()`."""
+    def describe(self) -> Description:
+        """A new `Description`, which takes the rows in order."""
         raise NotImplementedError
 
     def advance(self, state: Any, description: Any) -> Any:
@@ -42,21 +44,66 @@ class Fold:
         """The state after a row, and the row's values of `outputs`."""
         raise NotImplementedError
 
+    def steps(self, state: Any, *columns: list) -> tuple[Any, list[list]]:
+        """The state after some rows, given as columns, and the columns of `outputs`."""
+        found = [[] for _ in self.outputs.split(",")]
+        for values in zip(*columns):
+            state, out = self.step(state, *values)
+            for column, value in zip(found, out):
+                column.append(value)
+        return state, found
+
+
+class Description:
+    """What a chunk does to an unknown entry state."""
+
+    def add(self, *values) -> None:
+        raise NotImplementedError
+
+    def extend(self, *columns: list) -> None:
+        for values in zip(*columns):
+            self.add(*values)
+
+    def result(self) -> Any:
+        raise NotImplementedError
+
 
 _ENTRY, _TAG = "_entry", "_tag"
 
 
+def listed(column: pa.Array) -> list:
+    """Its Python values; by way of numpy where that gives the same ones faster."""
+    kind = column.type
+    if column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def stretches(columns: list[pa.Array]) -> list[tuple[int, int]]:
+    """[start, end) of the rows that agree with the row before them in every column, NULL agreeing with NULL."""
+    n = len(columns[0])
+    opens = np.zeros(n, bool)
+    opens[:1] = True
+    for column in columns:
+        a, b = column.slice(1), column.slice(0, max(n - 1, 0))
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+        opens[1:] |= ~same.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(opens).tolist()
+    return list(zip(starts, [*starts[1:], n]))
+
+
 def _describer(fold: Fold, slots: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, description, out = None, None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for slot, values in zip(zip(*columns[:slots]), zip(*columns[slots:])):
+            columns = [listed(c) for c in batch.columns[slots:]]
+            for start, end in stretches(batch.columns[:slots]) if batch.num_rows else ():
+                slot = tuple(c[start].as_py() for c in batch.columns[:slots])
                 if slot != here:
                     if here is not None:
                         out.append((*here, pickle.dumps(description.result())))
                     here, description = slot, fold.describe()
-                description.add(*values)
+                description.extend(*[c[start:end] for c in columns])
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -89,16 +136,20 @@ def _walker(fold: Fold, inputs: list[str], kept: list[str], types: list[pa.DataT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = fold.start
         for batch in batches:
-            found: list[tuple] = []
-            rows = zip(batch.column(_ENTRY).to_pylist(), *[batch.column(c).to_pylist() for c in inputs])
-            for entry, *values in rows:
-                if entry is not None:
-                    state = pickle.loads(entry)
-                else:
-                    state, out = fold.step(state, *values)
-                    found.append(out)
-            whole = batch.filter(batch.column(_ENTRY).is_null())
-            more = [pa.array(c, t) for c, t in zip(zip(*found), types)] if found else [pa.array([], t) for t in types]
+            entry = batch.column(_ENTRY)
+            columns = [listed(batch.column(c)) for c in inputs]
+            found: list[list] = [[] for _ in names]
+            at = 0
+            for mark in [*np.flatnonzero(entry.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
+                if mark > at:
+                    state, more = fold.steps(state, *[c[at:mark] for c in columns])
+                    for column, values in zip(found, more):
+                        column += values
+                if mark < batch.num_rows:
+                    state = pickle.loads(entry[mark].as_py())
+                at = mark + 1
+            whole = batch.filter(entry.is_null())
+            more = [pa.array(c, t) for c, t in zip(found, types)]
             yield pa.record_batch([*[whole.column(c) for c in kept], *more], names=[*kept, *names])
 
     return run
