@@ -75,3 +75,20 @@ def test_any_cut_of_the_path_gives_the_same_doubles(spark):
         for i, r in seen[-1].items():
             assert r == pytest.approx(want[i], rel=1e-14, abs=1e-14), (cut, i)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_a_risk_audit_walks_the_path_once(spark):
+    rows = [("x", "s", i // 2, i, "buy" if i % 3 else "sell", 1.0 + i % 4, 100.0 + i % 7) for i in range(60)]
+    path = ps.position_path(spark.createDataFrame(rows, FILLS).repartition(2, "id"), ["ts_us", "id"], 10)
+    orders = spark.createDataFrame([(1, "x", "s", "buy", 2.0, 9), (2, "x", "s", "sell", 2.0, 29), (3, "y", "s", "buy", 1.0, 29)],
+                                   "order_id long, exchange string, symbol string, side string, quantity double, ts_us long")
+    out = ps.risk_audit(orders, path, 1e9, 1e9, 1e9, 10).select("order_id", "position", "exposure", "daily_pnl")
+    got = {r.order_id: r for r in out.collect()}
+    want = exact(rows)
+    for order, at in ((1, 19), (2, 59)):
+        q, average, _, total = want[at]
+        assert got[order].position == q and got[order].exposure == pytest.approx(abs(q) * average)
+        assert got[order].daily_pnl == pytest.approx(total)
+    assert got[3].position == 0
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 3  # describe, enter, walk

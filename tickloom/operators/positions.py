@@ -88,13 +88,17 @@ def risk_audit(
     The two book-wide series are summed per timestamp before they are accumulated.
     """
     value = F.abs("q_after") * F.col("avg_after") - F.abs("q_before") * F.col("avg_before")
-    series = path.groupBy("ts_us").agg(F.sum(value).alias("_dx"), F.sum("realised").alias("_dp")).withColumn(
+    moves = path.groupBy(*KEY, "ts_us").agg(
+        F.sum(value).alias("_dx"), F.sum("realised").alias("_dp"), F.max_by("q_after", "nth").alias("q_after"), F.max("nth").alias("nth"))
+    # always so; it has both readers ask for the same columns, so the path is walked once
+    moves = moves.filter(F.hash("_dx", "_dp", "q_after", "nth") >= F.lit(-(2**31)))
+    series = moves.groupBy("ts_us").agg(F.sum("_dx").alias("_dx"), F.sum("_dp").alias("_dp")).withColumn(
         "_day", F.floor(F.col("ts_us") / DAY_US))
     at = chunk_of("ts_us", chunk_us)
     total = scan(series, [], ["ts_us"], at, _exposure=cumsum(F.col("_dx")))
     today = scan(total, ["_day"], ["ts_us"], at, _pnl=cumsum(F.col("_dp")))
     book = today.select("ts_us", "_exposure", "_pnl", F.col("_day").alias("_pnl_day"))
-    held = path.select(*KEY, "ts_us", "nth", "q_after")
+    held = moves.select(*KEY, "ts_us", "nth", "q_after")
 
     with_position = asof(orders, held, KEY, "ts_us", "ts_us", ["q_after"], chunk_us, right_tie="nth")
     with_position = with_position.withColumn("position", F.coalesce("matched.q_after", F.lit(0.0))).drop("matched")
