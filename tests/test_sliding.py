@@ -134,3 +134,15 @@ def test_a_group_is_not_held_whole(monkeypatch):
     monkeypatch.setattr(sl, "BLOCK", 1 << 40)
     (whole,) = run(iter([rows]))
     assert got.combine_chunks().equals(pa.Table.from_batches([whole]))
+
+
+def test_totals_of_one_value_over_several_widths_are_carried_once(spark):
+    df = spark.createDataFrame([("k", t, float(t % 5) if t % 7 else None) for t in range(60)], "k string, ts long, v double")
+    out = sl.sliding(df, ["k"], "ts", 20, 40, **{f"s{w}": sl.total(F.col("v"), w) for w in (3, 9, 20)}, n=sl.rows(width=9))
+    for r in out.collect():
+        for w in (3, 9, 20):
+            inside = [float(t % 5) for t in range(max(0, r.ts - w), r.ts + 1) if t % 7]
+            assert r[f"s{w}"] == (sum(inside) if inside else None)
+        assert r.n == min(r.ts, 9) + 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_h0" in plan and "_h1" not in plan and "_h2" not in plan

@@ -255,45 +255,57 @@ def _sums(df: DataFrame, keys: list[str], ts: str, lookback: int, chunk_width: i
     forward fill over rows and probes gives the running sums there.
     """
     whole, count = "long", F.lit(0).cast("long")
+    widths = {name: lookback if m.width is None else m.width for name, m in measures.items()}
     columns: dict[str, Column] = {}
-    for i, m in enumerate(measures.values()):
+    sources: dict[str, int] = {}
+    read: dict[str, list[str]] = {}
+    for name, m in measures.items():
+        i = sources.setdefault(str(m.value), len(sources))
         value = m.value.cast("double")
         columns[f"_n{i}"] = F.when(value.isNotNull(), F.lit(1).cast("long")).otherwise(count)
+        read[name] = [f"_n{i}"]
         if m.kind == "total":
             finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
             floor = F.floor(value).cast(whole)
             columns[f"_h{i}"] = F.when(finite, floor).otherwise(count)
             columns[f"_l{i}"] = F.when(finite, F.round((value - floor) * UNIT).cast(whole)).otherwise(count)
             columns[f"_b{i}"] = F.when(value.isNotNull() & ~finite, F.lit(1).cast("long")).otherwise(count)
+            read[name] += [f"_h{i}", f"_l{i}", f"_b{i}"]
     running = Window.partitionBy(*keys, CHUNK).orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = with_halo(df.withColumns(columns), ts, lookback, chunk_width)
+    # a given number of parts is not merged again: what is small in a shuffle is large in the sorts of these windows
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = with_halo(df.withColumns(columns), ts, lookback, chunk_width).repartition(parts, *keys, CHUNK)
     rows = rows.withColumns({c: F.sum(c).over(running) for c in columns})
     kept = [c for c in df.columns if c not in measures]
-    widths = sorted({lookback if m.width is None else m.width for m in measures.values()})
     filling = Window.partitionBy(*keys, CHUNK).orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = {}
-    for k, width in enumerate(widths):
+
+    def inside(c: str) -> Column:
+        return F.col(c) - F.coalesce(F.col(f"_before.{c}"), count)
+
+    # a width is finished before the next, which then sorts its results only and what is still to be read
+    out = {name: f"_o{i}" for i, name in enumerate(measures)}
+    for width in sorted(set(widths.values())):
         own = F.struct(F.lit(False).alias("_probe"), F.col(ts).cast("long").alias("_at"))
         probe = F.struct(F.lit(True).alias("_probe"), (F.col(ts).cast("long") - width - 1).alias("_at"))
         entries = F.when(F.col(HALO), F.array(own)).otherwise(F.array(own, probe))
         rows = rows.withColumn("_e", F.explode(entries)).select("*", "_e.*").drop("_e")
-        seen = F.last(F.when(~F.col("_probe"), F.struct(*columns)), ignorenulls=True).over(filling)
-        rows = rows.withColumn(f"_w{k}", seen).where(F.col("_probe") | F.col(HALO)).drop("_probe", "_at")
-        before[width] = f"_w{k}"
-    out = {}
-    for i, (name, m) in enumerate(measures.items()):
-        past = before[lookback if m.width is None else m.width]
-
-        def inside(c: str, past: str = past) -> Column:
-            return F.col(c) - F.coalesce(F.col(f"{past}.{c}"), count)
-
-        n = inside(f"_n{i}")
-        if m.kind == "rows":
-            out[name] = n
-        else:
-            value = inside(f"_h{i}").cast("double") + inside(f"_l{i}") / UNIT
-            out[name] = F.when(n > 0, F.when(inside(f"_b{i}") > 0, F.lit(float("nan"))).otherwise(value))
-    return rows.where(~F.col(HALO)).select(*kept, *[c.alias(n) for n, c in out.items()])
+        needed = sorted({c for name in measures if widths[name] == width for c in read[name]})
+        later = {c for name in measures if widths[name] > width for c in read[name]}
+        seen = F.last(F.when(~F.col("_probe"), F.struct(*needed)), ignorenulls=True).over(filling)
+        rows = rows.withColumn("_before", seen).where(F.col("_probe") | F.col(HALO))
+        done = {}
+        for name, m in measures.items():
+            if widths[name] != width:
+                continue
+            n, *sums = read[name]
+            if m.kind == "rows":
+                done[out[name]] = inside(n)
+            else:
+                high, low, bad = sums
+                value = inside(high).cast("double") + inside(low) / UNIT
+                done[out[name]] = F.when(inside(n) > 0, F.when(inside(bad) > 0, F.lit(float("nan"))).otherwise(value))
+        rows = rows.withColumns(done).drop("_probe", "_at", "_before", *[c for c in columns if c not in later])
+    return rows.where(~F.col(HALO)).select(*kept, *[F.col(c).alias(name) for name, c in out.items()])
 
 
 def sliding(df: DataFrame, keys: list[str], ts: str, lookback: int, chunk_width: int, order: list[str] | None = None, **measures: Measure) -> DataFrame:
