@@ -107,3 +107,15 @@ def test_sides_meet_over_frames(spark):
     assert next(out).empty and taken == [0]
     assert [f[["seq", "bids", "asks"]].values.tolist() for f in out] == [[[2, [1], [2]]], []]
     assert one.sides["bid"].held == ([3],) and one.sides["ask"].held is None
+
+
+def test_builder_sends_out_wide_messages_early(spark, monkeypatch):
+    from tickloom.operators.builder import machine
+
+    monkeypatch.setattr(p, "LEVELS", 3)
+    rows = pd.DataFrame([(m, m, m == 1, "bid", t, float(m)) for m in (1, 2, 3) for t in (1, 2)],
+                        columns=["seq", "ts_us", "is_snapshot", "side", "price_ticks", "quantity"])
+    one = p.BookBuilder(machine(30, 5, 100, 5), ())
+    one.levels, one.buffer, one.sync = Value(), Value(), Value()
+    one.buffer.held = []
+    assert [f["seq"].tolist() for f in one.handleInputRows(("x", "s"), iter([rows]), None)] == [[1, 2], [3]]

@@ -14,7 +14,8 @@ from tickloom.session import ship_by_value
 
 ship_by_value(__name__)
 
-MESSAGES = 1_024  # rows with their changed levels that wait to go out
+MESSAGES = 1_024  # rows that wait to go out
+LEVELS = 16_384  # changed levels that wait with them, but for those of the last message
 
 class Inversions(StatefulProcessor):
     """Running inversion counters per key; one row per key and micro-batch."""
@@ -80,7 +81,7 @@ class BookBuilder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, buffered = self._loaded()
         held = {tuple(k): v[0] for k, v in self.levels.iterator()}
-        before, out = dict(held), []
+        before, out, waiting = dict(held), [], 0
         for seq, row, entries in self._messages(rows):
             met = self.machine.wait(State("buffering", "initial", 0, row.ts, row.ts) if state is None else state, row.ts)
             state, replayed, changed = self.machine.after(met, row), 0, {}
@@ -98,9 +99,10 @@ class BookBuilder(StatefulProcessor):
             elif state.applied > met.applied:
                 self._apply(held, changed, entries)
             out.append(self._said(key, int(seq), state, held, replayed, changed))
-            if len(out) >= MESSAGES:
+            waiting += len(out[-1][-1])
+            if len(out) >= MESSAGES or waiting >= LEVELS:
                 yield pd.DataFrame(out, columns=self.names).astype(self.kinds)
-                out = []
+                out, waiting = [], 0
         for level in before.keys() - held.keys():
             self.levels.removeKey(level)
         for level, quantity in held.items():
