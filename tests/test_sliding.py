@@ -146,3 +146,40 @@ def test_totals_of_one_value_over_several_widths_are_carried_once(spark):
         assert r.n == min(r.ts, 9) + 1
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_h0" in plan and "_h1" not in plan and "_h2" not in plan
+
+
+def test_moves_are_counted_inside_the_frame_for_the_rows_asked_for(spark):
+    """Books (no price) among trades, a trade without a price, NaN, ties in time; frames over several chunks."""
+    rnd, rows, ts = random.Random(4), [], 0
+    for i in range(300):
+        ts += rnd.choice([0, 1, 4, 30])
+        trade = rnd.random() < 0.8
+        rows.append((rnd.choice(["a", None]), ts, i, rnd.choice([None, math.nan, 1.0, 2.0, 2.0, 3.0]) if trade else None, trade))
+    df, trade = spark.createDataFrame(rows, "k string, ts long, id long, v double, trade boolean"), F.col("trade")
+    up, down = sl.moves(F.col("v"), trade)
+    above = lambda x, y: x != y and not math.isnan(y) and (math.isnan(x) or x > y)
+    want = {}
+    for k, ts, i, _, is_trade in rows:
+        if not is_trade:
+            frame = [r[3] for r in rows if r[0] == k and ts - 20 <= r[1] <= ts and r[4]]
+            pairs = [(a, b) for a, b in zip(frame, frame[1:]) if a is not None and b is not None]
+            want[i] = (sum(math.isnan(a) or math.isnan(b) or b > a for a, b in pairs), sum(above(a, b) and not math.isnan(a) for a, b in pairs), len(frame))
+    for chunk in (20, 75, 10**6):
+        got = sl.sliding(df, ["k"], "ts", 20, chunk, ["id"], ~trade, ["id"], up=up, down=down, n=sl.rows(trade))
+        assert got.columns == ["id", "up", "down", "n"]
+        assert {r.id: tuple(r[1:]) for r in got.collect()} == want, chunk
+    assert any(u and d for u, d, _ in want.values())
+    thin = sl.sliding(df, ["k"], "ts", 20, 75, None, ~trade, ["id"], n=sl.rows(trade))  # totals alone take the other way
+    assert {r.id: r.n for r in thin.collect()} == {i: n for i, (_, _, n) in want.items()}
+
+
+def test_trades_are_shuffled_once_to_the_books_they_answer(spark):
+    from tickloom.operators import depth
+
+    books = spark.createDataFrame([("x", "s", 5), ("x", "s", 9)], "exchange string, symbol string, ts_us long")
+    trades = spark.createDataFrame([("x", "s", t, t, "buy", 1.0 + t % 3, 2.0) for t in range(9)],
+                                   "exchange string, symbol string, ts_us long, trade_id long, side string, price double, quantity double")
+    out = depth.asof_trades_to_books(books, trades, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert [tuple(r)[2:5] + tuple(r)[10:] for r in sorted(out.collect())] == [(5, 5, 5, 0 + 3, 1), (9, 4, 4, 2, 1)]

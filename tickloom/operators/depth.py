@@ -13,7 +13,7 @@ from tickloom.functions import book as bk
 from tickloom.functions.ratios import imbalance, ratio, where
 from tickloom.operators.replay import band_name
 from tickloom.plans.ordered import chunk_of, ffill, prev, scan
-from tickloom.plans.sliding import earliest, greatest, least, rows, sliding, spread, total
+from tickloom.plans.sliding import greatest, least, moves, rows, sliding, spread, total
 
 KEY = ["exchange", "symbol"]
 
@@ -160,27 +160,24 @@ def asof_trades_to_books(
     """Trade-window state at each book: counts, quantities and notionals by side and the up /
     down moves of the trades inside [book ts - window, book ts].
 
-    Books and trades are one tagged stream; books keep their columns, trades only add up.
+    Books and trades are one tagged stream; books keep their columns, trades only add up. A move is one from trade to trade
+    inside the window, so no trade is asked for the one before it but where the windows are.
     """
     width = chunk_us or 4 * window_us
     payload = F.struct(*[F.col(c) for c in books.columns])
     probes = books.select(*KEY, "ts_us", payload.alias("_book"))
-    ordered = scan(trades, KEY, ["ts_us", *order], chunk_of("ts_us", width), _p=prev(F.col("price")))
-    move = F.coalesce(F.signum(F.col("price") - F.col("_p")), F.lit(0.0))
-    ticks = ordered.select(*KEY, "ts_us", "side", "price", "quantity", F.struct("ts_us", *order).alias("_pos"), move.alias("_m"))
+    ticks = trades.select(*KEY, "ts_us", "side", "price", "quantity", F.struct("ts_us", *order).alias("_pos"))
     merged = probes.unionByName(ticks, allowMissingColumns=True)
     is_trade, buy, sell = F.col("_pos").isNotNull(), F.col("side") == "buy", F.col("side") == "sell"
     notional = F.col("price") * F.col("quantity")
-    up, down = F.when(F.col("_m") > 0, 1.0).otherwise(0.0), F.when(F.col("_m") < 0, 1.0).otherwise(0.0)
+    up, down = moves(F.col("price"), is_trade)
     state = sliding(
-        merged, KEY, "ts_us", window_us, width, ["_pos"], trades=rows(is_trade), buys=rows(buy), sells=rows(sell),
+        merged, KEY, "ts_us", window_us, width, ["_pos"], F.col("_book").isNotNull(), ["_book"], trades=rows(is_trade), buys=rows(buy), sells=rows(sell),
         buy_qty=total(where(buy, F.col("quantity"))), sell_qty=total(where(sell, F.col("quantity"))), buy_notional=total(where(buy, notional)),
-        sell_notional=total(where(sell, notional)), _u=total(up), _d=total(down), _fu=earliest(F.when(is_trade, up)), _fd=earliest(F.when(is_trade, down)),
-    ).filter(F.col("_book").isNotNull())
-    zero = F.lit(0.0)
+        sell_notional=total(where(sell, notional)), up_moves=up, down_moves=down,
+    )
     return state.select(
-        "_book.*", "trades", "buys", "sells", "buy_qty", "sell_qty", "buy_notional", "sell_notional",
-        (F.col("_u") - F.coalesce("_fu", zero)).cast("long").alias("up_moves"), (F.col("_d") - F.coalesce("_fd", zero)).cast("long").alias("down_moves"),
+        "_book.*", "trades", "buys", "sells", "buy_qty", "sell_qty", "buy_notional", "sell_notional", "up_moves", "down_moves",
     )
 
 

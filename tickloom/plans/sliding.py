@@ -25,7 +25,7 @@ from tickloom.session import ship_by_value
 UNIT = 1e8
 BLOCK = 1 << 16
 SPREAD_UNIT = 1e12
-_TYPES = {"total": "double", "rows": "long", "least": "double", "greatest": "double", "earliest": "double", "spread": "double", "upper": "double"}
+_TYPES = {"total": "double", "rows": "long", "least": "double", "greatest": "double", "earliest": "double", "spread": "double", "upper": "double", "ups": "long", "downs": "long"}
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ class Measure:
     width: int | None = None
     share: float | None = None
     part: int = 0
+    among: Column | str | None = None  # in the worker: the input that tells
 
 
 def total(value: Column, width: int | None = None) -> Measure:
@@ -71,6 +72,12 @@ def upper_part(value: Column, share: float, width: int | None = None) -> tuple[M
     return tuple(Measure("upper", value, width, share, part) for part in range(3))
 
 
+def moves(value: Column, among: Column, width: int | None = None) -> tuple[Measure, Measure]:
+    """How often the value rises and falls from one row to the next, of the rows of the frame for which `among` holds.
+    Next to a NULL there is no move."""
+    return tuple(Measure(kind, value, width, among=F.when(among, F.lit(1.0))) for kind in ("ups", "downs"))
+
+
 class Sums:
     """Exact sums of stretches of an array."""
 
@@ -133,6 +140,18 @@ def upper_parts(values: np.ndarray, start: np.ndarray, end: np.ndarray, share: f
     return sizes[ranks[order[lo]]], net + Sums(values[order]).of(lo, hi), both + Sums(np.abs(values[order])).of(lo, hi)
 
 
+def stepped(kind: str, values: np.ndarray, missing: np.ndarray, seen: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """`moves` of each stretch. The first row that counts has its predecessor outside."""
+    at = np.flatnonzero(seen)
+    with np.errstate(invalid="ignore"):
+        by = np.diff(values[at])
+    hit = by < 0 if kind == "downs" else (by > 0) | np.isnan(by)  # NaN is above all, as in Spark
+    flags = np.zeros(len(values), np.int64)
+    flags[at[1:]] = hit & ~(missing[at[1:]] | missing[at[:-1]])
+    running, first = prefix(flags), np.append(at, len(values))[np.searchsorted(at, start)]
+    return np.where(first < end, running[end] - running[np.minimum(first + 1, len(values))], 0)
+
+
 def measured(m: Measure, values: np.ndarray, missing: np.ndarray, start: np.ndarray, end: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray | None]:
     """Values of a measure and where they are NULL."""
     if m.kind == "upper":
@@ -198,14 +217,18 @@ def _worker(keys: list[str], ts: str, lookback: int, width: int, measures: list[
         inputs: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         columns, cache = [], {}
         for _, m, source in measures:
-            if source not in inputs:
-                column = batch.column(source)
-                missing = column.is_null().to_numpy(zero_copy_only=False)
-                inputs[source] = np.where(missing, np.nan, column.to_numpy(zero_copy_only=False).astype(np.float64)), missing
+            for name in (source, m.among):
+                if name is not None and name not in inputs:
+                    column = batch.column(name)
+                    missing = column.is_null().to_numpy(zero_copy_only=False)
+                    inputs[name] = np.where(missing, np.nan, column.to_numpy(zero_copy_only=False).astype(np.float64)), missing
             w = m.width if m.width is not None else lookback
             if w not in starts:
                 starts[w] = np.searchsorted(place, place[own] - w, "left")
-            found, none = measured(m, *inputs[source], starts[w], end, cache)
+            if m.among is None:
+                found, none = measured(m, *inputs[source], starts[w], end, cache)
+            else:
+                found, none = stepped(m.kind, *inputs[source], ~inputs[m.among][1], starts[w], end), None
             kind = pa.int64() if _TYPES[m.kind] == "long" else pa.float64()
             columns.append(pa.array(found, kind, mask=none))
         whole = batch.take(pa.array(own))
@@ -308,29 +331,41 @@ def _sums(df: DataFrame, keys: list[str], ts: str, lookback: int, chunk_width: i
     return rows.where(~F.col(HALO)).select(*kept, *[F.col(c).alias(name) for name, c in out.items()])
 
 
-def sliding(df: DataFrame, keys: list[str], ts: str, lookback: int, chunk_width: int, order: list[str] | None = None, **measures: Measure) -> DataFrame:
+def sliding(
+    df: DataFrame, keys: list[str], ts: str, lookback: int, chunk_width: int, order: list[str] | None = None, only: Column | None = None,
+    keep: list[str] | None = None, **measures: Measure,
+) -> DataFrame:
     """Rows of `df` with one column per measure over the rows of their key in [ts - width, ts], rows of the same ts included.
 
     No measure may be wider than `lookback`. `order` settles which of the rows with one ts is first. Rows without ts are left out.
-    Totals and counts alone stay in the JVM, so only the columns that are read later are read at all.
+    Totals and counts alone stay in the JVM, so only the columns that are read later are read at all. With `only`, the
+    other rows are in the frames but get no result; with `keep`, these columns of `df` come back and not all.
     """
+    kept = [c for c in (df.columns if keep is None else keep) if c not in measures]
     if all(m.kind in ("total", "rows") for m in measures.values()):
-        return _sums(df, keys, ts, lookback, chunk_width, measures)
+        out = _sums(df, keys, ts, lookback, chunk_width, measures)
+        return (out if only is None else out.where(only)).select(*kept, *measures)
     from pyspark.sql.types import StructType
 
     sources: dict[str, str] = {}
+    columns: dict[str, Column] = {}
     named = []
     for name, m in measures.items():
-        source = sources.setdefault(str(m.value), f"_in{len(sources)}")
-        named.append((name, m, source))
-    values = {source: m.value.cast("double") for _, m, source in reversed(named)}
-    dealt = with_halo(df.withColumns(values), ts, lookback, chunk_width)
+        of = [None, None]
+        for i, column in enumerate((m.value, m.among)):
+            if column is not None:
+                of[i] = sources.setdefault(str(column), f"_in{len(sources)}")
+                columns[of[i]] = column.cast("double")
+        named.append((name, Measure(m.kind, None, m.width, m.share, m.part, of[1]), of[0]))
+    dealt = with_halo(df, ts, lookback, chunk_width)
+    if only is not None:
+        dealt = dealt.withColumn(HALO, F.col(HALO) | ~F.coalesce(only, F.lit(False)))
     dealt = dealt.repartition(*[F.col(c) for c in [*keys, CHUNK]]).sortWithinPartitions(*keys, CHUNK, ts, *(order or []))
-    kept = [c for c in df.columns if c not in measures]
-    plain = [(n, Measure(m.kind, None, m.width, m.share, m.part), s) for n, m, s in named]
+    # what the worker reads is computed behind the shuffle and the sort, which then carry the columns it comes from
+    dealt = dealt.select(*dict.fromkeys([*keys, ts, *kept]), CHUNK, HALO, *[c.alias(name) for name, c in columns.items()])
     out = StructType.fromDDL(", ".join(f"`{n}` {_TYPES[m.kind]}" for n, m, _ in named))
     shape = StructType([*[df.schema[c] for c in kept], *out.fields])
-    return dealt.mapInArrow(_worker(list(keys), ts, lookback, chunk_width, plain, kept), shape)
+    return dealt.mapInArrow(_worker(list(keys), ts, lookback, chunk_width, named, kept), shape)
 
 
 ship_by_value(__name__)
