@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.replay import KEY, chunk_marks, ladder_checkpoints, same_key
 from tickloom.plans.ordered import CHUNK, chunk_of
-from tickloom.session import shared_dir, ship_by_value
+from tickloom.session import ship_by_value, stored
 
 SPAN = [*KEY, "side", "epoch"]
 SEGMENT = [*SPAN, "segment"]
+READ = [*SPAN, "seq", "is_snapshot", "price_ticks", "price", "quantity"]
 _KEYS = "exchange string, symbol string, side string, epoch long, segment long"
 _HELD = "array<struct<ticks:long,quantity:double>>"
 _OUT = f"{_KEYS}, seq long, levels long, best_ticks long, quantity double, held {_HELD}"
@@ -76,9 +77,7 @@ def _walker(depth: int):
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    path = shared_dir(df.sparkSession, "ladders")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, "ladders")
 
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -101,8 +100,9 @@ def _replayed(rows: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
 def truncated(levels: DataFrame, chunk: int, depth: int, rounds: int = 4) -> DataFrame:
     """Summary of each side after each message that touches it; levels carry epoch, the snapshot in force.
 
-    The result is the same for any chunk and any number of rounds.
+    The result is the same for any chunk and any number of rounds. Levels are stored first: segments, guesses and every round read them.
     """
+    levels = _stored(levels.select(*[c for c in levels.columns if c in READ]))
     rows = levels.withColumn("segment", chunk_of("seq", chunk).cast("long"))
     thin = rows.select(*SEGMENT, "seq", "price_ticks", "quantity")
     along = Window.partitionBy(*SPAN).orderBy("segment")
