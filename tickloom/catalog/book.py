@@ -8,6 +8,7 @@ from tickloom.catalog import last_accepted, query
 from tickloom.operators import book as b
 from tickloom.operators.builder import builder_states
 from tickloom.operators.replay import replayed
+from tickloom.session import stored
 from tickloom.sources.fixtures import duck, view
 
 KEY = ["exchange", "symbol"]
@@ -41,6 +42,11 @@ def levels(spark, d):
     return view(spark, d, "fx_l2")
 
 
+def stored_levels(spark, d):
+    """For queries whose parts would each aggregate the table again."""
+    return stored(levels(spark, d), "levels")
+
+
 def month_points(spark, d):
     """(exchange, symbol, at) for the first day of each month and every key, and one point later than every row."""
     last = levels(spark, d).agg(F.trunc(F.timestamp_micros(F.max("ts_us")), "month")).scalar()
@@ -112,7 +118,8 @@ def _(spark, d):
   SELECT exchange, symbol, max(seq) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY seq) AS n FROM msg) WHERE n % 50 = 0 GROUP BY ALL)"""
        + SUMMARY + "FROM lv JOIN nth USING (exchange, symbol) WHERE seq >= kept GROUP BY ALL")
 def _(spark, d):
-    return summary(b.restored_books(b.book_snapshots(levels(spark, d), CHUNK, 50, 10), levels(spark, d), CHUNK))
+    lv = stored_levels(spark, d)
+    return summary(b.restored_books(b.book_snapshots(lv, CHUNK, 50, 10), lv, CHUNK))
 
 
 @query("seq_gaps", L2 + """
