@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import query
-from tickloom.catalog.book import BOOK, CHUNK, L3, levels
+from tickloom.catalog.book import BOOK, CHUNK, L3, levels, stored_levels
 from tickloom.operators import book as b
 from tickloom.operators import depth as dp
 from tickloom.operators.replay import replayed
@@ -196,7 +196,7 @@ def trades(spark, d):
 SELECT exchange, symbol, seq, n AS trades, nbuy AS buys, nsell AS sells, qbuy AS buy_qty, qsell AS sell_qty,
        round(vbuy, 4) AS buy_notional, round(vsell, 4) AS sell_notional, up_moves, down_moves FROM fw""")
 def _(spark, d):
-    thin = books(spark, d).select(*ID, "ts_us")
+    thin = replayed(stored_levels(spark, d), CHUNK).select(*ID, "ts_us")
     out = dp.asof_trades_to_books(thin, trades(spark, d), WINDOW_US, ORDER)
     return out.select(
         *ID, "trades", "buys", "sells", "buy_qty", "sell_qty", *r("buy_notional", "sell_notional", digits=4),
@@ -241,12 +241,13 @@ ENGINE = (BOOK + LAGGED + FLOW
 
 
 def lookback(spark, d):
-    flow = b.order_flow_imbalance_l3(b.l3_events(levels(spark, d), CHUNK), WINDOW_US // 1000)
-    return dp.features(books(spark, d, **dp.NEEDS), trades(spark, d), flow, "lookback", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
+    lv = stored_levels(spark, d)
+    flow = b.order_flow_imbalance_l3(b.l3_events(lv, CHUNK), WINDOW_US // 1000)
+    return dp.features(replayed(lv, CHUNK, **dp.NEEDS), trades(spark, d), flow, "lookback", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
 
 
 def engine(spark, d):
-    return dp.features(books(spark, d, **dp.NEEDS), trades(spark, d), None, "engine", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
+    return dp.features(replayed(stored_levels(spark, d), CHUNK, **dp.NEEDS), trades(spark, d), None, "engine", WINDOW_US, LAGS_MS, ORDER, 100 * DAY)
 
 
 @query("features", LOOKBACK)
